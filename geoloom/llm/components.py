@@ -1,0 +1,40 @@
+"""Connected components of a table of links, by alternating large-star and small-star rounds.
+
+Every round is two aggregations and two joins; each is written to the shared folder, and only a count and a checksum come
+to the driver. The rounds grow with the logarithm of the number of nodes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from geoloom.llm.common import materialize
+
+
+def large_star(edges: DataFrame) -> DataFrame:
+    """Each node's greater neighbours now hang on its smallest neighbour (or itself)."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+
+
+def small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours now hang on the smallest of them. edges: a < b."""
+    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    moved = edges.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b"))
+    return moved.select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node with a link; root is the smallest node of its component. links: columns a and b."""
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    edges = materialize(edges, "links")
+    before = None
+    for _ in range(most_rounds):
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+        edges = materialize(small_star(large_star(edges)), "links")
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import packing, quality_classifier, quality_rules, secrets, sharding
+from geoloom.llm import near_dedup, packing, quality_classifier, quality_rules, secrets, sharding
 from geoloom.llm.common import crc_remainder, read
 
 
@@ -25,6 +25,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.reshard(read(spark, sf_dir, "documents")).drop("old_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op3_quality_rules, op6_quality_classifier, op8_packing, op10_resharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op3_quality_rules, op6_quality_classifier, op7_near_dedup, op8_packing, op10_resharding)}
 ORACLE_SQL: dict[str, str] = {}
