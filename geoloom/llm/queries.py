@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import near_dedup, packing, quality_classifier, quality_rules, secrets, sharding
+from geoloom.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding
 from geoloom.llm.common import crc_remainder, read
 
 
@@ -15,6 +15,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents")).drop("findings")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
@@ -37,5 +41,5 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.reshard(read(spark, sf_dir, "documents")).drop("old_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op3_quality_rules, op6_quality_classifier, op7_near_dedup, op8_packing, op10_resharding)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op6_quality_classifier, op7_near_dedup, op8_packing, op10_resharding)}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL}
