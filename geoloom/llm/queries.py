@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding
+from geoloom.llm import decontamination, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding
 from geoloom.llm.common import crc_remainder, read
 
 
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_remainder(F.col("doc_id"), 3) == 1
     scored = quality_classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), usable=~held)
@@ -41,5 +45,5 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.reshard(read(spark, sf_dir, "documents")).drop("old_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op6_quality_classifier, op7_near_dedup, op8_packing, op10_resharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_lm_scoring, op6_quality_classifier, op7_near_dedup, op8_packing, op10_resharding)}
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL}
