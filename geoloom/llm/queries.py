@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontamination, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding
+from geoloom.llm import decontamination, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding
 from geoloom.llm.common import crc_remainder, read
 
 
@@ -41,9 +41,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents")).drop("findings")
+
+
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.reshard(read(spark, sf_dir, "documents")).drop("old_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_lm_scoring, op6_quality_classifier, op7_near_dedup, op8_packing, op10_resharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_lm_scoring, op6_quality_classifier, op7_near_dedup, op8_packing, op9_pii, op10_resharding)}
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL}
