@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontamination, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding
+from geoloom.llm import decontamination, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding, warc_revisits
 from geoloom.llm.common import crc_remainder, read
 
 
@@ -27,6 +27,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(read(spark, sf_dir, "documents"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisits.resolve(warc_revisits.crawl_of(read(spark, sf_dir, "pages")))
+    return found.withColumn("headers", warc_revisits.headers_text(F.col("headers")))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_remainder(F.col("doc_id"), 3) == 1
     scored = quality_classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), usable=~held)
@@ -49,5 +54,5 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.reshard(read(spark, sf_dir, "documents")).drop("old_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_lm_scoring, op6_quality_classifier, op7_near_dedup, op8_packing, op9_pii, op10_resharding)}
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL, "op7_near_dedup": near_dedup.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_lm_scoring, op5_warc_revisits, op6_quality_classifier, op7_near_dedup, op8_packing, op9_pii, op10_resharding)}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL, "op5_warc_revisits": warc_revisits.SQL, "op7_near_dedup": near_dedup.SQL}
