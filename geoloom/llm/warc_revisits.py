@@ -97,7 +97,7 @@ def crawl_of(pages: DataFrame, visits: int = 3) -> DataFrame:
 #: DuckDB twin of resolve(crawl_of(pages)), with headers as text.
 SQL = r"""
 WITH c AS (
-  SELECT page_id * 10 + v AS record_id, (page_id + 500 * v) * 10 + v AS at, v, md5(coalesce(html, '')) AS tag,
+  SELECT page_id * 10 + v AS record_id, (page_id + 500 * v) * 10 + v AS t, v, md5(coalesce(html, '')) AS tag,
     regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
   FROM pages, (SELECT unnest(range(0, 4)) AS v)
 ), p AS (
@@ -105,9 +105,9 @@ WITH c AS (
     regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '/+$', '') AS path,
     list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(?i)(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS parts
   FROM c
-), r AS (SELECT record_id, at, v, tag, host || path || CASE WHEN len(parts) > 0 THEN '?' || array_to_string(parts, '&') ELSE '' END AS url FROM p),
-j AS (SELECT a.*, b.record_id AS src, b.tag AS src_tag FROM (SELECT * FROM r WHERE v > 0) a ASOF LEFT JOIN (SELECT * FROM r WHERE v = 0) b ON a.url = b.url AND a.at > b.at)
-SELECT record_id, url, at, CASE WHEN src IS NULL THEN 'missing' WHEN tag = src_tag THEN 'resolved' ELSE 'changed' END AS state,
+), r AS (SELECT record_id, t, v, tag, host || path || CASE WHEN len(parts) > 0 THEN '?' || array_to_string(parts, '&') ELSE '' END AS url FROM p),
+j AS (SELECT a.*, b.record_id AS src, b.tag AS src_tag FROM (SELECT * FROM r WHERE v > 0) a ASOF LEFT JOIN (SELECT * FROM r WHERE v = 0) b ON a.url = b.url AND a.t > b.t)
+SELECT record_id, url, t AS at, CASE WHEN src IS NULL THEN 'missing' WHEN tag = src_tag THEN 'resolved' ELSE 'changed' END AS state,
   CASE WHEN tag = src_tag THEN src END AS source_id, CASE WHEN tag = src_tag THEN src_tag END AS digest,
   CASE WHEN tag = src_tag THEN 'age=' || v || ';content-type=text/html' END AS headers
 FROM j
