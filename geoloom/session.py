@@ -1,21 +1,42 @@
-"""Makes this package importable in Python workers that start beside the driver (a local run without PYTHONPATH).
-
-On a cluster ship the code with --py-files or install it, as for any PySpark job.
-"""
+"""Session helpers: code for Python workers, and tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def ship(spark: SparkSession) -> SparkSession:
+    """Makes this package importable in Python workers that start beside the driver (a local run without PYTHONPATH).
+
+    On a cluster ship the code with --py-files or install it, as for any PySpark job.
+    """
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (a local run)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='geoloom-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: it cuts lineage and outlives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
