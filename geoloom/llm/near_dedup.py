@@ -3,11 +3,12 @@
 Documents with equal shingle sets become one class at once, through a digest of the set. A class keeps the k smallest
 hashes of its set. Inverted lists of the retained values generate overlaps: a pair at the threshold shares all but a tail
 of chances of at least `shared` of its retained values, so each class enters only the lists of its rarest
-size - shared + 1 values (prefix filtering over the sketches), and values of one class alone are dropped. A list is not
-expanded into pairs: every member meets the list's pivot, the union's sketch estimates the similarity, and what passes is
-verified with exact Jaccard similarity over the full sets of the two texts. Lists whose members are then in one component
-are done; in others, members of different components meet, small lists at once and large ones through further pivots.
-Components are joined by alternating stars.
+size - shared + 1 values (prefix filtering over the sketches), and values of one class alone are dropped. Lists are not
+expanded into pairs: every member of a long list meets the list's pivot, the class with the most common values; the union's
+sketch estimates the similarity, and what passes is verified with exact Jaccard similarity over the full sets. Lists whose
+members are then in one component are done. Classes that open lists connect form clusters, and a cluster is compared block
+against block over full sets, only between different components, for sizes that can reach the threshold; a task holds two
+blocks, and gives no more links than connect what it found. Components are joined by alternating stars.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; fewer words than the shingle's
 width make one shingle; equal sets are linked; rows that share a doc_id are one document, rows without doc_id too; an
@@ -19,21 +20,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import Memo, chunks, id_text, materialize
-from geoloom.llm.components import components
+from geoloom.operators.components import components
 
 K = 32
 #: Share of the smaller sketch that a pair at the threshold 0.8 has in common at least; for k = 32 it misses 1 in 10 ** 8.
 SHARED = 0.375
-#: Lists up to this length are compared pair by pair once their star has not joined them.
-SMALL_LIST = 24
-#: Further pivots of longer lists before the rest is compared across components.
-PIVOT_ROUNDS = 3
+#: Longer lists meet their pivot first.
+SHORT_LIST = 16
+#: Bounds of a block: classes, and shingles of all its classes together (one class with more is a block of its own).
+BLOCK_DOCS = 512
+BLOCK_SHINGLES = 1 << 18
+#: Clusters of so few classes share a call: about BIN_DOCS classes are hashed into one group.
+FEW_DOCS, FEW_SHINGLES = 64, 1 << 16
+BIN_DOCS = 1024
 NO_ID = -(1 << 63)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -85,14 +91,17 @@ def similar_sizes(a: str, b: str, threshold: float) -> Column:
 
 
 def lists(classes: DataFrame, k: int) -> DataFrame:
-    """(v, rep, n): each class in the inverted lists of its rarest retained values; values of one class are left out."""
+    """(v, rep, n, common): each class in the inverted lists of its rarest retained values; values of one class are left out.
+
+    common: how often the class's values occur in other sketches, which is greatest for what copies were made of.
+    """
     postings = classes.select("rep", "n", F.explode("sketch").alias("v"))
     often = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    mine = postings.join(often, "v").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("own"))
+    mine = postings.join(often, "v").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("own"), F.sum("c").alias("common"))
     size = F.least(F.col("n"), F.lit(k))
     prefix = size - F.greatest(F.lit(1), F.floor(size * SHARED)) + 1
     room = (prefix - (size - F.size("own"))).cast("int")  # values of one class come first in the order
-    return mine.where(room > 0).select("rep", "n", F.explode(F.slice("own", F.lit(1), room)).alias("p")).select("p.v", "rep", "n")
+    return mine.where(room > 0).select("rep", "n", "common", F.explode(F.slice("own", F.lit(1), room)).alias("p")).select("p.v", "rep", "n", "common")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -130,62 +139,136 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) ->
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def in_order(rep: str = "rep") -> Column:
-    return F.struct(rep, "n")
+def met_pivot(postings: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of every long list's pivot, its most common class, and the other members with sizes that can reach the threshold."""
+    chosen = postings.groupBy("v").agg(F.max_by(F.struct("rep", "n"), F.struct("common", -F.col("rep"))).alias("p"), F.count("*").alias("members")).where(F.col("members") > SHORT_LIST)
+    met = postings.join(chosen, "v").where((F.col("rep") != F.col("p.rep")) & similar_sizes("n", "p.n", threshold))
+    return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
 
 
-def met_pivot(postings: DataFrame, pivot: Column, threshold: float) -> DataFrame:
-    """Pairs of every list's pivot (the least by `pivot`) and its other members, with sizes that can reach the threshold."""
-    chosen = postings.groupBy("v").agg(F.min_by(F.struct("rep", "n", "root"), pivot).alias("p"))
-    met = postings.join(chosen, "v").where((F.col("root") != F.col("p.root")) & similar_sizes("n", "p.n", threshold))
-    return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+def open_lists(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(v, rep, n, root) of the lists whose members aren't all in one component yet."""
+    if roots is None:
+        with_root = postings.select("v", "rep", "n", F.col("rep").alias("root"))
+    else:
+        with_root = postings.join(roots, postings["rep"] == roots["node"], "left").select("v", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    still = with_root.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v")
+    return with_root.join(still, "v", "left_semi")
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """members with bucket (sizes within a tenth), settled (in the cluster's largest component) and block: at most about
+    BLOCK_DOCS classes and BLOCK_SHINGLES shingles of one bucket, chosen by a hash.
+    """
+    by_root = members.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("cluster")
+    few = (F.sum("c") <= FEW_DOCS) & (F.sum("s") <= FEW_SHINGLES)
+    largest = by_root.agg(F.max_by("root", F.struct("c", "root")).alias("_main"), few.alias("few"))
+    rows = members.join(largest, "cluster").withColumn("settled", F.col("root") == F.col("_main")).drop("_main")
+    rows = rows.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1))).cast("int"))
+    group = ["cluster", "settled", "bucket"]
+    sizes = rows.groupBy(*group).agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("_n"))
+    return rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")).drop("_n")
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(rep, n, root, few, pair, side): every class once for each pair of blocks of its cluster that may hold links."""
+    own = ["cluster", "settled", "bucket", "block"]
+    each = rows.select(*own).distinct().withColumn("id", F.xxhash64(*own))
+    other = each.select("cluster", F.col("settled").alias("settled2"), F.col("bucket").alias("bucket2"), F.col("id").alias("id2"))
+    near = F.abs(F.col("bucket") - F.col("bucket2")) <= 3  # a ratio of sizes up to 1.25
+    pairs = each.join(other, "cluster").where((F.col("id") <= F.col("id2")) & near & ~(F.col("settled") & F.col("settled2")))
+    pairs = pairs.select("id", "id2", F.xxhash64("id", "id2").alias("pair"))
+    sides = pairs.select(F.col("id").alias("_id"), "pair", F.lit(0).alias("side")).unionByName(pairs.where("id <> id2").select(F.col("id2").alias("_id"), "pair", F.lit(1).alias("side")))
+    return rows.withColumn("_id", F.xxhash64(*own)).join(sides, "_id").select("rep", "n", "root", "few", "pair", "side")
+
+
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of the other, by products of 0-1 matrices."""
+    sets = [*one, *two]
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    keep = count[at] > 1
+    column, owner = (np.cumsum(count > 1) - 1)[at[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[owner[a:b], column[a:b] - low] = 1
+        out += m[: len(one)] @ m[len(one) :].T
+    return out
+
+
+def forest(a: list[int], b: list[int], links: np.ndarray) -> list[tuple[int, int]]:
+    """Enough of the links (rows of indexes into a and b) to connect what all of them connect."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in links:
+        x, y = top(a[i]), top(b[j])
+        if x != y:
+            root[x] = y
+            out.append((a[i], b[j]))
+    return out
+
+
+def links_in_blocks(rows: DataFrame, sets: DataFrame, threshold: float, bins: int) -> DataFrame:
+    """Links (a, b) between classes of different components: exact Jaccard similarity of full sets, block against block."""
+    least = round(100 * threshold)
+    placed = rows.join(sets, "rep").withColumn("bin", F.when(F.col("few"), F.pmod(F.col("pair"), F.lit(bins))).otherwise(F.col("pair")))
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, group in pdf.groupby("pair", sort=False):
+            side = group["side"].to_numpy()
+            ids, roots, sets_ = group["rep"].to_numpy(), group["root"].to_numpy(), [np.asarray(x) for x in group["set"]]
+            one = np.flatnonzero(side == 0)
+            two = np.flatnonzero(side == 1) if (side == 1).any() else one
+            size = np.array([len(x) for x in sets_], np.float64)
+            both = shared_counts([sets_[i] for i in one], [sets_[i] for i in two]).astype(np.float64)
+            fine = (100 * both >= least * (size[one][:, None] + size[two] - both)) & (roots[one][:, None] != roots[two])
+            out += forest(ids[one].tolist(), ids[two].tolist(), np.argwhere(fine))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-def met_all(postings: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of members of one list that are in different components, with sizes that can reach the threshold."""
-    other = postings.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    met = postings.join(other, "v").where((F.col("rep") < F.col("b")) & (F.col("root") != F.col("rb")) & similar_sizes("n", "nb", threshold))
-    return met.select(F.col("rep").alias("a"), "b").distinct()
+    return placed.groupBy("bin").applyInPandas(run, "a long, b long")
 
 
-def rooted(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """postings with the root of each class so far, without lists that lie in one component."""
-    if roots is None:
-        return postings.withColumn("root", F.col("rep"))
-    with_root = postings.join(roots, postings["rep"] == roots["node"], "left").select("v", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    open_lists = with_root.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v")
-    return with_root.join(open_lists, "v", "left_semi")
+def full_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """(rep, set): the whole shingle set of these documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(xxhash.xxh3_64_intdigest)
+        for part, texts in chunks(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingle_set(t, width, memo).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["rep", "set"])
+
+    texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    return texts.mapInArrow(run, "rep long, set array<long>")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, width: int, threshold: float, k: int) -> DataFrame | None:
     """(node, root) of the classes that have links to other classes; None without any."""
     postings = materialize(lists(classes, k), "near-lists")
-    checked = links = roots = None
-    for step in range(PIVOT_ROUNDS + 2):
-        now = postings if step else postings.withColumn("root", F.col("rep"))
-        if step == 0:
-            pairs = met_pivot(now, F.col("rep"), threshold)
-        else:
-            now = materialize(rooted(postings, roots).join(postings.groupBy("v").agg(F.count("*").alias("members")), "v"), "near-open")
-            if now.isEmpty():
-                break
-            last = step == PIVOT_ROUNDS + 1
-            few = now.where(F.lit(last) | (F.col("members") <= SMALL_LIST))
-            many = now.where(~F.lit(last) & (F.col("members") > SMALL_LIST))
-            pairs = met_all(few, threshold)
-            if not last:
-                pairs = pairs.unionByName(met_pivot(many, F.xxhash64("rep", F.lit(step)), threshold)).distinct()
-            postings = many.select("v", "rep", "n")
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = materialize(estimated(pairs, classes, k), "near-pairs")
-        if not pairs.isEmpty():
-            checked = pairs if checked is None else checked.unionByName(pairs)
-            found = materialize(verified(pairs, docs, width, threshold), "near-found")
-            links = found if links is None else links.unionByName(found)
-            roots = materialize(components(links), "near-roots")
-        elif roots is None:
-            break
+    pairs = materialize(estimated(met_pivot(postings, threshold), classes, k), "near-pairs")
+    links = roots = None
+    if not pairs.isEmpty():
+        links = materialize(verified(pairs, docs, width, threshold), "near-links")
+        roots = materialize(components(links), "near-roots")
+    rest = materialize(open_lists(postings, roots), "near-open")
+    if not rest.isEmpty():
+        star = rest.groupBy("v").agg(F.min("rep").alias("a"))
+        clusters = components(rest.join(star, "v").select("a", F.col("rep").alias("b")).distinct())
+        members = rest.select("rep", "n", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), F.col("rep") == F.col("node")).drop("node")
+        members = materialize(blocks(members), "near-members")
+        sets = materialize(full_sets(docs, members, width).groupBy("rep").agg(F.first("set").alias("set")), "near-sets")
+        found = materialize(links_in_blocks(block_pairs(members), sets, threshold, members.count() // BIN_DOCS + 1), "near-links")
+        links = found if links is None else links.unionByName(found)
+        roots = materialize(components(links), "near-roots")
     return roots
 
 
