@@ -59,7 +59,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(F.lit(0).cast("long").alias("patch_id"), k.alias("row"), (k + 1).alias("value"), x.alias("min_x"), y.alias("min_y"), (x + 1.5).alias("max_x"), (y + 1.5).alias("max_y"))
 
 
-BOXES = "(SELECT n_nationkey AS row, n_nationkey + 1 AS value, CAST(n_nationkey % 5 AS DOUBLE) AS min_x, CAST(n_nationkey // 5 AS DOUBLE) AS min_y, n_nationkey % 5 + 1.5 AS max_x, n_nationkey // 5 + 1.5 AS max_y FROM nation)"
+BOXES = "(SELECT n_nationkey AS row, n_nationkey + 1 AS value, CAST(n_nationkey % 5 AS DOUBLE) AS min_x, CAST(n_nationkey // 5 AS DOUBLE) AS min_y, CAST(n_nationkey % 5 + 1.5 AS DOUBLE) AS max_x, CAST(n_nationkey // 5 + 1.5 AS DOUBLE) AS max_y FROM nation)"
 
 
 def map_box(spark: SparkSession, height: int = 11, width: int = 11) -> DataFrame:

@@ -41,7 +41,7 @@ def error_groups(spark: SparkSession, d: str) -> DataFrame:
     return executor.grouped_errors(rows).select("node", "origin", F.size("runs").cast("long").alias("runs"))
 
 
-@query("SELECT l_returnflag AS truth, l_linestatus AS predicted, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS value FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag AS truth, l_linestatus AS predicted, round(count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag), 6) AS value FROM lineitem GROUP BY l_returnflag, l_linestatus")
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("truth"), F.col("l_linestatus").alias("predicted"))
     return executor.confusion(pairs, "truth", "predicted").withColumn("value", F.round("value", 6))
@@ -81,7 +81,7 @@ def save_load(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def scene_source(spark: SparkSession, d: str) -> DataFrame:
-    spark.dataSource.register(imagery.SceneSource)
+    imagery.register(spark)
     scenes = spark.read.format("geoloom_scenes").options(start="2024-01-01", end="2024-02-01", patches="3", maxcc="0.6").load()
     return scenes.where("cover <= 0.4").select("patch_id", "ts", "cover", F.size("data").alias("values"))
 

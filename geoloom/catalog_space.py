@@ -153,7 +153,7 @@ def sobel_gradient(spark: SparkSession, d: str) -> DataFrame:
 WITH h AS (SELECT patch_id, least(greatest(CAST(floor((v + 3) / 0.375) AS INT), 0), 15) AS bin, count(*) AS n FROM {IMAGES} GROUP BY ALL),
 c AS (SELECT patch_id, bin, sum(n) OVER w AS n0, sum(bin * n) OVER w AS s0, sum(n) OVER (PARTITION BY patch_id) AS n, sum(bin * n) OVER (PARTITION BY patch_id) AS s FROM h WINDOW w AS (PARTITION BY patch_id ORDER BY bin)),
 b AS (SELECT *, CASE WHEN n > n0 THEN n0 * (n - n0) * (s0 / n0 - (s - s0) / (n - n0)) ^ 2 ELSE 0 END AS between_ FROM c)
-SELECT patch_id, round(-3 + (bin + 1) * 0.375, 5) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY round(between_, 6) DESC, bin) AS r FROM b) WHERE r = 1""")
+SELECT patch_id, CAST(round(-3 + (bin + 1) * 0.375, 5) AS DOUBLE) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY round(between_, 6) DESC, bin) AS r FROM b) WHERE r = 1""")
 def otsu_per_frame(spark: SparkSession, d: str) -> DataFrame:
     return near.otsu(image(spark, d), ["patch_id"], 16, -3.0, 3.0).withColumn("threshold", F.round("threshold", 5))
 
@@ -232,7 +232,7 @@ def total_box(spark: SparkSession, d: str) -> DataFrame:
     return geometry.total_box(boxes(spark, d))
 
 
-@query("SELECT n_nationkey, round(radians(lon) * 6378137, 2) AS mx, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 2) AS my, round(lon, 6) AS lon, round(lat, 6) AS lat FROM (SELECT n_nationkey, n_nationkey * 13.7 - 170 AS lon, n_nationkey * 5.3 - 60 AS lat FROM nation)")
+@query("SELECT n_nationkey, round(radians(lon) * 6378137, 2) AS mx, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 2) AS my, CAST(round(lon, 6) AS DOUBLE) AS lon, CAST(round(lat, 6) AS DOUBLE) AS lat FROM (SELECT n_nationkey, n_nationkey * 13.7 - 170 AS lon, n_nationkey * 5.3 - 60 AS lat FROM nation)")
 def web_mercator(spark: SparkSession, d: str) -> DataFrame:
     px = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 13.7 - 170).alias("lon"), (F.col("n_nationkey") * 5.3 - 60).alias("lat"))
     x, y = geometry.to_web_mercator(F.col("lon"), F.col("lat"))

@@ -159,8 +159,7 @@ def clip_ring(ring: Column, min_x: float, min_y: float, max_x: float, max_y: flo
 def cut(ring: Column, axis: str, bound: float, sign: int) -> Column:
     other = "y" if axis == "x" else "x"
 
-    def step(a: Column, i: Column) -> Column:
-        b = F.get(ring, F.pmod(i + 1, F.size(ring)))
+    def step(a: Column, b: Column) -> Column:
         in_a, in_b = sign * (a[axis] - bound) >= 0, sign * (b[axis] - bound) >= 0
         at = a[other] + (b[other] - a[other]) * (F.lit(bound) - a[axis]) / (b[axis] - a[axis])
         new = {axis: F.lit(bound), other: at}
@@ -168,7 +167,11 @@ def cut(ring: Column, axis: str, bound: float, sign: int) -> Column:
         end = F.struct(b["x"].alias("x"), b["y"].alias("y"))
         return F.when(in_a & in_b, F.array(end)).when(in_a, F.array(meet)).when(in_b, F.array(meet, end)).otherwise(F.array().cast(RING))
 
-    return F.flatten(F.transform(ring, step))
+    def sides(r: Column) -> Column:
+        following = F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+        return F.flatten(F.zip_with(r, following, step))
+
+    return F.get(F.transform(F.array(ring), sides), F.lit(0))  # the one-element array names the ring, so that it is made once
 
 
 EARTH = 6_378_137.0

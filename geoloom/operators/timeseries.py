@@ -124,8 +124,8 @@ def fill_with(df: DataFrame, kind: str, targets: DataFrame | None = None, series
 
     kind: cubic, spline, akima or kriging (functions.curves). A group is the series of one pixel.
     """
-    fit = curves.KINDS[kind]
-    rows = df.select(*series, "ts", number(F.col("v")).alias("v"), F.lit(targets is None).alias("_out"))
+    fit, in_place = curves.KINDS[kind], targets is None
+    rows = df.select(*series, "ts", number(F.col("v")).alias("v"), F.lit(in_place).alias("_out"))
     if targets is not None:
         rows = rows.unionByName(targets.select(*series, "ts", F.lit(None).cast("double").alias("v"), F.lit(True).alias("_out")))
     rows = rows.withColumn("_t", micros(F.col("ts")) / 86_400e6)
@@ -137,7 +137,7 @@ def fill_with(df: DataFrame, kind: str, targets: DataFrame | None = None, series
         want = pdf[pdf["_out"]].copy()
         t = want["_t"].to_numpy()
         if len(x) < 2:
-            want["v"] = want["v"].to_numpy() if targets is None else np.nan
+            want["v"] = want["v"].to_numpy() if in_place else np.nan
         else:
             new = fit(x, y, t, **options)
             want["v"] = np.where((t < x[0]) | (t > x[-1]), np.nan, new)

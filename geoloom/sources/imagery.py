@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import numpy as np
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.datasource import Filter, GreaterThanOrEqual, LessThanOrEqual
 
@@ -61,7 +62,7 @@ class SceneReader(DataSourceReader):
 
 
 class SceneSource(DataSource):
-    """spark.dataSource.register(SceneSource); spark.read.format("geoloom_scenes").options(start=..., end=..., ...).load()"""
+    """register(spark); spark.read.format("geoloom_scenes").options(start=..., end=..., ...).load()"""
 
     @classmethod
     def name(cls) -> str:
@@ -74,3 +75,9 @@ class SceneSource(DataSource):
         if {"size", "resolution"} <= set(self.options):
             raise ValueError("give a size or a resolution, not both")
         return SceneReader(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known to the session, and lets Spark push filters to sources written in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SceneSource)
