@@ -21,7 +21,9 @@ from geoloom.llm.common import chunks, id_text, materialize
 from geoloom.llm.textstats import FIELDS, stats
 
 #: The largest share of good documents on which a rule may vote bad.
-MOST_WRONG = 0.03
+MOST_WRONG = 0.01
+#: How much likelier a rule votes bad on bad documents than on good ones, at least.
+LEAST_RATIO = 40
 STATS_DDL = "doc_id long, " + ", ".join(f"{x} long" for x in FIELDS)
 
 
@@ -86,7 +88,7 @@ def fit_em(votes: np.ndarray, counts: np.ndarray, steps: int = 200, prior: float
         new = np.einsum("prv,pc->rcv", hot, weight) + 1.0
         new /= new.sum(2, keepdims=True)
         new[:, 1, 0] = np.minimum(new[:, 1, 0], MOST_WRONG)
-        new[:, 0, 0] = np.maximum(new[:, 0, 0], 2 * new[:, 1, 0])
+        new[:, 0, 0] = np.maximum(new[:, 0, 0], LEAST_RATIO * new[:, 1, 0])
         new /= new.sum(2, keepdims=True)
         prior = float(np.clip((post * counts).sum() / counts.sum(), 0.05, 0.95))
         if np.abs(new - rates).max() < 1e-7:
