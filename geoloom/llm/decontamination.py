@@ -21,8 +21,6 @@ from geoloom.llm.common import id_text, materialize
 
 WINDOW = 10
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in a text that isn't lower-cased yet.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows up to which a table made from the benchmark is broadcast; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 200_000
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -63,15 +61,21 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def positional_index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """A posting for each occurrence of a term: (doc_id, h, term, pos, around, first), around being the words from first on."""
+    """A posting for each occurrence of a term: (doc_id, h, term, pos, around, first), around being the words from first on.
+
+    Each document's end has a posting too, that of the empty term: its position is the document's number of words.
+    """
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
-    places = rows.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term")).join(small(terms), "term")
+    ends = terms.sparkSession.createDataFrame([("",)], "term string")
+    places = rows.select("doc_id", "h", "w", F.posexplode(F.array_append("w", F.lit(""))).alias("pos", "term")).join(small(terms.unionByName(ends)), "term")
     first = F.greatest(F.lit(0), F.col("pos") - reach)
-    return places.select("doc_id", "h", "term", "pos", first.alias("first"), F.slice("w", first + 1, F.col("pos") - first + reach + 1).alias("around"))
+    return places.select("doc_id", "h", "term", "pos", first.alias("first"), F.when(F.col("term") != "", F.slice("w", first + 1, F.col("pos") - first + reach + 1)).alias("around"))
 
 
-def lookups(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Postings met by windows: doc_id, h, start, size, items, exact (phrase at this place) and near (all its words around)."""
+def lookups(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Postings met by windows: doc_id, h, start, size, items, exact (phrase at this place) and near (all its words around);
+    and doc_id, h and n_words of each row of docs.
+    """
     windows = materialize(item_windows(items, window), "decon-windows")
     terms = windows.select(F.explode("words").alias("term")).distinct()
     counts = materialize(term_counts(docs, terms), "decon-counts")
@@ -82,7 +86,8 @@ def lookups(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     inside = (start >= F.col("first")) & (start + F.size("words") <= F.col("first") + F.size("around"))
     exact = inside & (F.slice("around", F.greatest(F.lit(1), start - F.col("first") + 1), F.size("words")) == F.col("words"))
     near = F.size(F.array_except("words", "around")) == 0
-    return met.select("doc_id", "h", start.alias("start"), F.size("words").alias("size"), "items", exact.alias("exact"), near.alias("near")).where("exact or near")
+    met = met.select("doc_id", "h", start.alias("start"), F.size("words").alias("size"), "items", exact.alias("exact"), near.alias("near")).where("exact or near")
+    return met, index.where("term = ''").select("doc_id", "h", F.col("pos").cast("long").alias("n_words"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, proximity: bool = False) -> DataFrame:
@@ -91,7 +96,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, proxi
     proximity: also n_near_items, the items of which all words of a window occur around its rarest one, in any order.
     """
     docs = id_text(docs)
-    met = lookups(docs, items, window)
+    met, base = lookups(docs, items, window)
     exact = F.col("exact")
     per_doc = met.groupBy("doc_id", "h").agg(
         F.array_sort(F.collect_set(F.when(exact, F.struct("start", (F.col("start") + F.col("size")).alias("end"))))).alias("spans"),
@@ -106,7 +111,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, proxi
     )
     ids = F.array_sort(F.transform("hit_items", lambda x: x.cast("string")))
     per_doc = per_doc.select("doc_id", "h", covered.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.array_join(ids, ",").alias("ids"), F.size("near_items").cast("long").alias("n_near_items"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("h"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
     both = base.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (base["h"] == per_doc["h"]), "left")
     none = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return both.select(
@@ -117,7 +121,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, proxi
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the documents that hold a window of an item; all columns stay."""
-    met = lookups(id_text(docs), items, window).where("exact").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    met = lookups(id_text(docs), items, window)[0].where("exact").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     met = materialize(met, "decon-hit")
     return docs.join(met, docs["doc_id"].cast("long").eqNullSafe(met["_id"]) & (F.xxhash64(docs["text"].cast("string")) == met["_h"]), "left_anti")
 
