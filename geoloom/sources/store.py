@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from geoloom.operators.filters import at_indices, at_times, by_times, keep_frames
 from geoloom.patchset import PatchSet
@@ -64,6 +66,11 @@ def save(patches: PatchSet, root: str, features: object = ..., permission: Overw
         for kind, name in set(old) - {(k, n) for k, _, n in found}:
             fs, at = _fs(spark, f"{root}/{kind.value}/{name}")
             fs.delete(at, True)
+
+    def describe(df: DataFrame, path: str) -> None:
+        """A partitioned write of no rows leaves no file, so the schema is kept beside the data."""
+        df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_schemas/{path}")
+
     for kind, name, new in found:
         df = patches.features[kind, name]
         by = ["patch_id", *["ts"] * (kind.is_temporal() and "ts" in df.columns)]
@@ -71,9 +78,11 @@ def save(patches: PatchSet, root: str, features: object = ..., permission: Overw
             df = df.where(times)
         # a frame is a partition, so that single frames can be replaced and time filters prune files
         df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy(*by).parquet(f"{root}/{kind.value}/{new}")
+        describe(df, f"{kind.value}/{new}")
     for name, df in ((BOXES, patches.boxes), (FRAMES, patches.frames)):
         if df is not None:
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy("patch_id").parquet(f"{root}/{name}")
+            describe(df, name)
 
 
 def infer_times(patches: PatchSet, root: str) -> DataFrame:
@@ -95,7 +104,10 @@ def load(spark: SparkSession, root: str, features: object = ..., patch_ids: Iter
     top = set(children(spark, root))
 
     def table(path: str) -> DataFrame:
-        df = spark.read.parquet(f"{root}/{path}")
+        if children(spark, f"{root}/{path}"):
+            df = spark.read.parquet(f"{root}/{path}")
+        else:
+            df = spark.createDataFrame([], StructType.fromJson(json.loads(spark.read.text(f"{root}/_schemas/{path}").first()[0])))
         df = df.withColumn("patch_id", F.col("patch_id").cast("long")) if "patch_id" in df.columns else df
         df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz")) if "ts" in df.columns else df
         return df if patch_ids is None else df.where(F.col("patch_id").isin(*patch_ids))
