@@ -11,8 +11,10 @@ against block over full sets, only between different components, for sizes that
 blocks, and gives no more links than connect what it found. Components are joined by alternating stars.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; fewer words than the shingle's
-width make one shingle; equal sets are linked; rows that share a doc_id are one document, rows without doc_id too; an
-empty table gives an empty result; other columns are ignored. Sets and digests use 64- and 128-bit hashes.
+width make one shingle; equal sets are linked; a document is a doc_id with a text, so one doc_id may have several, linked
+only where their texts are, and rows without doc_id are told apart by their texts; repeated rows are one document; a
+component takes the smallest doc_id in it, null where no row of it has one; an empty table gives an empty result; other
+columns are ignored. Documents, shingles and digests are known by 64-, 64- and 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,7 +42,6 @@ BLOCK_SHINGLES = 1 << 18
 #: Clusters of so few classes share a call: about BIN_DOCS classes are hashed into one group.
 FEW_DOCS, FEW_SHINGLES = 64, 1 << 16
 BIN_DOCS = 1024
-NO_ID = -(1 << 63)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -67,8 +68,13 @@ def shingle_set(text: bytes, width: int, memo: Memo) -> np.ndarray:
     return np.unique(mixed(out))
 
 
+def document_key(docs: DataFrame) -> Column:
+    """A hash of doc_id and text, which tells documents apart where doc_id is null or has several texts."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
 def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set in two numbers, and the k smallest hashes."""
+    """key, doc_id, n_shingles, a 128-bit digest of the set in two numbers, and the k smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(xxhash.xxh3_64_intdigest)
@@ -81,9 +87,9 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
                 low.append(digest[0])
                 high.append(digest[1])
                 small.append(s[:k].view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(small, pa.list_(pa.int64()))], names=["doc_id", "n", "low", "high", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(small, pa.list_(pa.int64()))], names=["key", "doc_id", "n", "low", "high", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, low long, high long, sketch array<long>")
+    return docs.mapInArrow(run, "key long, doc_id long, n long, low long, high long, sketch array<long>")
 
 
 def similar_sizes(a: str, b: str, threshold: float) -> Column:
@@ -113,11 +119,11 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets reach the threshold. Only the texts in question are moved."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    """The pairs (a, b) of keys whose full shingle sets reach the threshold. Only the texts in question are moved."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = docs.join(ids, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     texts = materialize(texts, "near-texts")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    joined = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     least = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +147,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) ->
 
 def met_pivot(postings: DataFrame, threshold: float) -> DataFrame:
     """Pairs of every long list's pivot, its most common class, and the other members with sizes that can reach the threshold."""
-    chosen = postings.groupBy("v").agg(F.max_by(F.struct("rep", "n"), F.struct("common", -F.col("rep"))).alias("p"), F.count("*").alias("members")).where(F.col("members") > SHORT_LIST)
+    chosen = postings.groupBy("v").agg(F.max_by(F.struct("rep", "n"), F.struct("common", "rep")).alias("p"), F.count("*").alias("members")).where(F.col("members") > SHORT_LIST)
     met = postings.join(chosen, "v").where((F.col("rep") != F.col("p.rep")) & similar_sizes("n", "p.n", threshold))
     return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
 
@@ -245,10 +251,10 @@ def full_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(xxhash.xxh3_64_intdigest)
         for part, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingle_set(t, width, memo).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["rep", "set"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([shingle_set(t, width, memo).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["rep", "set"])
 
-    texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return texts.mapInArrow(run, "rep long, set array<long>")
+    texts = docs.join(reps.select(F.col("rep").alias("key")), "key", "left_semi")
+    return texts.select("key", "text").mapInArrow(run, "rep long, set array<long>")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, width: int, threshold: float, k: int) -> DataFrame | None:
@@ -272,29 +278,39 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, threshold: flo
     return roots
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept for each document."""
-    docs = id_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+def resolved(docs: DataFrame, width: int, threshold: float, k: int) -> DataFrame:
+    """key, doc_id, n_shingles, component_id and kept for each row; repeated rows share their key and what is found."""
+    docs = id_text(docs)
+    docs = docs.select(document_key(docs).alias("key"), "doc_id", "text")
     rows = materialize(sketches(docs, width, k), "near-sketches")
-    classes = materialize(rows.where("n > 0").groupBy("low", "high", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "near-classes")
-    # one document may have several rows: their classes are one node, under the smallest doc_id
-    roots = link_classes(classes.groupBy("rep").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch")), docs, width, threshold, k)
-    where = classes.select("low", "high", "rep")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    classes = materialize(rows.where("n > 0").groupBy("low", "high", "n").agg(F.min("key").alias("rep"), first, F.first("sketch").alias("sketch")), "near-classes")
+    roots = link_classes(classes.select("rep", "n", "sketch"), docs, width, threshold, k)
+    where = classes.select("low", "high", "rep", "first")
     if roots is not None:
-        where = where.join(roots, where["rep"] == roots["node"], "left").select("low", "high", F.coalesce("root", "rep").alias("root"))
-    else:
-        where = where.withColumnRenamed("rep", "root")
-    out = rows.select("doc_id", "n", "low", "high").join(where, ["low", "high"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(real("doc_id"), "n_shingles", real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        where = where.join(roots, where["rep"] == roots["node"], "left").select("low", "high", "first", F.coalesce("root", "rep").alias("root"))
+        where = where.drop("first").join(where.groupBy("root").agg(F.min("first").alias("first")), "root")
+    out = rows.select("key", "doc_id", "n", "low", "high").join(where.select("low", "high", "first"), ["low", "high"], "left")
+    alone = F.col("n") == 0
+    return out.select(
+        "key", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("key") == F.col("first.key"))).alias("kept")
+    )
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept for each row."""
+    return resolved(docs, width, threshold, k).drop("key")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs with one row of each component, the one with the smallest doc_id (and of its repeated rows, one); all columns stay."""
-    found = near_duplicates(docs, width, threshold)
-    best = found.where("kept").select("doc_id").distinct()
-    return docs.join(best, docs["doc_id"].eqNullSafe(best["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs with one row of each component, that with the smallest doc_id (and of its repeated rows, one); all columns stay.
+
+    Rows with neither doc_id nor words can't be told apart, nor shown to be copies: all stay.
+    """
+    best = resolved(docs, width, threshold, K).where("kept").select(F.col("key").alias("_key")).distinct()
+    nothing = docs["doc_id"].isNull() & ~F.coalesce(docs["text"].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = F.when(nothing, F.monotonically_increasing_id())
+    return docs.withColumns({"_key": document_key(docs), "_own": own}).join(best, "_key", "left_semi").dropDuplicates(["_key", "_own"]).select(*docs.columns)
 
 
 #: DuckDB twin of near_duplicates(width=4) over the table documents.

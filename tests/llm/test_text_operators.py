@@ -251,6 +251,25 @@ def test_near_duplicates_of_awkward_rows(docs):
     assert near_dedup.drop_near_duplicates(docs).count() == len({c for c in got.values()})
 
 
+def test_near_duplicates_without_ids_or_with_several_texts(spark):
+    a, b, c, d = ([f"{x}{j}" for j in range(80)] for x in "abcd")
+    near = lambda w: " ".join([*w[:79], "end"])
+    a, b, c, d = map(" ".join, (a, b, c, d))
+    texts = [(None, a), (None, b), (None, b), (None, near(b.split())), (3, a), (4, near(a.split())), (7, c), (7, d), (7, d), (6, near(d.split())), (9, d), (8, near(c.split()))]
+    texts += [(None, ""), (None, ""), (None, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    of = {a: 3, near(a.split()): 3, b: None, near(b.split()): None, c: 7, near(c.split()): 7, d: 6, near(d.split()): 6}
+    found = near_dedup.near_duplicates(docs, 4).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter((i, of.get(t, i)) for i, t in texts)
+    kept = near_dedup.drop_near_duplicates(docs, 4)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    real = sorted((r.doc_id, r.text) for r in rows if r.doc_id is not None)
+    assert real == sorted([(3, a), (7, c), (6, near(d.split())), (5, "")])
+    none = [r.text for r in rows if r.doc_id is None]
+    assert len(none) == 4 and none.count("") == 2 and none.count(None) == 1 and {b, near(b.split())} & set(none)
+
+
 def test_components_of_a_long_path(spark):
     from geoloom.operators.components import components
 
