@@ -9,6 +9,7 @@ from geoloom.bridge import CLASSES, EVENTS, IMAGES, LINES, classes, events, imag
 from geoloom.catalog import query
 from geoloom.operators import filters, masking, merge, projection
 from geoloom.patchset import PatchSet
+from geoloom.session import materialize
 from geoloom.types import FeatureType
 
 KEY = ["patch_id", "ts", "l_orderkey", "l_linenumber"]
@@ -194,10 +195,10 @@ def spaced_frames(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT {KEYS}, b - 1 AS b, CASE WHEN flag IN ('R', 'A') THEN -1 ELSE bands[b] END AS v FROM {LINES}, (SELECT unnest(range(1, 5)) AS b)")
 def mask_values(spark: SparkSession, d: str) -> DataFrame:
-    """A one-band mask over four bands. Frames of this table may repeat a key, so the mask shares the row and needs no join."""
-    px = lines(spark, d)
+    """A one-band mask over four bands. Frames of this table may repeat a key, so pixels are numbered and the mask goes by number."""
+    px = materialize(lines(spark, d).withColumn("pixel", F.monotonically_increasing_id()), "mask-pixels")
     code = F.when(F.col("flag") == "R", 1).when(F.col("flag") == "A", 2).otherwise(0)
-    out = px.withColumn("bands", F.transform("bands", lambda v: F.when(code.isin(1, 2), F.lit(-1.0)).otherwise(v)))
+    out = masking.mask_feature(px, px.select("pixel", F.array(code).alias("bands")), ["pixel"], (1, 2), -1.0)
     return out.select(*KEY, F.posexplode("bands").alias("b", "v"))
 
 
