@@ -14,6 +14,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -153,13 +155,32 @@ def reshard(docs: DataFrame, shards: int = 16, old_shard: Column | None = None)
     )
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str) -> DataFrame:
+def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard: Column | None = None) -> DataFrame:
     """Write the shards whose rows changed to path/shard=N; returns the shards that were left as they were.
 
-    docs needs doc_id and text; a document's row is found by doc_id and the crc of its text.
+    docs are all rows of the plan, with doc_id and text. Rows of docs and plan meet by doc_id, size and crc of the text,
+    and by their number among rows that are equal in these, so each has its own slot. old_shard is what reshard was given;
+    where it tells equal rows apart, they keep to their own places. Other shards under path stay; those that the plan
+    empties go.
     """
-    touched = plan.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    moved = plan.join(F.broadcast(touched), "shard", "left_semi").select("doc_id", F.col("text_crc32").alias("_crc"), "shard", "slot")
-    docs.withColumn("_crc", crc).join(moved.dropDuplicates(["doc_id", "_crc"]), ["doc_id", "_crc"]).drop("_crc").write.mode("overwrite").partitionBy("shard").parquet(path)
+    touched = materialize(plan.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct(), "reshard-touched")
+    text = F.col("text").cast("string")
+    key = {"_id": F.col("doc_id").cast("long"), "_size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), "_crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary"))}
+    if old_shard is not None:
+        key["_old"] = old_shard.cast("int")
+    names = [*key, "_k"]
+    places = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("old_shard").alias("_old"), "shard", "slot")
+    places = places.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot"))).select(*names, "shard", "slot")
+    rows = docs.withColumns(key).drop("shard", "slot").withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("text")))
+    moved = places.join(F.broadcast(touched), "shard", "left_semi").select(*(F.col(c).alias(f"to{c}") for c in names), "shard", "slot")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"to{c}")) for c in names))
+    out = rows.join(moved, same).select(*(c for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    emptied = touched.join(plan, "shard", "left_anti").collect()  # at most a row for each shard
+    if emptied:
+        spark = docs.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for (shard,) in emptied:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(at, f"shard={shard}"), True)
     return plan.select("shard").distinct().join(touched, "shard", "left_anti")

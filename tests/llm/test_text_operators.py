@@ -380,6 +380,23 @@ def test_rewrite(spark, tmp_path):
     assert out.count() == plan.where(~F.col("shard").isin(*left) if left else F.lit(True)).count()
 
 
+def test_rewrite_of_null_and_repeated_rows_in_place(spark, tmp_path):
+    path = str(tmp_path / "live")
+    rows = [(k, "q" * (k % 50 + 1), 0) for k in range(200)] + [(k, "q" * 25, 1) for k in range(200, 260)]
+    rows += [(None, f"text {k}", 0) for k in range(20)] + [(None, None, 0)] * 3 + [(7, "again " * 9, k % 2) for k in range(40)] + [(900, "left alone", 2)] * 5 + [(500, "gone", 5)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lies int").withColumn("row", F.monotonically_increasing_id())
+    docs.withColumn("shard", F.col("lies")).withColumn("slot", F.lit(-1).cast("long")).write.partitionBy("shard").parquet(path)
+    plan = sharding.reshard(docs, 2, old_shard=F.when(F.col("lies") == 2, 0).otherwise(F.col("lies")))
+    live = spark.read.parquet(path).where("lies <> 2")
+    plan = plan.where("doc_id is null or doc_id <> 900").localCheckpoint()
+    sharding.rewrite(live, plan, path, F.col("lies"))
+    out = spark.read.parquet(path).collect()
+    assert sorted(r.row for r in out) == sorted(r.row for r in docs.collect())
+    assert sum(r.shard == 2 for r in out) == 5 and not any(r.shard == 5 for r in out)
+    facts = lambda rs: Counter((r.doc_id, r.shard, r.slot) for r in rs if r.shard != 2)
+    assert facts(out) == facts(plan.collect())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab c\n|#É \t", max_size=60))
 def test_stats_count_as_python_does(text):
