@@ -1,12 +1,19 @@
 """Secret scans by assignment-aware lexing.
 
-Besides the base patterns (assign, access, hex) the scanner reads name-literal pairs of source and configuration
-syntax (`name = "x"`, `name: x`, `"name": "x"`, `name := x`, `name => x`, `<name>=x`), keeps the constants of a text,
-resolves a bare right-hand side that names an earlier constant (chains included), and scores every literal by its
-target's name and its own look. Literals at or over THRESHOLD are added as spans of kind `literal`.
-
-Defined results: a null text is empty; an empty text has no spans; a text of any length is scanned whole, in one pass
-for each pattern; repeated rows give repeated results; an empty table gives an empty one; other columns are ignored.
+Besides the base patterns (assign, access, hex) the scanner lexes source and configuration syntax in one pass: strings with
+prefixes, escapes and triple quotes, comments, names, separators, braces and indentation. From these it reads name-literal
+pairs: `name = "x"`, `name: "x"`, `"name": "x"`, `name := "x"`, `name => "x"`, `--name=x`, `a=x&b=y`, `name: type = "x"`,
+`type name = "x"`, `var name type = "x"`, `<name>x</name>`, `key="name" value="x"`, and literals joined by `+` or standing
+side by side. What stands inside strings and comments is no assignment. A bare right-hand side that names an earlier constant
+of an open scope (braces, or the body of a def or class) stands for that constant, chains included. Every literal is scored
+by its target's name and its own look; literals at or over THRESHOLD are added as spans of kind `literal`.
+
+Constants are kept as places in the text, and no place is looked at more than a fixed number of times, so that time and memory
+grow with the text's length alone.
+
+Defined results: a null text is empty; an empty text has no spans; a text of any length is scanned whole; of equal findings at
+one place the best scored name stays, of equal scores the first; repeated rows give repeated results; an empty table gives an
+empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +38,37 @@ KINDS = ("assign", "access", "hex", "literal")
 #: Needed in a text before ASSIGN can match; a plain search is much faster than the pattern.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-SEPARATOR = re.compile(r":=|=>|==+|!=|<=|>=|[=:]")
-NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["'\]>]?[ \t]*\Z""")
-LITERAL = re.compile(r"""[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]<>]+))""")
-#: Characters before a separator in which the name is looked for.
-NAME_SPAN = 160
+QUOTED = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*+`"""
+PREFIX = r"(?:(?<![\w$])[rRbBuUfFlL@$]{1,2})?"
+TOKEN = re.compile(
+    rf"""
+    (?P<line>\n[ \t]*)
+  | (?P<escape>\\.)
+  | (?P<block>/\*|<!--)
+  | (?P<comment>(?<!:)//[^\n]*|(?<!\S)\#[^\n]*)
+  | {PREFIX}(?P<triple>\"\"\"|\'\'\')
+  | (?P<string>{PREFIX}(?:{QUOTED}))
+  | <(?P<tag>[A-Za-z_][\w.:-]*)(?:[ \t][^<>\n]*)?>(?P<inner>[^<>]*)</(?P=tag)>
+  | (?P<skip>===?|!==?|<=|>=|->|::|[+*/%|^-]=(?!=))
+  | (?P<sep>:=|=>|[=:])
+  | (?P<word>[\w$]++(?:[.-][\w$]++)*+(?:'[a-z]{{1,2}}\b(?!'))?)
+  | (?P<mark>[{{}};,()&|])
+    """,
+    re.X | re.S,
+)
+#: A type between a name's colon and the equals sign of its value.
+TYPE = re.compile(r"""[ \t]*(?:&(?:'\w+[ \t]+)?(?:mut[ \t]+)?)?[A-Za-z_][\w.]*+(?:[\[<][\w \t.,|]*+(?:[\[<][\w \t.,|]*+[\]>][\w \t.,|]*+)*+[\]>])?(?:\[\])*(?:[ \t]*\|[ \t]*[\w.]++)*+[?!]?[ \t]*=(?![=>~])""")
+TYPES_AFTER = frozenset({"string", "str", "byte", "bytes", "rune", "any", "text"})
+GAP = re.compile(r"(?:[ \t(]|\\\r?\n)*+")
+OPENING = re.compile(PREFIX + r"(\"\"\"|'''|[\"'`])")
+STRING = re.compile(PREFIX + f"(?:{QUOTED})", re.S)
+JOIN = re.compile(r"""[ \t]*(?:\+[ \t]*(?:\r?\n[ \t]*)?|\\\r?\n[ \t]*)?(?=[rRbBuUfFlL@$]{0,2}["'`])""")
+#: An unquoted literal ends at a blank, quote, bracket, comma, ampersand or the next separator; it may end in padding.
+BARE = re.compile(r"(?:(?:Bearer|Basic|Token)[ \t]++(?=\S))?((?:[^\s\"'`,;(){}\[\]<>&=:]|:(?!\s|\Z))++(?:={1,2}(?=[\s\"'`,;)}\]<>&]|\Z))?)")
+#: What a string or its prefix begins with.
+OPENERS = frozenset("\"'`rRbBuUfFlL@$")
+#: Attributes that name the next attribute's value.
+NAMING, NAMED = frozenset({"name", "key"}), frozenset({"value", "val", "default", "content"})
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How much a part of a target's name speaks for a secret.
 SENSITIVE = {
@@ -47,6 +81,7 @@ PLACEHOLDER = re.compile(r"(?i)\A(?:none|null|nil|true|false|undefined|changeme|
 THRESHOLD = 0.5
 
 
+@lru_cache(4096)
 def name_score(name: str) -> float:
     parts = [p.lower() for p in PARTS.findall(name)]
     score = sum(SENSITIVE.get(p, 0.0) for p in dict.fromkeys(parts))
@@ -77,46 +112,174 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, literal, its start, its end, whether it is quoted) of each assignment, in order."""
-    for m in SEPARATOR.finditer(text):
-        if m[0] in ("!=", "<=", ">=") or m[0].startswith("=="):
-            continue
-        name = NAME_BEFORE.search(text[max(0, m.start() - NAME_SPAN) : m.start()])
-        value = name and LITERAL.match(text, m.end())
-        if value:
-            k = value.lastindex
-            yield name[1], value[k], value.start(k), value.end(k), k < 4
+class Lexer:
+    """One pass over a text; pairs() gives (name, pieces, quoted, whether a call or path goes on) of each assignment."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.unclosed: set[str] = set()
+
+    def closing(self, mark: str, at: int) -> int:
+        """The place of the next mark that no backslash escapes, or -1; a mark that was missed once isn't looked for again."""
+        if mark in self.unclosed:
+            return -1
+        while (at := self.text.find(mark, at)) > 0 and len(mark) == 3 and mark != "-->" and self.text[at - 1] == "\\":
+            at += 1
+        if at < 0:
+            self.unclosed.add(mark)
+        return at
+
+    def string(self, at: int) -> tuple[int, int, int] | None:
+        """Start and end of the content and end of the string that opens at this place."""
+        m = OPENING.match(self.text, at)
+        if not m:
+            return None
+        if len(m[1]) == 3 and (end := self.closing(m[1], m.end())) >= 0:
+            return m.end(), end, end + 3
+        m2 = STRING.match(self.text, at)
+        return (m.start(1) + 1, m2.end() - 1, m2.end()) if m2 else None
+
+    def value(self, at: int) -> tuple[list[tuple[int, int]], bool, int] | None:
+        """(pieces, quoted, end) of the literal that stands at this place: strings, joined ones too, or a bare word."""
+        text = self.text
+        at = GAP.match(text, at).end()
+        pieces = []
+        while text[at : at + 1] in OPENERS and (found := self.string(at)):
+            pieces.append(found[:2])
+            end = found[2]
+            joint = JOIN.match(text, end)
+            if not joint:
+                return pieces, True, end
+            at = joint.end()
+        if pieces:
+            return pieces, True, end
+        m = BARE.match(text, at)
+        if not m or text.startswith("//", at) or text.startswith("/*", at):
+            return None
+        return [m.span(1)], False, m.end()
+
+    def pairs(self) -> Iterator[tuple[str, list[tuple[int, int]], bool, int]]:
+        """(name, pieces, quoted, depth): depth +1 and -1 with an empty name tell where a scope opens and closes."""
+        text, at, n = self.text, 0, len(self.text)
+        last = before = None  # the two names that stand before this place in its statement
+        naming = None
+        bodies: list[int] = []  # indents of open def and class statements
+        fresh, heads = True, False
+        while at < n:
+            m = TOKEN.search(text, at)
+            if not m:
+                break
+            kind, at = m.lastgroup, m.end()
+            if kind == "line":
+                last = before = None
+                indent = len(m[0]) - 1
+                if at < n and text[at] not in "\r\n#":
+                    while bodies and bodies[-1] >= indent:
+                        bodies.pop()
+                        yield "", [], False, -1
+                    if heads:
+                        bodies.append(heads - 1)
+                        yield "", [], False, 1
+                    heads = 0
+                fresh = True
+                continue
+            if kind == "block":
+                mark = "*/" if m[0] == "/*" else "-->"
+                end = self.closing(mark, at)
+                at = end + len(mark) if end >= 0 else at
+            elif kind == "comment" or kind == "escape":
+                pass
+            elif kind in ("triple", "string"):
+                found = self.string(m.start())
+                if found:
+                    last, before, at = text[found[0] : found[1]] if found[1] - found[0] <= 256 else None, last, found[2]
+            elif kind == "inner":
+                yield m["tag"], [m.span("inner")], True, 0
+            elif kind == "word":
+                if fresh and m[0] in ("def", "class"):
+                    line = text.rfind("\n", 0, m.start()) + 1
+                    heads = m.start() - line + 1
+                last, before = m[0], last
+            elif kind == "mark":
+                if m[0] in "{}":
+                    yield "", [], False, 2 if m[0] == "{" else -2
+                    naming = None if m[0] == "}" else naming
+                last = before = None
+            elif kind == "sep" and last is not None:
+                if m[0] == ":" and (typed := TYPE.match(text, at)):
+                    at = typed.end()
+                elif m[0] == "=" and before is not None and last in TYPES_AFTER:
+                    last = before
+                found = self.value(at)
+                name, last, before = last, None, None
+                if found:
+                    pieces, quoted, end = found
+                    if quoted and name in NAMING:
+                        naming = text[pieces[0][0] : pieces[-1][1]] if pieces[-1][1] - pieces[0][0] <= 256 else None
+                    elif naming is not None and name in NAMED:
+                        name, naming = naming, None
+                    if quoted or not text.startswith("(", end):
+                        yield name, pieces, quoted, 0
+                    if not quoted and end < n and text[end] in "=:":
+                        last = text[pieces[0][0] : pieces[0][1]] if pieces[0][1] - pieces[0][0] <= 256 else None
+                    at = end
+            fresh = False
+
+
+def scoped(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """(name, places of its literal) of each assignment; names of constants in open scopes are resolved."""
+    known: dict[str, list] = {}  # name -> what it stands for, innermost scope last
+    scopes: list[tuple[int, list[str]]] = [(0, [])]  # kind (1 body, 2 braces), names defined there
+    opened = Counter()
+    for name, pieces, quoted, depth in Lexer(text).pairs():
+        if depth > 0:
+            scopes.append((depth, []))
+            opened[depth] += 1
+        elif depth < 0:
+            while opened[-depth]:
+                kind, names = scopes.pop()
+                opened[kind] -= 1
+                for own in names:
+                    known[own].pop()
+                if kind == -depth:
+                    break
+        else:
+            if not quoted and (old := known.get(text[pieces[0][0] : pieces[0][1]])):
+                pieces = old[-1]
+            known.setdefault(name, []).append(pieces)
+            scopes[-1][1].append(name)
+            yield name, pieces
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int, str, float]]:
     """(start, 3, end, name, score) of the literals that the scorer takes for secrets."""
-    if "=" not in text and ":" not in text:
+    low = text.lower()
+    if not any(w in low for w in SENSITIVE):
         return []
-    constants: dict[str, tuple[str, int, int]] = {}
+    looks: dict[tuple[int, int], float] = {}
     found: dict[tuple[int, int], tuple[str, float]] = {}
-    for name, value, start, end, quoted in pairs(text):
-        value, start, end = constants.get(value, (value, start, end)) if not quoted else (value, start, end)
-        if not value:
-            continue
-        constants[name] = (value, start, end)
+    for name, pieces in scoped(text):
         by_name = name_score(name)
-        score = by_name * literal_score(value) if by_name >= 0.5 else 0.0
-        if score >= THRESHOLD and score > found.get((start, end), ("", 0.0))[1]:
-            found[start, end] = (name, score)
+        if by_name < THRESHOLD:
+            continue
+        at = pieces[0][0], pieces[-1][1]
+        if at not in looks:
+            looks[at] = literal_score("".join(text[a:b] for a, b in pieces))
+        score = by_name * looks[at]
+        if score >= THRESHOLD and score > found.get(at, ("", 0.0))[1]:
+            found[at] = (name, score)
     return [(start, 3, end, *how) for (start, end), how in sorted(found.items())]
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str, float]]]:
     """Base spans, and the method's spans that no base span holds."""
-    base, more, reach, k, seen = base_spans(text), [], 0, 0, []
+    base, more, reach, k = base_spans(text), [], 0, 0
     for start, kind, end, name, score in literal_spans(text):
         while k < len(base) and base[k][0] <= start:
             reach, k = max(reach, base[k][2]), k + 1
         if end > reach:
             more.append((start, kind, end, name, score))
-    seen.extend(base)
-    return seen, more
+    return base, more
 
 
 def joined(spans) -> str:
