@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from geoloom.llm import decontamination, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding, warc_revisits
+from geoloom.llm.common import materialize
 from geoloom.llm.textstats import stats
 
 WORDS = [w for w in "the cat sat on a mat and ate some fish while dogs ran over green hills near old rivers".split()]
@@ -147,12 +148,58 @@ def test_quality_rules(docs, empty):
     assert len(rows) == docs.count() and quality_rules.judge(empty).count() == 0
 
 
-def test_em_tells_rare_failures_from_good_documents():
+def brute_em(votes):
+    """EM over single documents, in plain Python; (quality of each document, rates)."""
+    n, m = len(votes), len(votes[0])
+    rates = [[list(quality_rules.EXPECTED[c]) for c in (0, 1)] for _ in range(m)]
+    good = 0.85
+    for _ in range(500):
+        post = []
+        for v in votes:
+            fit = [math.log(1 - good), math.log(good)]
+            for r, x in enumerate(v):
+                for c in (0, 1):
+                    fit[c] += math.log(rates[r][c][x + 1])
+            post.append(1 / (1 + math.exp(min(500, fit[0] - fit[1]))))
+        good = (sum(post) + quality_rules.PRIOR * n / 2) / (n * (1 + quality_rules.PRIOR))
+        new = [[[quality_rules.PRIOR * n * e for e in quality_rules.EXPECTED[c]] for c in (0, 1)] for _ in range(m)]
+        for v, p in zip(votes, post, strict=True):
+            for r, x in enumerate(v):
+                new[r][0][x + 1] += 1 - p
+                new[r][1][x + 1] += p
+        rates, old = [[[y / sum(c) for y in c] for c in r] for r in new], rates
+        if max(abs(a - b) for r, s in zip(rates, old, strict=True) for c, d in zip(r, s, strict=True) for a, b in zip(c, d, strict=True)) < 1e-9:
+            break
+    return post, rates
+
+
+def test_quality_and_kept_equal_em_over_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = list(quality_rules.rules())
+    rows = quality_rules.judge(docs).collect()
+    table = [[r.pattern // 3**k % 3 - 1 for k in range(len(names))] for r in rows]
+    post, _ = brute_em(table)
+    assert [r.quality for r in rows] == pytest.approx(post, abs=1e-6)
+    assert [r.kept for r in rows] == [not r.base_failed and p >= 0.5 for r, p in zip(rows, post, strict=True)]
+    assert any(r.kept for r in rows) and not all(r.kept or r.base_failed for r in rows)
+
+
+def test_em_weighs_rules_by_their_accuracy():
+    """Votes drawn from known rates: EM finds them, and accurate good votes outweigh several bad votes of poor rules."""
     import numpy as np
 
-    votes = np.array([[1, 1, 1], [-1, 1, 1], [1, -1, 1], [1, 1, 0]])
-    post = quality_rules.fit_em(votes, np.array([900.0, 40, 40, 20]))[2]
-    assert post[0] > 0.9 and post[3] > 0.5 and post[1] < 0.5 and post[2] < 0.5
+    rng = np.random.default_rng(5)
+    poor, sharp = [[0.4, 0.2, 0.4], [0.25, 0.2, 0.55]], [[0.8, 0.1, 0.1], [0.01, 0.09, 0.9]]
+    true = np.array([poor, poor, poor, sharp, sharp, sharp])
+    good = rng.random(40_000) < 0.7
+    votes = np.stack([[-1, 0, 1][0] + (rng.random(len(good))[:, None] > np.cumsum(r[good.astype(int)], 1)[:, :2]).sum(1) for r in true], 1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    rates, prior, post = quality_rules.fit_em(patterns, counts.astype(float))
+    share = np.array([0.3, 0.7])[:, None]
+    want = (share * true + quality_rules.PRIOR * np.array(quality_rules.EXPECTED)) / (share + quality_rules.PRIOR)  # what the prior's weight makes of the true rates
+    assert np.abs(rates - want).max() < 0.05 and abs(prior - 0.7) < 0.05
+    of = {tuple(p): q for p, q in zip(patterns.tolist(), post, strict=True)}
+    assert of[-1, -1, -1, 1, 1, 1] > 0.9 and of[1, 1, 1, -1, -1, -1] < 0.1 and of[1, 1, 1, -1, -1, 1] < 0.5
 
 
 def test_lm_scores(docs, empty):
@@ -388,7 +435,7 @@ def test_rewrite_of_null_and_repeated_rows_in_place(spark, tmp_path):
     docs.withColumn("shard", F.col("lies")).withColumn("slot", F.lit(-1).cast("long")).write.partitionBy("shard").parquet(path)
     plan = sharding.reshard(docs, 2, old_shard=F.when(F.col("lies") == 2, 0).otherwise(F.col("lies")))
     live = spark.read.parquet(path).where("lies <> 2")
-    plan = plan.where("doc_id is null or doc_id <> 900").localCheckpoint()
+    plan = materialize(plan.where("doc_id is null or doc_id <> 900"), "test-plan")
     sharding.rewrite(live, plan, path, F.col("lies"))
     out = spark.read.parquet(path).collect()
     assert sorted(r.row for r in out) == sorted(r.row for r in docs.collect())
