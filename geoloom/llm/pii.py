@@ -1,17 +1,21 @@
 """Personal data by candidate gradient boosting, in DataFrame operations only.
 
 Generators with high recall propose overlapping spans: the four base patterns without their checks, loose numbers and
-spelt-out addresses. Each candidate becomes a few small integers of format and context. Candidates of the base patterns
-are labelled by their checks (parts of an address, Luhn, number of digits); the table of candidates is reduced to counts for
-each combination of features, which is bounded, and gradient-boosted trees are fitted to it. The threshold is the least
-score whose precision over the labelled candidates reaches PRECISION; other candidates at or over it are added, unless a
-base span overlaps them. Base spans always stay.
+spelt-out addresses. Each candidate becomes a few small integers of format and context; the checks of the base rules (parts of
+an address, Luhn) are not among them. They only label: a candidate of a base pattern is personal data if it passes and is not
+if it has the right number of digits and fails; a loose number or address takes the label of the base candidate that it
+overlaps, and one glued to letters is part of a word. What no rule labels counts little, as a negative (UNLABELLED). The table
+of candidates is reduced to counts for each combination of features, which is bounded, and gradient-boosted trees are fitted
+to it on four of five folds of documents. The threshold is the least score whose precision over the labelled candidates of the
+fifth fold reaches PRECISION; unlabelled candidates at or over it are added, unless a base span overlaps them. Base spans
+always stay.
 
 Patterns are written so that they take time in proportion to the text: possessive repeats, and a start only where no longer
 match could have started (a look-behind, or the end of the match before).
 
 Defined results: a null text is empty; an empty text has no spans; texts are read whole; rows that share doc_id and text get
-equal results; without labelled candidates of both kinds no span is added; an empty table gives an empty result; other
+equal results; a text of any length is read whole; without labelled candidates of both kinds in the larger part, or of a good
+one in the fifth fold, no span is added; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -35,8 +39,12 @@ PATTERNS = {
     "number": r"\(?[0-9][\x20().0-9-]{5,}[0-9]",
     "address": r"(?:\G|(?<![A-Za-z0-9._-]))[A-Za-z0-9._-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9-]++)++",
 }
-FEATURES = ("at", "dots", "digits", "seps", "groups", "check", "cue", "left", "right")
-#: Precision over the labelled candidates that a score must reach for its candidates to be added.
+FEATURES = ("at", "dots", "digits", "seps", "groups", "cue", "left", "right")
+#: What a candidate without a label weighs as a negative.
+UNLABELLED = 0.05
+#: One of so many folds of documents sets the threshold.
+FOLDS = 5
+#: Precision over the labelled candidates of the held-out fold that a score must reach for its candidates to be added.
 PRECISION = 0.95
 CONTEXT = 24
 
@@ -95,7 +103,9 @@ def described(rows: DataFrame) -> DataFrame:
     """Candidates with their place, their features, and whether the base rules take them (null: no base kind)."""
     before = Window.partitionBy("doc_id", "h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.dropDuplicates(["doc_id", "h", "kind", "i"])  # repeated rows of documents propose the same
-    digits, kind, match = F.regexp_replace("match", "[^0-9]", ""), F.col("kind"), F.col("match")
+    digits, kind = F.regexp_replace("match", "[^0-9]", ""), F.col("kind")
+    spelt = F.regexp_replace(F.regexp_replace("match", r"\x20?[\[(]at[\])]\x20?", "@"), r"\x20?[\[(]dot[\])]\x20?", ".")
+    match = F.when(kind == "address", spelt).otherwise(F.col("match"))  # an address has the features of what it spells out
     rows = rows.withColumns({"end": F.sum(F.col("gap") + F.length("match")).over(before), "d": digits})
     n = F.length("d")
     ok_luhn, ok_parts = n.between(12, 19) & luhn(F.substring("d", 1, 20)), (kind == "ip") & small_parts(match)
@@ -103,17 +113,37 @@ def described(rows: DataFrame) -> DataFrame:
     left = F.lower("left")
     flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
     features = {
-        "at": flag(match.contains("@") | match.rlike(r"[\[(]at[\])]")),
+        "at": flag(match.contains("@")),
         "dots": flag(match.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$")),
         "digits": F.when(n == 0, 0).when(n < 7, 1).when(n < 9, 2).when(n < 12, 3).when(n < 16, 4).when(n < 20, 5).otherwise(6),
         "seps": flag(match.rlike(r"[\x20-]")) + 2 * flag(match.contains("(")),
         "groups": F.when(match.rlike(r"\(?\b[0-9]{3}\)?[\x20.-]+[0-9]{3}[\x20.-][0-9]{4}$"), 1).when(match.rlike(r"^[0-9]{4}([\x20-]?[0-9]{4}){3}$"), 2).otherwise(0),
-        "check": flag(ok_luhn | ok_parts),
         "cue": F.when(left.rlike(r"mail|contact|reach|write"), 1).when(left.rlike(r"tel|phone|call|fax|mobile"), 2).when(left.rlike(r"card|visa|account|iban|ssn|server|host|\bip\b"), 3).otherwise(0),
         "left": flag(F.right("left", F.lit(1)).rlike(r"[A-Za-z0-9_.@/]")),
         "right": flag(F.col("right").rlike(r"[A-Za-z0-9_@/]")),
     }
-    return rows.select("doc_id", "h", "kind", (F.col("end") - F.length("match")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), base.alias("base"), *(v.cast("int").alias(f"f_{k}") for k, v in features.items()))
+    fails = F.when(kind == "ip", ~ok_parts).when(kind == "card", n.between(12, 19) & ~ok_luhn).when(kind == "phone", ~n.between(9, 15))
+    rows = rows.select(
+        "doc_id", "h", "kind", (F.col("end") - F.length("match")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), base.alias("base"),
+        F.when(base, True).when(fails, False).alias("sure"), *(v.cast("int").alias(f"f_{k}") for k, v in features.items()),
+    )
+    return rows.withColumn("label", F.when(F.col("base").isNotNull(), F.col("sure")).otherwise(overlapped())).drop("sure")
+
+
+def overlapped() -> Column:
+    """What the base candidates that a span overlaps say of it: true before false; glued to letters: false; else null.
+
+    Spans of a document stand in the order of their starts, so an earlier one overlaps if the greatest end so far lies
+    beyond the start, and a later one if the next start lies before the end.
+    """
+    order = Window.partitionBy("doc_id", "h").orderBy("start", "end", "kind")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+
+    def meets(sure: Column) -> Column:
+        ends, starts = F.max(F.when(sure, F.col("end"))).over(before), F.min(F.when(sure, F.col("start"))).over(after)
+        return F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
+
+    return F.when(meets(F.col("sure")), True).when(meets(~F.col("sure")) | ((F.col("f_left") + F.col("f_right")) > 0), False)
 
 
 def fit_boosting(x: np.ndarray, good: np.ndarray, bad: np.ndarray, rounds: int = 40, depth: int = 2, rate: float = 0.3) -> np.ndarray:
@@ -157,18 +187,21 @@ def threshold(score: np.ndarray, good: np.ndarray, bad: np.ndarray, precision: f
 def chosen(rows: DataFrame, precision: float = PRECISION) -> DataFrame:
     """Candidates that stay, with their score: base spans, and others that the trees take for personal data."""
     names = [f"f_{k}" for k in FEATURES]
-    seen = rows.groupBy(*names).agg(F.count_if("base").alias("good"), F.count_if(~F.col("base")).alias("bad")).collect()  # a row for each combination of features, at most 2 * 2 * 7 * 4 * 3 * 2 * 4 * 2 * 2
+    held = F.pmod(F.xxhash64("h"), F.lit(FOLDS)) == 0
+    counts = {"good": F.col("label"), "bad": ~F.col("label"), "open": F.col("label").isNull() & F.col("base").isNull()}
+    seen = rows.groupBy(*names).agg(*(F.count_if(c & f).alias(f"{k}_{part}") for k, c in counts.items() for part, f in (("fit", ~held), ("held", held)))).collect()  # a row for each combination of features, at most 2 * 2 * 7 * 4 * 3 * 4 * 2 * 2
     base = rows.where("base").withColumn("score", F.lit(1.0))
-    good, bad = (np.array([r[k] for r in seen], float) for k in ("good", "bad"))
-    if not good.sum() or not bad.sum():
-        return base.drop(*names)
+    of = {k: np.array([r[k] for r in seen], float) for k in ("good_fit", "bad_fit", "open_fit", "good_held", "bad_held")}
+    if not of["good_fit"].sum() or not of["bad_fit"].sum():
+        return base.drop(*names, "label")
     x = np.array([[r[k] for k in names] for r in seen], int)
-    logit = fit_boosting(x, good, bad)
-    least = threshold(logit[good + bad > 0], good[good + bad > 0], bad[good + bad > 0], precision)
+    logit = fit_boosting(x, of["good_fit"], of["bad_fit"] + UNLABELLED * of["open_fit"])
+    marked = of["good_held"] + of["bad_held"] > 0
+    least = threshold(logit[marked], of["good_held"][marked], of["bad_held"][marked], precision)
     kept = [(*map(int, f), float(1 / (1 + np.exp(-s)))) for f, s in zip(x, logit, strict=True) if s >= least]
     table = rows.sparkSession.createDataFrame(kept, ", ".join(f"{k} int" for k in names) + ", score double")
-    more = rows.where(F.col("base").isNull()).join(F.broadcast(table), names)
-    return base.unionByName(more).drop(*names)
+    more = rows.where(F.col("base").isNull() & F.col("label").isNull()).join(F.broadcast(table), names)
+    return base.unionByName(more).drop(*names, "label")
 
 
 def find_pii(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
@@ -188,4 +221,4 @@ def find_pii(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), "h", *(f"n_{k}" for k in BASE), text("own").alias("_own"), text("findings").alias("_all"), "findings")
     keys = docs.select("doc_id", F.xxhash64("text").alias("_h"))
     out = keys.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("h")), "left")
-    return out.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in BASE), F.sha2(F.coalesce("_own", F.lit("")), 256).alias("base_sha256"), F.coalesce("_all", F.lit("")).alias("spans"), "findings")
+    return out.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in BASE), F.sha2(F.coalesce("_own", F.lit("")), 256).alias("base_sha256"), F.coalesce("_all", F.lit("")).alias("spans"), F.coalesce("findings", F.array().cast(out.schema["findings"].dataType)).alias("findings"))

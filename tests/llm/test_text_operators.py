@@ -392,10 +392,28 @@ def test_pii(spark, docs, empty):
         n = Counter(s[2] for s in spans)
         want.append((r.doc_id, n["email"], n["ip"], n["card"], n["phone"], digest(spans)))
     assert by_row(rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")) == sorted(want, key=repr)
-    assert "number:5:19" in {s for r in rows.where("doc_id = 105").collect() for s in r.spans.split(",")}
     assert pii.find_pii(empty).count() == 0
 
 
+def test_pii_adds_what_the_base_rules_miss(spark):
+    """Planted data beyond the base patterns is found, decoys are not; the model only ever saw labels of the base rules."""
+    word, texts, want = prose(3, 12), [], {}
+    for k in range(600):
+        a, b, c = 200 + k % 700, 200 + k * 7 % 700, 1000 + k * 37 % 9000
+        kind, lead = k % 6, ("call me at", "my phone is", "tel.")[k % 3]
+        plus, loose = f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}"
+        bad_card = f"{4000 + k} 1234 5678 {1000 + k}"
+        body = [f"{lead} {plus}", f"{lead} {loose}", f"made on 2024-01-{10 + k % 18} at noon", f"order {bad_card} of the shop", f"part no. X{c}{a}{b}Y is old", f"mail joe{k}@ex.org or joe{k} (at) ex (dot) org"][kind]
+        text = f"{word} {body}. {word}"
+        texts.append((k, text))
+        want[k] = {1: {loose}, 5: {f"joe{k} (at) ex (dot) org"}}.get(kind, set())
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    text_of = dict(texts)
+    found = {r.doc_id: {text_of[r.doc_id][f.start : f.end] for f in r.findings if f.kind in ("number", "address")} for r in pii.find_pii(docs).collect()}
+    hits = sum(len(found[k] & want[k]) for k in want)
+    assert hits >= 0.95 * sum(map(len, want.values())) and hits >= 0.95 * sum(map(len, found.values()))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 50), min_size=4, max_size=4))
 def test_flow_moves_the_fewest_bytes(sizes):
