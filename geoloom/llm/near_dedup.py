@@ -5,16 +5,18 @@ hashes of its set. Inverted lists of the retained values generate overlaps: a pa
 of chances of at least `shared` of its retained values, so each class enters only the lists of its rarest
 size - shared + 1 values (prefix filtering over the sketches), and values of one class alone are dropped. Lists are not
 expanded into pairs: every member of a long list meets the list's pivot, the class with the most common values; the union's
-sketch estimates the similarity, and what passes is verified with exact Jaccard similarity over the full sets. Lists whose
-members are then in one component are done. Classes that open lists connect form clusters, and a cluster is compared block
-against block over full sets, only between different components, for sizes that can reach the threshold; a task holds two
-blocks, and gives no more links than connect what it found. Components are joined by alternating stars.
+sketch estimates the similarity, and what passes is verified with exact Jaccard similarity over the full sets, the pivot's text
+being sent once for every few thousand of its members. Lists whose members are then in one component are done. Classes that
+open lists connect form clusters, which are compared block against block over full sets, only between different components,
+for sizes that can reach the threshold; a cluster that many small lists hold together is compared list by list, where that
+takes fewer comparisons. A task holds two blocks, and gives no more links than connect what it found. Components are joined by
+alternating stars. Joins by a value, a pivot, a cluster or a digest broadcast the rows of heavy keys (operators.skew).
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; fewer words than the shingle's
 width make one shingle; equal sets are linked; a document is a doc_id with a text, so one doc_id may have several, linked
 only where their texts are, and rows without doc_id are told apart by their texts; repeated rows are one document; a
-component takes the smallest doc_id in it, null where no row of it has one; an empty table gives an empty result; other
-columns are ignored. Documents, shingles and digests are known by 64-, 64- and 128-bit hashes.
+component takes the smallest doc_id in it, null where no row of it has one; a text of any length is one set, in one task; an empty
+table gives an empty result; other columns are ignored, whatever their names. Documents, shingles and digests are known by 64-, 64- and 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.common import Memo, chunks, id_text, materialize
 from geoloom.operators.components import components
+from geoloom.operators.skew import HEAVY, join_by
+from geoloom.session import discard
 
 K = 32
 #: Share of the smaller sketch that a pair at the threshold 0.8 has in common at least; for k = 32 it misses 1 in 10 ** 8.
@@ -42,6 +46,10 @@ BLOCK_SHINGLES = 1 << 18
 #: Clusters of so few classes share a call: about BIN_DOCS classes are hashed into one group.
 FEW_DOCS, FEW_SHINGLES = 64, 1 << 16
 BIN_DOCS = 1024
+#: Members of a pivot that one copy of its text serves.
+PIVOT_MEMBERS = 4096
+#: Parts into which the pairs of blocks of one cluster are dealt.
+SALTS = 16
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -97,92 +105,130 @@ def similar_sizes(a: str, b: str, threshold: float) -> Column:
 
 
 def lists(classes: DataFrame, k: int) -> DataFrame:
-    """(v, rep, n, common): each class in the inverted lists of its rarest retained values; values of one class are left out.
+    """(v, rep, n, common, heavy): each class in the inverted lists of its rarest retained values; values of one class are
+    left out.
 
     common: how often the class's values occur in other sketches, which is greatest for what copies were made of.
+    heavy: whether more than one part in HEAVY of all postings has this value, so at most HEAVY values do.
     """
     postings = classes.select("rep", "n", F.explode("sketch").alias("v"))
-    often = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    mine = postings.join(often, "v").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("own"), F.sum("c").alias("common"))
+    total = classes.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
+    often = materialize(postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").withColumn("heavy", F.col("c") * HEAVY > total), "near-values")
+    met = join_by(postings, often, "v", often.where("heavy"))
+    mine = met.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v", "heavy"))).alias("own"), F.sum("c").alias("common"))
     size = F.least(F.col("n"), F.lit(k))
     prefix = size - F.greatest(F.lit(1), F.floor(size * SHARED)) + 1
     room = (prefix - (size - F.size("own"))).cast("int")  # values of one class come first in the order
-    return mine.where(room > 0).select("rep", "n", "common", F.explode(F.slice("own", F.lit(1), room)).alias("p")).select("p.v", "rep", "n", "common")
+    return mine.where(room > 0).select("rep", "n", "common", F.explode(F.slice("own", F.lit(1), room)).alias("p")).select("p.v", "rep", "n", "common", "p.heavy")
+
+
+def by_list(postings: DataFrame, table: DataFrame) -> DataFrame:
+    """postings joined by v with a table that has a row for each list; both tell which values are heavy."""
+    hot, cold = F.col("heavy"), ~F.col("heavy")
+    return postings.where(hot).join(F.broadcast(table.where(hot).drop("heavy")), "v").unionByName(postings.where(cold).join(table.where(cold).drop("heavy"), "v"))
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Pairs whose union's sketch does not rule the threshold out."""
-    both = pairs.join(classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+    both = join_by(pairs, classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     shared = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     return both.where(shared >= SHARED * F.size(union)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of keys whose full shingle sets reach the threshold. Only the texts in question are moved."""
+def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, scratch: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) of keys whose full shingle sets reach the threshold. Only the texts in question are moved.
+
+    A pivot a may have any number of members b: they are dealt over salts, and each salt has the pivot's text once, before
+    those of its members, so that a task streams over them.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = docs.join(ids, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     texts = materialize(texts, "near-texts")
-    joined = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+    scratch.append(texts)
+    most = pairs.groupBy("a").count().agg(F.max("count")).first()[0] or 1
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(-(-most // PIVOT_MEMBERS))).cast("int"))
+    members = dealt.withColumnRenamed("b", "key").join(texts, "key").select("a", "salt", "key", "text", F.lit(1).alias("side"))
+    pivots = dealt.select("a", "salt").distinct().withColumn("key", F.col("a")).join(texts, "key").select("a", "salt", "key", "text", F.lit(0).alias("side"))
+    rows = members.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
     least = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(xxhash.xxh3_64_intdigest)
-        last, own = None, None  # rows come sorted by a, so a pivot's set is made once
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keep = []
-                a, b, ta, tb = (part.column(x).to_pylist() for x in ("a", "b", "ta", "tb"))
-                for i in range(len(a)):
-                    if last != a[i]:
-                        last, own = a[i], shingle_set(ta[i].encode(), width, memo)
-                    other = shingle_set(tb[i].encode(), width, memo)
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    keep.append(100 * both >= least * (len(own) + len(other) - both))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+        own = np.empty(0, np.uint64)
+        for part, texts in chunks(batches):
+            a, key, side = (part.column(x).to_numpy() for x in ("a", "key", "side"))
+            keep = np.zeros(len(a), bool)
+            for i, text in enumerate(texts):
+                one = shingle_set(text, width, memo)
+                if side[i] == 0:
+                    own = one
+                else:
+                    both = len(np.intersect1d(own, one, assume_unique=True))
+                    keep[i] = 100 * both >= least * (len(own) + len(one) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(key[keep])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def met_pivot(postings: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of every long list's pivot, its most common class, and the other members with sizes that can reach the threshold."""
-    chosen = postings.groupBy("v").agg(F.max_by(F.struct("rep", "n"), F.struct("common", "rep")).alias("p"), F.count("*").alias("members")).where(F.col("members") > SHORT_LIST)
-    met = postings.join(chosen, "v").where((F.col("rep") != F.col("p.rep")) & similar_sizes("n", "p.n", threshold))
-    return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+    """(a, b): every long list's pivot, its most common class, and the other members with sizes that can reach the threshold."""
+    pivot = F.max_by(F.struct("rep", "n"), F.struct("common", "rep")).alias("p")
+    chosen = postings.groupBy("v", "heavy").agg(pivot, F.count("*").alias("members")).where(F.col("members") > SHORT_LIST)
+    met = by_list(postings, chosen).where((F.col("rep") != F.col("p.rep")) & similar_sizes("n", "p.n", threshold))
+    return met.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def open_lists(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(v, rep, n, root) of the lists whose members aren't all in one component yet."""
+    """(v, rep, n, root, heavy) of the lists whose members aren't all in one component yet."""
     if roots is None:
-        with_root = postings.select("v", "rep", "n", F.col("rep").alias("root"))
+        with_root = postings.select("v", "rep", "n", "heavy", F.col("rep").alias("root"))
     else:
-        with_root = postings.join(roots, postings["rep"] == roots["node"], "left").select("v", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    still = with_root.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v")
-    return with_root.join(still, "v", "left_semi")
+        with_root = postings.join(roots, postings["rep"] == roots["node"], "left").select("v", "rep", "n", "heavy", F.coalesce("root", "rep").alias("root"))
+    still = with_root.groupBy("v", "heavy").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v", "heavy")
+    return by_list(with_root, still)
 
 
-def blocks(members: DataFrame) -> DataFrame:
+def comparable(rest: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """(rep, n, root, cluster): the classes that open lists connect, a cluster being a component of the graph of these lists,
+    or one list of it, where the lists' squares sum to less than the square of the component.
+    """
+    star = rest.groupBy("v", "heavy").agg(F.min("rep").alias("a"))
+    clusters = components(by_list(rest, star).select("a", F.col("rep").alias("b")).distinct())
+    placed = materialize(rest.join(clusters.withColumnRenamed("root", "cluster"), F.col("rep") == F.col("node")).drop("node"), "near-placed")
+    scratch.append(placed)
+    squares = placed.groupBy("cluster", "v").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.sum(F.col("m").cast("double") ** 2).alias("lists"))
+    sizes = placed.select("cluster", "rep").distinct().groupBy("cluster").agg(F.count("*").alias("m"))
+    listed = sizes.join(squares, "cluster").where((F.col("m") > BLOCK_DOCS) & (F.col("lists") < F.col("m").cast("double") ** 2)).select("cluster", F.lit(True).alias("listed"))
+    listed = materialize(listed, "near-listed")
+    scratch.append(listed)
+    unit = F.when(F.col("listed"), F.xxhash64(F.lit(1), "v")).otherwise(F.col("cluster"))
+    return join_by(placed, listed, "cluster", how="left").select("rep", "n", "root", unit.alias("cluster")).distinct()
+
+
+def blocks(members: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """members with bucket (sizes within a tenth), settled (in the cluster's largest component) and block: at most about
     BLOCK_DOCS classes and BLOCK_SHINGLES shingles of one bucket, chosen by a hash.
     """
     by_root = members.groupBy("cluster", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("cluster")
     few = (F.sum("c") <= FEW_DOCS) & (F.sum("s") <= FEW_SHINGLES)
     largest = by_root.agg(F.max_by("root", F.struct("c", "root")).alias("_main"), few.alias("few"))
-    rows = members.join(largest, "cluster").withColumn("settled", F.col("root") == F.col("_main")).drop("_main")
+    rows = join_by(members, largest, "cluster").withColumn("settled", F.col("root") == F.col("_main")).drop("_main")
     rows = rows.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1))).cast("int"))
+    rows = materialize(rows, "near-rows")
+    scratch.append(rows)
     group = ["cluster", "settled", "bucket"]
     sizes = rows.groupBy(*group).agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("_n"))
-    return rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")).drop("_n")
+    return join_by(rows, sizes, group).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int")).drop("_n")
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
     """(rep, n, root, few, pair, side): every class once for each pair of blocks of its cluster that may hold links."""
     own = ["cluster", "settled", "bucket", "block"]
     each = rows.select(*own).distinct().withColumn("id", F.xxhash64(*own))
-    other = each.select("cluster", F.col("settled").alias("settled2"), F.col("bucket").alias("bucket2"), F.col("id").alias("id2"))
-    near = F.abs(F.col("bucket") - F.col("bucket2")) <= 3  # a ratio of sizes up to 1.25
-    pairs = each.join(other, "cluster").where((F.col("id") <= F.col("id2")) & near & ~(F.col("settled") & F.col("settled2")))
+    other = each.select("cluster", F.col("settled").alias("settled2"), F.col("bucket").alias("near"), F.col("id").alias("id2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    each = each.withColumns({"salt": F.pmod(F.col("id"), F.lit(SALTS)).cast("int"), "near": F.explode(F.sequence(F.col("bucket") - 3, F.col("bucket") + 3))})  # a ratio of sizes up to 1.25
+    pairs = each.join(other, ["cluster", "near", "salt"]).where((F.col("id") <= F.col("id2")) & ~(F.col("settled") & F.col("settled2")))
     pairs = pairs.select("id", "id2", F.xxhash64("id", "id2").alias("pair"))
     sides = pairs.select(F.col("id").alias("_id"), "pair", F.lit(0).alias("side")).unionByName(pairs.where("id <> id2").select(F.col("id2").alias("_id"), "pair", F.lit(1).alias("side")))
     return rows.withColumn("_id", F.xxhash64(*own)).join(sides, "_id").select("rep", "n", "root", "few", "pair", "side")
@@ -259,22 +305,29 @@ def full_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
 
 def link_classes(classes: DataFrame, docs: DataFrame, width: int, threshold: float, k: int) -> DataFrame | None:
     """(node, root) of the classes that have links to other classes; None without any."""
-    postings = materialize(lists(classes, k), "near-lists")
-    pairs = materialize(estimated(met_pivot(postings, threshold), classes, k), "near-pairs")
+    scratch: list[DataFrame] = []
+
+    def table(df: DataFrame, what: str) -> DataFrame:
+        scratch.append(materialize(df, what))
+        return scratch[-1]
+
+    postings = table(lists(classes, k), "near-lists")
+    pairs = table(estimated(table(met_pivot(postings, threshold), "near-met"), classes, k), "near-pairs")
     links = roots = None
     if not pairs.isEmpty():
-        links = materialize(verified(pairs, docs, width, threshold), "near-links")
+        links = table(verified(pairs, docs, width, threshold, scratch), "near-links")
         roots = materialize(components(links), "near-roots")
-    rest = materialize(open_lists(postings, roots), "near-open")
+    rest = table(open_lists(postings, roots), "near-open")
     if not rest.isEmpty():
-        star = rest.groupBy("v").agg(F.min("rep").alias("a"))
-        clusters = components(rest.join(star, "v").select("a", F.col("rep").alias("b")).distinct())
-        members = rest.select("rep", "n", "root").distinct().join(clusters.withColumnRenamed("root", "cluster"), F.col("rep") == F.col("node")).drop("node")
-        members = materialize(blocks(members), "near-members")
-        sets = materialize(full_sets(docs, members, width).groupBy("rep").agg(F.first("set").alias("set")), "near-sets")
-        found = materialize(links_in_blocks(block_pairs(members), sets, threshold, members.count() // BIN_DOCS + 1), "near-links")
+        members = table(blocks(table(comparable(rest, scratch), "near-members"), scratch), "near-blocks")
+        reps = members.select("rep").distinct()
+        sets = table(full_sets(docs, reps, width).groupBy("rep").agg(F.first("set").alias("set")), "near-sets")
+        found = table(links_in_blocks(block_pairs(members), sets, threshold, members.count() // BIN_DOCS + 1), "near-links")
         links = found if links is None else links.unionByName(found)
+        if roots is not None:
+            scratch.append(roots)
         roots = materialize(components(links), "near-roots")
+    discard(*scratch)
     return roots
 
 
@@ -284,13 +337,17 @@ def resolved(docs: DataFrame, width: int, threshold: float, k: int) -> DataFrame
     docs = docs.select(document_key(docs).alias("key"), "doc_id", "text")
     rows = materialize(sketches(docs, width, k), "near-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    classes = materialize(rows.where("n > 0").groupBy("low", "high", "n").agg(F.min("key").alias("rep"), first, F.first("sketch").alias("sketch")), "near-classes")
+    classes = materialize(rows.where("n > 0").groupBy("low", "high", "n").agg(F.min("key").alias("rep"), first, F.first("sketch").alias("sketch"), F.count("*").alias("times")), "near-classes")
     roots = link_classes(classes.select("rep", "n", "sketch"), docs, width, threshold, k)
-    where = classes.select("low", "high", "rep", "first")
+    where = classes.select("low", "high", "rep", "first", "times")
     if roots is not None:
-        where = where.join(roots, where["rep"] == roots["node"], "left").select("low", "high", "first", F.coalesce("root", "rep").alias("root"))
-        where = where.drop("first").join(where.groupBy("root").agg(F.min("first").alias("first")), "root")
-    out = rows.select("key", "doc_id", "n", "low", "high").join(where.select("low", "high", "first"), ["low", "high"], "left")
+        where = where.join(roots, where["rep"] == roots["node"], "left").select("low", "high", "first", "times", F.coalesce("root", "rep").alias("root"))
+        where = materialize(where, "near-where")
+        firsts = where.groupBy("root").agg(F.min("first").alias("first"))
+        where = join_by(where.drop("first"), firsts, "root")
+    own = rows.select("key", "doc_id", "n", "low", "high")
+    total = classes.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    out = join_by(own, where.select("low", "high", "first"), ["low", "high"], classes.where(F.col("times") * HEAVY > total).select("low", "high"), "left")
     alone = F.col("n") == 0
     return out.select(
         "key", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("key") == F.col("first.key"))).alias("kept")
