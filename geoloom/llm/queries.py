@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm import decontamination, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding, warc_revisits
 from geoloom.llm.common import crc_remainder, read
+from geoloom.session import shared_dir
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.reshard(read(spark, sf_dir, "documents")).drop("old_shard")
+    return sharding.resharded(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/reshard-{uuid.uuid4().hex}")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_lm_scoring, op5_warc_revisits, op6_quality_classifier, op7_near_dedup, op8_packing, op9_pii, op10_resharding)}

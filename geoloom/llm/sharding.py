@@ -155,15 +155,33 @@ def reshard(docs: DataFrame, shards: int = 16, old_shard: Column | None = None)
     )
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard: Column | None = None) -> DataFrame:
+def resharded(docs: DataFrame, path: str, shards: int = 16) -> DataFrame:
+    """Plan, write every shard under path, and give doc_id, size, text_crc32, law, shard, slot and grown_shard as the files say."""
+    docs = id_text(docs)
+    plan = materialize(reshard(docs, shards), "reshard-plan")
+    rewrite(docs, plan, path, every=True)
+    if plan.isEmpty():
+        return plan.drop("old_shard")
+    text = F.col("text")
+    return docs.sparkSession.read.schema("doc_id long, text string, slot long, shard int").parquet(path).select(
+        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard: Column | None = None, every: bool = False) -> DataFrame:
     """Write the shards whose rows changed to path/shard=N; returns the shards that were left as they were.
 
+    every: all shards are written, as for a folder that holds none yet; none is left then. A shard's rows lie in as many files
+    as their size asks for, each file sorted by slot.
+
     docs are all rows of the plan, with doc_id and text. Rows of docs and plan meet by doc_id, size and crc of the text,
     and by their number among rows that are equal in these, so each has its own slot. old_shard is what reshard was given;
     where it tells equal rows apart, they keep to their own places. Other shards under path stay; those that the plan
     empties go.
     """
-    touched = materialize(plan.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct(), "reshard-touched")
+    changed = plan.where(F.lit(True) if every else F.col("shard") != F.col("old_shard"))
+    touched = materialize(changed.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct(), "reshard-touched")
     text = F.col("text").cast("string")
     key = {"_id": F.col("doc_id").cast("long"), "_size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), "_crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary"))}
     if old_shard is not None:
@@ -175,6 +193,7 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard: Column | Non
     moved = places.join(F.broadcast(touched), "shard", "left_semi").select(*(F.col(c).alias(f"to{c}") for c in names), "shard", "slot")
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"to{c}")) for c in names))
     out = rows.join(moved, same).select(*(c for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
+    out = out.hint("rebalance", "shard").sortWithinPartitions("shard", "slot")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     emptied = touched.join(plan, "shard", "left_anti").collect()  # at most a row for each shard
     if emptied:
