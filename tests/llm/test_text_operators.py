@@ -121,7 +121,7 @@ def test_decontamination(spark, docs, empty):
     items = [(1, "Item. " + prose(9, 14).upper()), (2, "x" * 40_000), (10, prose(1, 30)), (3, None), (4, " ! "), (10, "é ü É"), (11, "é ü é"), (5, "not in any document at all, really not")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_decontamination([(r.doc_id, r.text) for r in docs.collect()], [(i, t) for i, t in items])
-    assert by_row(decontamination.decontaminate(docs, bench)) == sorted(want, key=repr)
+    assert by_row(decontamination.decontaminate(docs, bench, proximity=False)) == sorted(want, key=repr)
     kept = decontamination.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted((r[0] for r in kept.collect()), key=repr) == sorted((w[0] for w in want if not w[5]), key=repr)
     assert decontamination.decontaminate(empty, bench).count() == 0
@@ -131,10 +131,44 @@ def test_decontamination(spark, docs, empty):
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "blue and red or green"), (2, "red green blue"), (3, "red green")], "doc_id long, text string")
-    rows = {r.doc_id: (r.n_items, r.n_near_items) for r in decontamination.decontaminate(docs, bench, proximity=True).collect()}
+    rows = {r.doc_id: (r.n_items, r.n_near_items) for r in decontamination.decontaminate(docs, bench).collect()}
     assert rows == {1: (0, 1), 2: (1, 1), 3: (0, 0)}
 
 
+def brute_near_items(texts, items, window=10):
+    """n_near_items of each document, from plain lists of positions."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    docs = [(i, cut(t)) for i, t in texts]
+    n = Counter(w for _, ws in docs for w in ws)
+    out = []
+    for i, ws in docs:
+        found = set()
+        for item, text in items:
+            g = cut(text)
+            for k in range(max(1, len(g) - window + 1) if g else 0):
+                terms = set(g[k : k + window])
+                if all(n[t] for t in terms):
+                    rarest = min(terms, key=lambda t: (n[t], t.encode()))
+                    if any(terms <= set(ws[max(0, p - window + 1) : p + window]) for p, w in enumerate(ws) if w == rarest):
+                        found.add(item)
+        out.append((i, len(found)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("most", [decontamination.BROADCAST_BYTES, 0])
+def test_index_with_and_without_broadcast(spark, docs, monkeypatch, most):
+    """Exact and proximity matches equal brute force, also where no table of the benchmark may be broadcast and terms are heavy."""
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+    shuffled = prose(9, 14).split()
+    shuffled[3:9] = reversed(shuffled[3:9])
+    items = [(1, prose(9, 14)), (2, " ".join(shuffled)), (3, "one"), (4, "the the the cat"), (5, prose(4, 25)), (6, "one two")]
+    texts = [*((r.doc_id, r.text) for r in docs.collect()), *((100 + k, f"{prose(k, 30)} {prose(9, 14)} {k}") for k in range(40))]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = decontamination.decontaminate(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_near_items) for r in rows), key=repr) == brute_near_items(texts, items)
+    assert sorted(map(tuple, (r[:6] for r in rows)), key=repr) == sorted(brute_decontamination(texts, items), key=repr)
+
+
 def test_quality_rules(docs, empty):
     rows = quality_rules.judge(docs).collect()
     for r in rows:
