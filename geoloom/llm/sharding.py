@@ -14,8 +14,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -172,8 +170,9 @@ def resharded(docs: DataFrame, path: str, shards: int = 16) -> DataFrame:
 def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard: Column | None = None, every: bool = False) -> DataFrame:
     """Write the shards whose rows changed to path/shard=N; returns the shards that were left as they were.
 
-    every: all shards are written, as for a folder that holds none yet; none is left then. A shard's rows lie in as many files
-    as their size asks for, each file sorted by slot.
+    every: all shards are written, as for a folder that holds none yet; none is left then. Texts are shuffled once; a task
+    writes one file for each shard that it meets, sorted by slot, so spark.sql.adaptive.advisoryPartitionSizeInBytes sets the
+    size of files.
 
     docs are all rows of the plan, with doc_id and text. Rows of docs and plan meet by doc_id, size and crc of the text,
     and by their number among rows that are equal in these, so each has its own slot. old_shard is what reshard was given;
@@ -183,18 +182,22 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, old_shard: Column | Non
     changed = plan.where(F.lit(True) if every else F.col("shard") != F.col("old_shard"))
     touched = materialize(changed.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct(), "reshard-touched")
     text = F.col("text").cast("string")
-    key = {"_id": F.col("doc_id").cast("long"), "_size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), "_crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary"))}
-    if old_shard is not None:
-        key["_old"] = old_shard.cast("int")
-    names = [*key, "_k"]
-    places = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("old_shard").alias("_old"), "shard", "slot")
-    places = places.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot"))).select(*names, "shard", "slot")
-    rows = docs.withColumns(key).drop("shard", "slot").withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("text")))
-    moved = places.join(F.broadcast(touched), "shard", "left_semi").select(*(F.col(c).alias(f"to{c}") for c in names), "shard", "slot")
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"to{c}")) for c in names))
-    out = rows.join(moved, same).select(*(c for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
-    out = out.hint("rebalance", "shard").sortWithinPartitions("shard", "slot")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    parts = lambda doc_id, size, crc, old: {"_none": doc_id.isNull(), "_id": F.coalesce(doc_id, F.lit(0)), "_size": size, "_crc": crc} | ({} if old is None else {"_old": F.coalesce(old, F.lit(-1))})
+    own = parts(F.col("doc_id").cast("long"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")), None if old_shard is None else old_shard.cast("int"))
+    names = list(own)  # no null among them, so that equality is all that the join asks
+    places = plan.select(*(c.alias(k) for k, c in parts(F.col("doc_id"), F.col("size"), F.col("text_crc32"), None if old_shard is None else F.col("old_shard")).items()), "shard", "slot")
+    places = places.withColumn("_k", F.row_number().over(Window.partitionBy(*names).orderBy("shard", "slot")))
+    rows = docs.withColumns(own).drop("shard", "slot").withColumn("_k", F.row_number().over(Window.partitionBy(*names).orderBy("text")))
+    moved = places.join(F.broadcast(touched), "shard", "left_semi")
+    out = rows.join(moved, [*names, "_k"]).select(*(c for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
+    out = out.sortWithinPartitions("shard", "slot")
+    conf, name = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    conf.set(name, "false")  # rows that the window has already dealt by these keys aren't shuffled again for the join
+    try:
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    finally:
+        conf.set(name, before)
     emptied = touched.join(plan, "shard", "left_anti").collect()  # at most a row for each shard
     if emptied:
         spark = docs.sparkSession
