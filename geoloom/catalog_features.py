@@ -188,7 +188,12 @@ def within_time(spark: SparkSession, d: str) -> DataFrame:
     return filters.within_time(px, wanted, 600).select("event_id", "request_id", "patch_id")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE f AS (SELECT DISTINCT patch_id, ts FROM {EVENTS}), kept AS (
+  SELECT patch_id, min(ts) AS ts FROM f GROUP BY patch_id
+  UNION ALL
+  SELECT patch_id, ts FROM (SELECT kept.patch_id, (SELECT min(f.ts) FROM f WHERE f.patch_id = kept.patch_id AND f.ts > kept.ts + INTERVAL 6 HOUR) AS ts FROM kept) WHERE ts IS NOT NULL
+) SELECT patch_id, ts FROM kept""")
 def spaced_frames(spark: SparkSession, d: str) -> DataFrame:
     return filters.spaced(events(spark, d), 6 * 3600)
 
@@ -293,7 +298,7 @@ def merge_equal(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_values([px, px.where("patch_id % 2 = 0")], ["patch_id", "y", "x"])
 
 
-@query()
+@query(_merge_sql("max(v) - min"))
 def merge_function(spark: SparkSession, d: str) -> DataFrame:
     """Merging by a function of one's own: the spread of the values that meet."""
     return _merged(spark, d, lambda v: v.max() - v.min())

@@ -79,17 +79,19 @@ def save_load(spark: SparkSession, d: str) -> DataFrame:
     return back[FeatureType.DATA, "daily"].select("patch_id", "ts", "y", "x", F.round(F.element_at("bands", 1), 5).alias("v"))
 
 
-@query()
+@query("""
+SELECT CAST(p AS BIGINT) AS patch_id, TIMESTAMP '2024-01-01' + INTERVAL 5 DAY * k AS ts, (p * 37 + k * 53) % 101 / 100 AS cover, 192 AS values
+FROM (SELECT unnest(range(0, 3)) AS p), (SELECT unnest(range(0, 7)) AS k) WHERE (p * 37 + k * 53) % 101 / 100 <= 0.4""")
 def scene_source(spark: SparkSession, d: str) -> DataFrame:
     imagery.register(spark)
     scenes = spark.read.format("geoloom_scenes").options(start="2024-01-01", end="2024-02-01", patches="3", maxcc="0.6").load()
     return scenes.where("cover <= 0.4").select("patch_id", "ts", "cover", F.size("data").alias("values"))
 
 
-@query("SELECT vec_id AS patch_id, 8 AS h, 8 AS w, 1 AS d, round(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE))), 3) AS total FROM embeddings WHERE vec_id < 50")
+@query("SELECT vec_id AS patch_id, 8 AS h, 8 AS w, 1 AS d, round(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE))), 3) AS total FROM embeddings")
 def tiff_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Images as TIFF files and read again."""
-    px = pixels(spark, d).where("patch_id < 50").select("patch_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("d"), F.col("bands").alias("data"))
+    px = pixels(spark, d).select("patch_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("d"), F.col("bands").alias("data"))
     images_ = files.to_tiff(px)
 
     def run(batches):

@@ -246,7 +246,13 @@ def size_for_resolution(spark: SparkSession, d: str) -> DataFrame:
     return boxes(spark, d).select("row", near.size_for_resolution(c("min_x"), c("max_x"), 0.4).alias("width"), near.size_for_resolution(c("min_y"), c("max_y"), 0.7).alias("height"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE px AS (SELECT patch_id, y, x, v, y * 8 + x AS i FROM {IMAGES}), link AS (
+  SELECT a.patch_id, a.i AS a, b.i AS b FROM px a JOIN px b ON a.patch_id = b.patch_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND sqrt((a.v - b.v) * (a.v - b.v)) <= 0.05
+), reach AS (SELECT patch_id, i AS a, i AS b FROM px UNION SELECT reach.patch_id, reach.a, link.b FROM reach JOIN link ON link.patch_id = reach.patch_id AND link.a = reach.b
+), root AS (SELECT patch_id, a AS i, min(b) AS root FROM reach GROUP BY ALL), kept AS (
+  SELECT patch_id, root, row_number() OVER (PARTITION BY patch_id ORDER BY root) - 1 AS c FROM (SELECT patch_id, root FROM root GROUP BY ALL HAVING count(*) >= 2)
+) SELECT patch_id, y, x, CAST(coalesce(c, -1) AS INT) AS cluster FROM px JOIN root USING (patch_id, i) LEFT JOIN kept USING (patch_id, root)""")
 def cluster_single_link(spark: SparkSession, d: str) -> DataFrame:
     px = images(spark, d).select(*KEY, F.array("v").alias("bands"))
     return clustering.cluster(px, 0.05, "euclidean", remove_small=2)
@@ -268,7 +274,10 @@ def register_translation(spark: SparkSession, d: str) -> DataFrame:
     return found.select("patch_id", "ts", F.round("dy").cast("long").alias("dy"), F.round("dx").cast("long").alias("dx"))
 
 
-@query()
+@query(f"""
+WITH s AS (SELECT unnest([0, 1, 2]) AS k, unnest([0, 1, -2]) AS a, unnest([0, 2, 1]) AS b), placed AS (
+  SELECT patch_id, k, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * k AS ts, y, x, v, a, b FROM {IMAGES}, s
+) SELECT patch_id, ts, y, x, CASE WHEN y + a BETWEEN 0 AND 7 AND x + b BETWEEN 0 AND 7 THEN v END AS v FROM placed""")
 def register_move(spark: SparkSession, d: str) -> DataFrame:
     reference, frames = _movie(spark, d)
     return registration.move(frames, registration.estimate_shifts(frames, reference)).select("patch_id", "ts", "y", "x", F.element_at("bands", 1).alias("v"))

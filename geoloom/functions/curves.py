@@ -5,6 +5,19 @@ from __future__ import annotations
 import numpy as np
 
 
+def tridiagonal(middle: np.ndarray, side: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of a symmetric tridiagonal system, by elimination: time and memory grow with its length alone."""
+    d, r = middle.astype(float).tolist(), right.astype(float).tolist()
+    e = side.astype(float).tolist()
+    for k in range(1, len(d)):
+        w = e[k - 1] / d[k - 1]
+        d[k] -= w * e[k - 1]
+        r[k] -= w * r[k - 1]
+    for k in range(len(d) - 1, -1, -1):
+        r[k] = (r[k] - (e[k] * r[k + 1] if k + 1 < len(d) else 0)) / d[k]
+    return np.array(r)
+
+
 def cubic(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
     """The natural cubic spline; second derivatives from a tridiagonal system."""
     n = len(x)
@@ -12,8 +25,7 @@ def cubic(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
         return np.interp(t, x, y)
     h, slope = np.diff(x), np.diff(y) / np.diff(x)
     m = np.zeros(n)
-    a = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-    m[1:-1] = np.linalg.solve(a, 6 * np.diff(slope))
+    m[1:-1] = tridiagonal(2 * (h[:-1] + h[1:]), h[1:-1], 6 * np.diff(slope))
     k = np.clip(np.searchsorted(x, t, "right") - 1, 0, n - 2)
     u, w = t - x[k], x[k + 1] - t
     return (m[k] * w**3 + m[k + 1] * u**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * w + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * u

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geoloom.layout import with_pixel_numbers
 from geoloom.operators.components import components
+from geoloom.session import materialize
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -26,9 +28,9 @@ DISTANCES = {"cosine": cosine_distance, "euclidean": euclidean_distance}
 
 
 def pixel_edges(pixels: DataFrame, affinity: str = "cosine") -> DataFrame:
-    """patch_id, a, b, distance for each pair of pixels beside each other; a and b are the pixels' hashes."""
+    """patch_id, a, b, distance for each pair of pixels beside each other; a and b are the pixels' numbers (layout.with_pixel_numbers)."""
     f = DISTANCES[affinity]
-    nodes = pixels.withColumn("node", F.xxhash64("patch_id", "y", "x"))
+    nodes = pixels if "node" in pixels.columns else with_pixel_numbers(pixels, ["patch_id"])
     step = F.explode(F.array(F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx")), F.struct(F.lit(1).alias("dy"), F.lit(0).alias("dx"))))
     sent = nodes.select("patch_id", "y", "x", F.col("node").alias("a"), F.col("bands").alias("_bands"), step.alias("s"))
     sent = sent.select("patch_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "a", "_bands")
@@ -41,10 +43,10 @@ def cluster(pixels: DataFrame, distance: float, affinity: str = "cosine", remove
 
     Clusters of a patch are numbered from 0 in the order of their first pixels. edges: a graph other than the grid's.
     """
-    used = pixels if mask is None else pixels.where(mask)
+    used = materialize(with_pixel_numbers(pixels if mask is None else pixels.where(mask), ["patch_id"]), "cluster-nodes")
     graph = pixel_edges(used, affinity) if edges is None else edges
     roots = components(graph.where(F.col("distance") <= distance).select("a", "b"))
-    nodes = used.select("patch_id", "y", "x").withColumn("node", F.xxhash64("patch_id", "y", "x"))
+    nodes = used.select("patch_id", "y", "x", "node")
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = named.groupBy("patch_id", "root").agg(F.count("*").alias("n"), F.min(F.struct("y", "x")).alias("first"))
     sizes = sizes.where(F.col("n") >= remove_small).withColumn("cluster", F.row_number().over(Window.partitionBy("patch_id").orderBy("first")) - 1)

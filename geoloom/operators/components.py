@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators.skew import HEAVY
+from geoloom.operators.skew import join_by
 from geoloom.session import discard, materialize
 
 
@@ -56,24 +56,20 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long").distinct()
 
 
-def met(rows: DataFrame, key: str, least: DataFrame, total: int) -> DataFrame:
-    """rows joined with the least neighbour m of their key; least: key, m and n, the number of rows with that key."""
-    hot = F.broadcast(least.where(F.col("n") * HEAVY > total).select(key, "m"))
-    cold = least.where(F.col("n") * HEAVY <= total).select(key, "m")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
-
-
-def large_star(edges: DataFrame, total: int) -> DataFrame:
-    """Each node's greater neighbours now hang on its smallest neighbour (or itself). total: rows of edges."""
+def large_star(edges: DataFrame) -> DataFrame:
+    """Each node's greater neighbours now hang on its smallest neighbour (or itself)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-    return met(both.where("b > a"), "a", least, total).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return join_by(edges, least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+
 
+def small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours now hang on the smallest of them. edges: a < b.
 
-def small_star(edges: DataFrame, total: int) -> DataFrame:
-    """Each node and its smaller neighbours now hang on the smallest of them. edges: a < b, at most total rows."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-    moved = met(edges, "b", least, total).select("m", F.explode(F.array("a", "b")).alias("b"))
+    A node has no more smaller neighbours than there were tasks that contracted its links, so no key of this join is hot.
+    """
+    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    moved = edges.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("b"))
     return moved.select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
@@ -87,7 +83,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        new = materialize(small_star(large_star(edges, state[0]), state[0]), "links")
+        new = materialize(small_star(large_star(edges)), "links")
         discard(edges)
         edges = new
     else:

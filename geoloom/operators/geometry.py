@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.layout import with_pixel_numbers
 from geoloom.operators.components import components
+from geoloom.session import materialize
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -79,8 +81,7 @@ def rasterize(vectors: DataFrame, boxes: DataFrame, grid: DataFrame, value: str
 
 def labelled(raster: DataFrame, keys: Sequence[str], connectivity: int = 4) -> DataFrame:
     """raster with `component`, the smallest pixel number of its connected area of equal value."""
-    pixel = lambda y, x: F.xxhash64(*keys, y, x)
-    nodes = raster.withColumn("node", pixel(F.col("y"), F.col("x")))
+    nodes = materialize(with_pixel_numbers(raster, keys), "raster-nodes")
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     shift = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps)))
     sent = nodes.select(*keys, "y", "x", F.col("v").alias("_v"), F.col("node").alias("a"), shift.alias("s")).select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "_v", "a")

@@ -29,10 +29,11 @@ def merge_values(parts: Sequence[DataFrame], keys: Sequence[str], how: str | Cal
         merged = only_value(value)
     elif callable(how):
 
-        def run(v: pd.Series) -> float:
-            return float(how(v))
+        def run(all_values: pd.Series) -> pd.Series:
+            return all_values.map(lambda v: float(how(pd.Series(v, dtype=float))))
 
-        merged = F.pandas_udf(run, "double", F.PandasUDFType.GROUPED_AGG)(F.col(value))
+        # values that meet are gathered by an aggregation; the function then sees a batch of keys at a time
+        return rows.groupBy(*keys).agg(F.collect_list(F.col(value).cast("double")).alias("_all")).select(*keys, F.pandas_udf(run, "double")("_all").alias(value))
     elif how in OPERATIONS:
         merged = OPERATIONS[how](value)
     else:
