@@ -42,6 +42,14 @@ def snow(green: Column, red: Column, nir: Column, swir: Column, ndsi_least: floa
     return F.coalesce(((ndsi >= ndsi_least) | (F.abs(ndvi - 0.1) < 0.05)) & (green >= brightness_least), F.lit(undefined))
 
 
+def snow_mask(pixels: DataFrame, bands: Sequence[int], dilation: int = 0, **thresholds) -> DataFrame:
+    """keys, v: 1 where pixels (band numbers: green, red, near and short-wave infrared) show snow, grown by a disk of radius `dilation`."""
+    from geoloom.operators.neighbourhood import disk, morphology
+
+    flags = pixels.withColumn("v", snow(*(F.element_at("bands", b + 1).cast("double") for b in bands), **thresholds).cast("int")).drop("bands")
+    return morphology(flags, disk(dilation), "dilation") if dilation > 0 else flags
+
+
 def cloud_mask(data: DataFrame, scorer: Callable[[pd.Series], pd.Series], valid: Column | None = None, bands: Sequence[int] | None = None, average_over: int = 4, threshold: float = 0.4, dilation: int = 2) -> DataFrame:
     """keys, probability and cloud of each pixel.
 

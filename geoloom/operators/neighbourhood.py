@@ -4,13 +4,15 @@ aggregate with map-side combination takes what arrives. Rows are keys (patch_id,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geoloom.operators.projection import number
+from geoloom.operators.projection import cast_within, number
+from geoloom.types import INTEGER_RANGES
 
 Offsets = list[tuple[int, int]]
 
@@ -122,16 +124,63 @@ def resize(df: DataFrame, height: int | Column, width: int | Column, method: str
         old = lambda n, size, total: F.least(F.floor(F.col(n) * F.col(size) / F.col(total)), F.col(size) - 1).cast("int")
         asked = grid.select(*new, old("ny", "h", "new_h").alias("y"), old("nx", "w", "new_w").alias("x"))
         return asked.join(df, [*keys, "y", "x"]).select(*keys, F.col("ny").alias("y"), F.col("nx").alias("x"), "v")
-    if method != "linear":
+    if method not in ("linear", "cubic"):
         raise ValueError(f"unknown method: {method}")
     centre = lambda n, size, total: F.least(F.greatest((F.col(n) + 0.5) * F.col(size) / F.col(total) - 0.5, F.lit(0.0)), (F.col(size) - 1).cast("double"))
     at = grid.withColumns({"cy": centre("ny", "h", "new_h"), "cx": centre("nx", "w", "new_w")}).withColumns({"y0": F.floor("cy").cast("int"), "x0": F.floor("cx").cast("int")})
     fy, fx = F.col("cy") - F.col("y0"), F.col("cx") - F.col("x0")
+    if method == "cubic":
+        inside = lambda c, size: F.least(F.greatest(c, F.lit(0)), F.col(size) - 1).cast("int")
+        tap = lambda dy, dx: F.struct(inside(F.col("y0") + dy, "h").alias("y"), inside(F.col("x0") + dx, "w").alias("x"), (cubic_weight(fy - dy) * cubic_weight(fx - dx)).alias("weight"))
+        asked = at.select(*new, F.explode(F.array(*(tap(dy, dx) for dy in range(-1, 3) for dx in range(-1, 3)))).alias("c")).select(*new, "c.*").where("weight <> 0")
+        return asked.join(df, [*keys, "y", "x"]).groupBy(*new).agg(F.sum(F.col("v") * F.col("weight")).alias("v")).select(*keys, F.col("ny").alias("y"), F.col("nx").alias("x"), "v")
     corner = lambda dy, dx: F.struct((F.col("y0") + dy).alias("y"), (F.col("x0") + dx).alias("x"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("weight"))
     asked = at.select(*new, F.explode(F.array(*(corner(dy, dx) for dy in (0, 1) for dx in (0, 1)))).alias("c")).select(*new, "c.*").where("weight > 0")
     return asked.join(df, [*keys, "y", "x"]).groupBy(*new).agg(F.sum(F.col("v") * F.col("weight")).alias("v")).select(*keys, F.col("ny").alias("y"), F.col("nx").alias("x"), "v")
 
 
+def cubic_weight(t: Column) -> Column:
+    """Keys' kernel with a = -0.5 at distance t."""
+    t = F.abs(t)
+    near = 1.5 * t * t * t - 2.5 * t * t + 1
+    far = -0.5 * t * t * t + 2.5 * t * t - 4 * t + 2
+    return F.when(t <= 1, near).when(t < 2, far).otherwise(0.0)
+
+
+def resize_to(df: DataFrame, *, size: tuple[int, int] | None = None, scale: tuple[float, float] | float | None = None, resolution: float | str | None = None, boxes: DataFrame | None = None, method: str = "linear", dtype: str | None = None) -> DataFrame:
+    """Images of a new size (height, width), scaled by a factor, or with pixels of a resolution (boxes tell the extent).
+
+    Exactly one of size, scale and resolution is given. dtype: tinyint, smallint, int or bigint round half to even and clip to
+    their range; a float dtype is a cast.
+    """
+    if sum(x is not None for x in (size, scale, resolution)) != 1:
+        raise ValueError("give one of size, scale and resolution")
+    if size is not None:
+        out = resize(df, *size, method=method)
+    elif scale is not None:
+        sy, sx = scale if isinstance(scale, tuple) else (scale, scale)
+        out = resize(df, scaled_size(F.col("h"), sy), scaled_size(F.col("w"), sx), method)
+    else:
+        if boxes is None:
+            raise ValueError("a resolution needs boxes")
+        r = parsed_resolution(resolution)
+        with_size = df.join(boxes.select("patch_id", size_for_resolution(F.col("min_y"), F.col("max_y"), r).alias("_h"), size_for_resolution(F.col("min_x"), F.col("max_x"), r).alias("_w")), "patch_id")
+        out = resize(with_size, F.col("_h"), F.col("_w"), method).drop("_h", "_w")
+    if dtype in INTEGER_RANGES:
+        return out.withColumn("v", cast_within(F.col("v"), *INTEGER_RANGES[dtype], dtype))
+    return out if dtype is None else out.withColumn("v", F.col("v").cast(dtype))
+
+
+def parsed_resolution(resolution: float | str) -> float:
+    """Metres (or units) a pixel, from a number or from text such as `60m`."""
+    if not isinstance(resolution, str):
+        return float(resolution)
+    m = re.fullmatch(r"\s*([0-9]+(?:\.[0-9]+)?)\s*m?\s*", resolution)
+    if not m:
+        raise ValueError(f"not a resolution: {resolution!r}")
+    return float(m[1])
+
+
 def scaled_size(size: Column, factor: float) -> Column:
     return F.bround(size * factor).cast("int")
 

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.functions import curves
+from geoloom.layout import bands_to_rows, rows_to_bands
 from geoloom.operators.filters import as_ntz
 from geoloom.operators.projection import number
+from geoloom.patchset import PatchSet
+from geoloom.spec import Spec, one_feature
 
 PIXEL = ["patch_id", "y", "x"]
 
@@ -119,6 +122,37 @@ def percentile(df: DataFrame, p: float, keys: Sequence[str] = PIXEL, method: str
     return values.select(*keys, F.get("all", at).alias("v"))
 
 
+def interpolate(patches: PatchSet, feature: object, kind: str = "linear", mask: object = None, targets: DataFrame | None = None, clip: tuple[float, float] | None = None, unknown: float | None = None, copy: object = ()) -> PatchSet:
+    """A patch set with the feature (type, name[, new name]) interpolated over time, and the features to copy.
+
+    In turn: rows that share a time are averaged; values where the mask (a MASK, MASK_TIMELESS or LABEL feature; not zero is
+    valid) is zero go; missing values are filled, or values at targets (patch_id, ts) worked out; they are clipped; what is
+    still missing takes the unknown value. kind: linear, or with targets nearest, previous, next; or a fitted curve. Copied
+    features must not bear the new name.
+    """
+    kind_of, old, new = one_feature(feature, patches.features)
+    copies = Spec(copy).resolve(patches.features)
+    if any((k, n) == (kind_of, new) for k, _, n in copies) or len({(k, n) for k, _, n in copies}) < len(copies):
+        raise ValueError(f"features to copy clash with {(kind_of, new)} or with each other")
+    series = [*PIXEL, "b"]
+    rows = bands_to_rows(patches.features[kind_of, old])
+    rows = deduped(rows.withColumn("v", F.col("v").cast("double")), [*series, "ts"])
+    if mask is not None:
+        mask_kind, name, _ = one_feature(mask, patches.features)
+        flags = patches.features[mask_kind, name].withColumn("_ok", F.element_at("bands", 1).cast("int") != 0).select(*mask_kind.keys(), "_ok")
+        rows = masked(rows.join(flags, mask_kind.keys(), "left"), F.coalesce("_ok", F.lit(False))).drop("_ok")
+    if targets is not None:
+        targets = rows.select(*series).distinct().join(targets.select("patch_id", "ts").distinct(), "patch_id")
+    if kind in curves.KINDS:
+        out = fill_with(rows, kind, targets, series)
+    else:
+        out = fill_linear(rows, series) if targets is None else resample(rows, targets, kind, series)
+    if clip is not None or unknown is not None:
+        out = out.withColumn("v", clipped(F.col("v"), *(clip or (float("-inf"), float("inf"))), unknown))
+    frames = out.select("patch_id", "ts").distinct()
+    return PatchSet({(kind_of, new): rows_to_bands(out), **{(k, n): patches.features[k, o] for k, o, n in copies}}, patches.boxes, frames)
+
+
 def fill_with(df: DataFrame, kind: str, targets: DataFrame | None = None, series: Sequence[str] = PIXEL, **options) -> DataFrame:
     """Values from a fitted curve of each series, at its own rows or at the targets' times; missing outside its valid range.
 

@@ -5,6 +5,7 @@ Nothing here runs a job unless it says so; copying, renaming and selecting only
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.spec import Spec, as_type, check_name
-from geoloom.types import FeatureType, MissingFeatureError
+from geoloom.types import FeatureType, MissingFeatureError, TemporalDimensionWarning
 
 Feature = tuple[FeatureType, str]
 
@@ -100,6 +101,21 @@ class PatchSet:
         """frames with t_idx, counted from 0 in each patch."""
         return self.frames.withColumn("t_idx", F.row_number().over(Window.partitionBy("patch_id").orderBy("ts")) - 1)
 
+    def check_frames(self, strict: bool = False) -> list[Feature]:
+        """Temporal features whose frames differ from the patches' (or from each other's, if those aren't given); runs jobs.
+
+        They are warned of, or with strict an error.
+        """
+        temporal = [k for k in self.names() if k[0].is_temporal() and "ts" in self.features[k].columns]
+        frames = self.frames if self.frames is not None else self.features[temporal[0]] if temporal else None
+        bad = [k for k in temporal if not frame_mismatch(frames, self.features[k]).isEmpty()]
+        for k in bad:
+            text = f"frames of {k} differ from the patches' timestamps"
+            if strict:
+                raise ValueError(text)
+            warnings.warn(text, TemporalDimensionWarning, stacklevel=2)
+        return bad
+
     def equals(self, other: PatchSet) -> bool:
         """Deep equality, NaN equal to NaN; runs jobs."""
         if set(self.features) != set(other.features):

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 class FeatureType(Enum):
-    """Kinds of features; the value is the folder's name in a store."""
+    """Kinds of features; the value is the folder's name in a store (fixed values: names of the public data model)."""
 
     DATA = "data"
     MASK = "mask"
