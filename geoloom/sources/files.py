@@ -286,16 +286,17 @@ def to_tiff(frames: DataFrame, dtype: str = "float32", boxes: DataFrame | None =
 
     boxes: where the patches lie, for the geo tags. no_data: takes the place of missing values and is noted in the file.
     """
+    placed = boxes is not None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts") if "ts" in pdf else pdf
         image = np.concatenate([np.asarray(v, float).reshape(h, w, d) for h, w, d, v in zip(pdf["h"], pdf["w"], pdf["d"], pdf["data"], strict=True)], axis=2)
         image = image if no_data is None else np.where(np.isnan(image), no_data, image)
         first = pdf.iloc[0]
-        place = (tuple(float(first[c]) for c in ("min_x", "min_y", "max_x", "max_y")), int(first["crs"])) if boxes is not None else (None, None)
+        place = (tuple(float(first[c]) for c in ("min_x", "min_y", "max_x", "max_y")), int(first["crs"])) if placed else (None, None)
         return pd.DataFrame({"patch_id": [first["patch_id"]], "tiff": [tiff_bytes(image.astype(dtype), *place, no_data)]})
 
-    if boxes is not None:
+    if placed:
         frames = frames.join(boxes.select("patch_id", "min_x", "min_y", "max_x", "max_y", "crs"), "patch_id")
     return frames.groupBy("patch_id").applyInPandas(run, "patch_id long, tiff binary")
 
