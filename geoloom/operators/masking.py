@@ -47,7 +47,7 @@ def snow_mask(pixels: DataFrame, bands: Sequence[int], dilation: int = 0, **thre
     from geoloom.operators.neighbourhood import disk, morphology
 
     flags = pixels.withColumn("v", snow(*(F.element_at("bands", b + 1).cast("double") for b in bands), **thresholds).cast("int")).drop("bands")
-    return morphology(flags, disk(dilation), "dilation") if dilation > 0 else flags
+    return morphology(flags, disk(2 * dilation + 1), "dilation") if dilation > 0 else flags
 
 
 def cloud_mask(data: DataFrame, scorer: Callable[[pd.Series], pd.Series], valid: Column | None = None, bands: Sequence[int] | None = None, average_over: int = 4, threshold: float = 0.4, dilation: int = 2) -> DataFrame:

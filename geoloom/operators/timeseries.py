@@ -90,12 +90,12 @@ def resample(df: DataFrame, targets: DataFrame, kind: str = "linear", series: Se
     point = F.when(F.col("v").isNotNull(), F.struct(micros(F.col("ts")).alias("t"), "v"))
     found = rows.withColumns(
         {
-            "a": F.last(point, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)),
-            "b": F.first(point, ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing)),
+            "_a": F.last(point, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)),
+            "_b": F.first(point, ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing)),
         }
     ).where("_target")
     t = micros(F.col("ts"))
-    a, b = F.col("a"), F.col("b")
+    a, b = F.col("_a"), F.col("_b")
     value = {
         "linear": line(t, a["t"], a["v"], b["t"], b["v"]),
         "nearest": F.when(a.isNotNull() & b.isNotNull(), F.when(t - a["t"] <= b["t"] - t, a["v"]).otherwise(b["v"])),
