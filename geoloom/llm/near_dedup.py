@@ -6,7 +6,7 @@ of chances of at least `shared` of its retained values, so each class enters onl
 size - shared + 1 values (prefix filtering over the sketches), and values of one class alone are dropped. Lists are not
 expanded into pairs: every member of a long list meets the list's pivot, the class with the most common values; the union's
 sketch estimates the similarity, and what passes is verified with exact Jaccard similarity over the full sets, the pivot's text
-being sent once for every few thousand of its members. Lists whose members are then in one component are done. Classes that
+being sent once for every few hundred of its members. Lists whose members are then in one component are done. Classes that
 open lists connect form clusters, which are compared block against block over full sets, only between different components,
 for sizes that can reach the threshold; a cluster that many small lists hold together is compared list by list, where that
 takes fewer comparisons. A task holds two blocks, and gives no more links than connect what it found. Components are joined by
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.common import Memo, chunks, id_text, materialize
 from geoloom.operators.components import components
-from geoloom.operators.skew import HEAVY, join_by
+from geoloom.operators.skew import is_heavy, join_by
 from geoloom.session import discard
 
 K = 32
@@ -47,7 +47,7 @@ BLOCK_SHINGLES = 1 << 18
 FEW_DOCS, FEW_SHINGLES = 64, 1 << 16
 BIN_DOCS = 1024
 #: Members of a pivot that one copy of its text serves.
-PIVOT_MEMBERS = 4096
+PIVOT_MEMBERS = 256
 #: Parts into which the pairs of blocks of one cluster are dealt.
 SALTS = 16
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -104,28 +104,22 @@ def similar_sizes(a: str, b: str, threshold: float) -> Column:
     return 100 * F.least(a, b) >= round(100 * threshold) * F.greatest(a, b)
 
 
-def lists(classes: DataFrame, k: int) -> DataFrame:
-    """(v, rep, n, common, heavy): each class in the inverted lists of its rarest retained values; values of one class are
-    left out.
+def lists(classes: DataFrame, k: int, scratch: list[DataFrame]) -> tuple[DataFrame, list[tuple]]:
+    """(v, rep, n, common): each class in the inverted lists of its rarest retained values; values of one class are left out.
+    Also the heavy values, of which there are fewer than HEAVY.
 
     common: how often the class's values occur in other sketches, which is greatest for what copies were made of.
-    heavy: whether more than one part in HEAVY of all postings has this value, so at most HEAVY values do.
     """
     postings = classes.select("rep", "n", F.explode("sketch").alias("v"))
     total = classes.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
-    often = materialize(postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").withColumn("heavy", F.col("c") * HEAVY > total), "near-values")
-    met = join_by(postings, often, "v", often.where("heavy"))
-    mine = met.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v", "heavy"))).alias("own"), F.sum("c").alias("common"))
+    often = materialize(postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "near-values")
+    scratch.append(often)
+    heavy = [(r.v,) for r in often.where(is_heavy(F.col("c"), total)).select("v").collect()]  # fewer than HEAVY rows
+    mine = join_by(postings, often, "v", heavy).groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("own"), F.sum("c").alias("common"))
     size = F.least(F.col("n"), F.lit(k))
     prefix = size - F.greatest(F.lit(1), F.floor(size * SHARED)) + 1
     room = (prefix - (size - F.size("own"))).cast("int")  # values of one class come first in the order
-    return mine.where(room > 0).select("rep", "n", "common", F.explode(F.slice("own", F.lit(1), room)).alias("p")).select("p.v", "rep", "n", "common", "p.heavy")
-
-
-def by_list(postings: DataFrame, table: DataFrame) -> DataFrame:
-    """postings joined by v with a table that has a row for each list; both tell which values are heavy."""
-    hot, cold = F.col("heavy"), ~F.col("heavy")
-    return postings.where(hot).join(F.broadcast(table.where(hot).drop("heavy")), "v").unionByName(postings.where(cold).join(table.where(cold).drop("heavy"), "v"))
+    return mine.where(room > 0).select("rep", "n", "common", F.explode(F.slice("own", F.lit(1), room)).alias("p")).select("p.v", "rep", "n", "common"), heavy
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -142,7 +136,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, sc
     A pivot a may have any number of members b: they are dealt over salts, and each salt has the pivot's text once, before
     those of its members, so that a task streams over them.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-ids")
+    scratch.append(ids)
     texts = docs.join(ids, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     texts = materialize(texts, "near-texts")
     scratch.append(texts)
@@ -171,37 +166,38 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, sc
     return rows.mapInArrow(run, "a long, b long")
 
 
-def met_pivot(postings: DataFrame, threshold: float) -> DataFrame:
+def met_pivot(postings: DataFrame, heavy: list[tuple], threshold: float) -> DataFrame:
     """(a, b): every long list's pivot, its most common class, and the other members with sizes that can reach the threshold."""
-    pivot = F.max_by(F.struct("rep", "n"), F.struct("common", "rep")).alias("p")
-    chosen = postings.groupBy("v", "heavy").agg(pivot, F.count("*").alias("members")).where(F.col("members") > SHORT_LIST)
-    met = by_list(postings, chosen).where((F.col("rep") != F.col("p.rep")) & similar_sizes("n", "p.n", threshold))
+    chosen = postings.groupBy("v").agg(F.max_by(F.struct("rep", "n"), F.struct("common", "rep")).alias("p"), F.count("*").alias("members")).where(F.col("members") > SHORT_LIST)
+    met = join_by(postings, chosen, "v", heavy).where((F.col("rep") != F.col("p.rep")) & similar_sizes("n", "p.n", threshold))
     return met.select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def open_lists(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(v, rep, n, root, heavy) of the lists whose members aren't all in one component yet."""
+def open_lists(postings: DataFrame, heavy: list[tuple], roots: DataFrame | None) -> DataFrame:
+    """(v, rep, n, root) of the lists whose members aren't all in one component yet."""
     if roots is None:
-        with_root = postings.select("v", "rep", "n", "heavy", F.col("rep").alias("root"))
+        with_root = postings.select("v", "rep", "n", F.col("rep").alias("root"))
     else:
-        with_root = postings.join(roots, postings["rep"] == roots["node"], "left").select("v", "rep", "n", "heavy", F.coalesce("root", "rep").alias("root"))
-    still = with_root.groupBy("v", "heavy").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v", "heavy")
-    return by_list(with_root, still)
+        with_root = postings.join(roots, postings["rep"] == roots["node"], "left").select("v", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    still = with_root.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v")
+    return join_by(with_root, still, "v", heavy, "left_semi")
 
 
-def comparable(rest: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+def comparable(rest: DataFrame, heavy: list[tuple], scratch: list[DataFrame]) -> DataFrame:
     """(rep, n, root, cluster): the classes that open lists connect, a cluster being a component of the graph of these lists,
     or one list of it, where the lists' squares sum to less than the square of the component.
     """
-    star = rest.groupBy("v", "heavy").agg(F.min("rep").alias("a"))
-    clusters = components(by_list(rest, star).select("a", F.col("rep").alias("b")).distinct())
+    star = rest.groupBy("v").agg(F.min("rep").alias("a"))
+    clusters = components(join_by(rest, star, "v", heavy).select("a", F.col("rep").alias("b")).distinct())
     placed = materialize(rest.join(clusters.withColumnRenamed("root", "cluster"), F.col("rep") == F.col("node")).drop("node"), "near-placed")
     scratch.append(placed)
     squares = placed.groupBy("cluster", "v").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.sum(F.col("m").cast("double") ** 2).alias("lists"))
-    sizes = placed.select("cluster", "rep").distinct().groupBy("cluster").agg(F.count("*").alias("m"))
-    listed = sizes.join(squares, "cluster").where((F.col("m") > BLOCK_DOCS) & (F.col("lists") < F.col("m").cast("double") ** 2)).select("cluster", F.lit(True).alias("listed"))
+    sizes = placed.select("cluster", "rep").distinct().groupBy("cluster").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_DOCS)
+    listed = sizes.join(squares, "cluster").where(F.col("lists") < F.col("m").cast("double") ** 2).select("cluster", F.lit(True).alias("listed"))
     listed = materialize(listed, "near-listed")
     scratch.append(listed)
+    if listed.isEmpty():
+        return placed.select("rep", "n", "root", "cluster").distinct()
     unit = F.when(F.col("listed"), F.xxhash64(F.lit(1), "v")).otherwise(F.col("cluster"))
     return join_by(placed, listed, "cluster", how="left").select("rep", "n", "root", unit.alias("cluster")).distinct()
 
@@ -311,16 +307,17 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, threshold: flo
         scratch.append(materialize(df, what))
         return scratch[-1]
 
-    postings = table(lists(classes, k), "near-lists")
-    pairs = table(estimated(table(met_pivot(postings, threshold), "near-met"), classes, k), "near-pairs")
+    listed, heavy = lists(classes, k, scratch)
+    postings = table(listed, "near-lists")
+    pairs = table(estimated(table(met_pivot(postings, heavy, threshold), "near-met"), classes, k), "near-pairs")
     links = roots = None
     if not pairs.isEmpty():
         links = table(verified(pairs, docs, width, threshold, scratch), "near-links")
         roots = materialize(components(links), "near-roots")
-    rest = table(open_lists(postings, roots), "near-open")
+    rest = table(open_lists(postings, heavy, roots), "near-open")
     if not rest.isEmpty():
-        members = table(blocks(table(comparable(rest, scratch), "near-members"), scratch), "near-blocks")
-        reps = members.select("rep").distinct()
+        members = table(blocks(table(comparable(rest, heavy, scratch), "near-members"), scratch), "near-blocks")
+        reps = table(members.select("rep").distinct(), "near-reps")
         sets = table(full_sets(docs, reps, width).groupBy("rep").agg(F.first("set").alias("set")), "near-sets")
         found = table(links_in_blocks(block_pairs(members), sets, threshold, members.count() // BIN_DOCS + 1), "near-links")
         links = found if links is None else links.unionByName(found)
@@ -347,7 +344,8 @@ def resolved(docs: DataFrame, width: int, threshold: float, k: int) -> DataFrame
         where = join_by(where.drop("first"), firsts, "root")
     own = rows.select("key", "doc_id", "n", "low", "high")
     total = classes.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    out = join_by(own, where.select("low", "high", "first"), ["low", "high"], classes.where(F.col("times") * HEAVY > total).select("low", "high"), "left")
+    heavy = [tuple(r) for r in classes.where(is_heavy(F.col("times"), total)).select("low", "high").collect()]  # fewer than HEAVY rows
+    out = join_by(own, where.select("low", "high", "first"), ["low", "high"], heavy, "left")
     alone = F.col("n") == 0
     return out.select(
         "key", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("key") == F.col("first.key"))).alias("kept")
