@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 #: Most heavy keys, and so most rows of what is broadcast.
 HEAVY = 10_000
 #: Rows of one key that a task takes without trouble.
-FEW = 2_000
+FEW = 500
+
+
+#: Rows of one or two numbers up to which a table is broadcast: some 100 MB.
+SMALL_ROWS = 4_000_000
+
+
+def few_rows(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A written table of one or two numbers a row, with a broadcast hint if it has at most so many rows, which are counted."""
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def is_heavy(times, total: int):
