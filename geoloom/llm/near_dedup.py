@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.common import Memo, chunks, id_text, materialize
 from geoloom.operators.components import components
-from geoloom.operators.skew import is_heavy, join_by
+from geoloom.operators.skew import few_rows, is_heavy, join_by
 from geoloom.session import discard
 
 K = 32
@@ -138,7 +138,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, sc
     """
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-ids")
     scratch.append(ids)
-    texts = docs.join(ids, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    texts = docs.join(few_rows(ids), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     texts = materialize(texts, "near-texts")
     scratch.append(texts)
     most = pairs.groupBy("a").count().agg(F.max("count")).first()[0] or 1
@@ -295,7 +295,7 @@ def full_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
         for part, texts in chunks(batches):
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([shingle_set(t, width, memo).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["rep", "set"])
 
-    texts = docs.join(reps.select(F.col("rep").alias("key")), "key", "left_semi")
+    texts = docs.join(few_rows(reps.select(F.col("rep").alias("key"))), "key", "left_semi")
     return texts.select("key", "text").mapInArrow(run, "rep long, set array<long>")
 
 
