@@ -1,17 +1,22 @@
 """Language-model scoring with Brown-style class n-grams.
 
-Texts are lower-cased (A-Z). Words are counted over the whole training part. The most frequent words and, for all others, classes of shape (letters,
-closing mark, ending) are the units whose bigram counts, again over the whole training part, go to exchange clustering:
-each unit moves to the class that raises the mutual information of adjacent classes most, until nothing moves. A text's
-probability is the product of class transitions P(class | class before) and emissions P(word | class), both smoothed by
-adding one. The same counts give the base score, an add-one unigram model.
-
-Word counts of the HEAD most frequent words (a fixed number) travel with the task; all other words of a document meet
-their counts in a join by word, so nothing that grows with the vocabulary is broadcast, and no word of the join is hot.
+Texts are lower-cased (A-Z). Words are counted over the whole training part. Exchange clustering works on the bigram counts, again
+over the whole training part, of the most frequent words and, for all others, of units by shape (letters, closing mark, ending):
+each unit moves to the class that raises the mutual information of adjacent classes most, until nothing moves. Then every
+other word of the training part, however rare, leaves its shape for the class that the same measure prefers by the word's own
+counts of neighbouring classes, to which the neighbours of its shape are added with the weight of PRIOR tokens. Only words unseen in
+training keep their shape's class. Texts become sequences of classes; class transitions are counted over those of the training
+part. A text's probability is the product of class transitions P(class | class before) and emissions P(word | class), both smoothed
+by adding one. The same counts give the base score, an add-one unigram model.
+
+Classes and counts of the HEAD most frequent words and of the HELD_HEAD most frequent words outside the training part (fixed
+numbers) travel with the tasks; each distinct other word of a document meets its class in a join by word, so nothing that grows
+with the vocabulary is broadcast, and no word of the join is hot.
 
 Defined results: a null or blank text is the single token that ends a text; a null doc_id is in the training part; repeated
-rows count and are scored as separate documents; words unknown in training have count 0; without training documents every
-count is 0; an empty table gives an empty result; other columns are ignored. Words are known by 64-bit hashes.
+rows count and are scored as separate documents; words unknown in training have count 0; ties of classes go to the lower class;
+without training documents every count is 0; a text of any length is one sequence, in one task; an empty table gives an empty
+result; other columns are ignored. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,12 +33,22 @@ from geoloom.llm.common import chunks, crc_remainder, id_text, materialize
 
 #: Frequent words whose counts travel with the tasks: 16 bytes each.
 HEAD = 262_144
-#: Frequent words that are clustered one by one; the rest is clustered by shape.
+#: Frequent words outside the training part whose counts travel too.
+HELD_HEAD = 65_536
+#: Frequent words, the end token among them, that found the classes, with the shapes; all other words join a class by their neighbours.
 UNITS = 512
 SHAPES = 64
 CLASSES = 32
+#: How many tokens of its shape a word's own neighbours are weighed against.
+PRIOR = 1.0
+#: Words of which one task decides the classes, about; below that Spark's number of partitions decides.
+TASK_WORDS = 1_000_000
+#: Marks a word outside the head in a sequence of classes.
+LATER = 255
 #: Words that a task remembers before it starts afresh.
 MEMO_WORDS = 400_000
+#: The same where a task counts the neighbours of each word: 256 bytes a word.
+NEIGHBOUR_WORDS = 200_000
 MARKS = b".,;:!?)]}\"'"
 
 
@@ -190,72 +205,237 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return cls
 
 
-def score(docs: DataFrame, training: Column | None = None, classes: int = CLASSES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity for each row of docs.
+def count_neighbours(docs: DataFrame, units: np.ndarray, cls: np.ndarray, classes: int) -> DataFrame:
+    """(word, slot, n) for all words but units: how often a class stands before (slot < classes) or after the word.
 
-    training: which rows the model learns from; by default those whose crc32(doc_id as text) mod 7 is not 2.
+    Counts are summed inside a task; a word comes from a task once each time the task starts afresh.
     """
-    docs = id_text(docs)
-    train = training if training is not None else crc_remainder(F.col("doc_id"), 7) != 2
-    part = docs.where(train)
-    counts = materialize(count_words(part), "lm-counts")
-    by_shape = {int(r[0]): (r[1], r[2]) for r in counts.groupBy(F.col("word").bitwiseAND(SHAPES - 1)).agg(F.count("*"), F.sum("c")).collect()}  # a row for each shape
-    n_types, n_all = sum(v for v, _ in by_shape.values()), int(sum(c for _, c in by_shape.values()))
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()  # a fixed number of rows
-    words, times = (top.column(x).to_numpy() for x in ("word", "c"))
-    units = np.sort(words[:UNITS])
-    order = np.argsort(words)
-    head, head_log = words[order], np.log10(times[order] + 1.0)
+    unit, end = unit_of(units), int(cls[unit_of(units)(np.array([END], np.int64))[0][0]])
+    width = 2 * classes
 
-    size = len(units) + SHAPES
-    grams = count_bigrams(part, units).toArrow()  # at most (UNITS + SHAPES) ** 2 rows
-    bigrams = np.zeros((size, size))
-    bigrams[grams.column("a").to_numpy(), grams.column("b").to_numpy()] = grams.column("n").to_numpy()
-    cls = exchange(bigrams, classes)
-    k = int(cls.max()) + 1
-    one = np.zeros((size, k))
-    one[np.arange(size), cls] = 1
-    table = one.T @ bigrams @ one
-    transition = np.log10((table + 1) / (table.sum(1, keepdims=True) + k))
-    types = np.zeros(size)
-    types[: len(units)] = 1
-    for s, (v, _) in by_shape.items():
-        types[len(units) + s] = v - ((units & (SHAPES - 1)) == s).sum()
-    emission = np.log10(table.sum(0) + one.T @ types + 1)  # the part of P(word | class) below the line
-    end_class = int(cls[int(unit_of(units)(np.array([END], np.int64))[0][0])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lambda ids: [ids, cls[unit(ids)[0]], find(units, ids) < 0]
+        tokens, total = Tokens(known), np.zeros(1 << 20, np.int32)
+
+        def out():
+            keep = np.flatnonzero(total)
+            for a in range(0, len(keep), 1 << 19):
+                part = keep[a : a + (1 << 19)]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.columns[0][part // width]), pa.array((part % width).astype(np.int32)), pa.array(total[part])], names=["word", "slot", "n"])
+
+        for _, texts in chunks(batches):
+            if len(tokens.index) > NEIGHBOUR_WORDS:
+                yield from out()
+                tokens, total = Tokens(known), np.zeros(1 << 20, np.int32)
+            index, _ = tokens.of(texts)  # every text ends with the end token, so texts can be chained
+            c, mine = tokens.columns[1][index], tokens.columns[2][index]
+            at = np.flatnonzero(mine)  # the end token is a unit, so a word's neighbours are of its own text
+            if len(tokens.index) * width > len(total):
+                total = np.concatenate([total, np.zeros(2 * len(tokens.index) * width - len(total), np.int32)])
+            before = np.concatenate([[end], c[:-1]])
+            after = np.concatenate([c[1:], [end]])
+            np.add.at(total, index[at] * np.int64(width) + before[at], 1)
+            np.add.at(total, index[at] * np.int64(width) + classes + after[at], 1)
+        yield from out()
+
+    return docs.select("text").mapInArrow(run, "word long, slot int, n int")
+
+
+def assign_classes(neighbours: DataFrame, gain: np.ndarray, prior: np.ndarray, parts: int) -> DataFrame:
+    """(word, c, cls): the class with the largest gain for each word. gain: of one neighbour, slots by classes; prior: shapes by classes."""
+    classes = gain.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(word, c, value):
+            best = np.argmax(value + prior[word & (SHAPES - 1)], 1)
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(c), pa.array(best.astype(np.int32))], names=["word", "c", "cls"])
+
+        last = None  # the word at the end of a batch, which may go on in the next
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word, slot, n = (batch.column(x).to_numpy() for x in ("word", "slot", "n"))
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+            value = np.add.reduceat(n[:, None] * gain[slot], starts)
+            c = np.add.reduceat(np.where(slot < classes, n, 0).astype(np.int64), starts)
+            word = word[starts]
+            if last is not None:
+                if last[0][0] == word[0]:
+                    c[0] += last[1][0]
+                    value[0] += last[2][0]
+                else:
+                    yield out(*last)
+            if len(word) > 1:
+                yield out(word[:-1], c[:-1], value[:-1])
+            last = word[-1:], c[-1:], value[-1:]
+        if last is not None:
+            yield out(*last)
+
+    by_word = neighbours.repartition(parts, "word") if parts else neighbours.repartition("word")
+    return by_word.sortWithinPartitions("word").mapInArrow(run, "word long, c long, cls int")
+
+
+def encode(docs: DataFrame, head: np.ndarray, times: np.ndarray, head_cls: np.ndarray) -> DataFrame:
+    """doc_id, train, n_tokens, head_known, head_log, the sequence of classes (LATER for words outside the head), those
+    words once each (tail), and which of them stands at each LATER (places).
+    """
+    logs = np.log10(times + 1.0)
 
     def known(ids: np.ndarray) -> list[np.ndarray]:
         at = find(head, ids)
-        return [ids, cls[unit_of(units)(ids)[0]], at >= 0, np.where(at >= 0, head_log[at], 0.0) if len(head) else np.zeros(len(ids))]
-
-    ddl = "doc_id long, n_tokens long, head_known long, head_log double, model double, tail array<long>, times array<int>"
+        inside = at >= 0
+        pick = lambda x, other: np.where(inside, x[at], other) if len(head) else np.full(len(ids), other)
+        return [ids, pick(head_cls, LATER).astype(np.uint8), pick(times, 0) > 0, pick(logs, 0.0)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(known)
         for rows, texts in chunks(batches):
             index, stops = tokens.of(texts)
-            ids, c, in_head, logs = (x[index] for x in tokens.columns)
+            ids, c, seen, log = (x[index] for x in tokens.columns)
             starts = np.concatenate([[0], stops[:-1]])
-            before = np.concatenate([[end_class], c[:-1]])
-            before[starts] = end_class
-            local = transition[before, c] - emission[c]
-            sums = [np.add.reduceat(x, starts) for x in (in_head.astype(np.int64), logs, local)]
-            tail, times = [], []
+            sums = [np.add.reduceat(x, starts) for x in (seen.astype(np.int64), log)]
+            seq, tail, places = [], [], []
             for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-                word, n = np.unique(ids[a:b][~in_head[a:b]], return_counts=True)
+                word, place = np.unique(ids[a:b][c[a:b] == LATER], return_inverse=True)
+                seq.append(c[a:b].tobytes())
                 tail.append(word)
-                times.append(n.astype(np.int32))
+                places.append(place.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(stops - starts), *map(pa.array, sums), pa.array(tail, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
-                names=["doc_id", "n_tokens", "head_known", "head_log", "model", "tail", "times"],
+                [rows.column("doc_id"), rows.column("train"), pa.array(stops - starts), *map(pa.array, sums), pa.array(seq, pa.binary()), pa.array(tail, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+                names=["doc_id", "train", "n_tokens", "head_known", "head_log", "seq", "tail", "places"],
             )
 
-    table_rows = materialize(docs.mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    rare = table_rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
-    met = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_log"), F.sum("times").alias("tail_known"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = table_rows.drop("tail", "times").join(met, "row", "left").withColumn("logs", F.col("head_log") + zero("tail_log"))
+    return docs.mapInArrow(run, "doc_id long, train boolean, n_tokens long, head_known long, head_log double, seq binary, tail array<long>, places array<int>")
+
+
+def sequences(rows: DataFrame, classes: DataFrame, of_shape: list[int]) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, logs and the whole sequence of classes of each encoded row."""
+    each = rows.select("row", F.posexplode("tail").alias("i", "word")).join(classes, "word", "left")
+    shape_cls = F.element_at(F.lit(of_shape), (F.col("word").bitwiseAND(SHAPES - 1) + 1).cast("int"))
+    met = each.select("row", F.struct("i", F.coalesce("cls", shape_cls).alias("cls"), F.coalesce("c", F.lit(0)).alias("c")).alias("t")).groupBy("row").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    joined = rows.drop("tail").join(met, "row", "left").select("doc_id", "train", "n_tokens", "head_known", "head_log", "seq", "places", F.col("t.cls").alias("cls"), F.col("t.c").alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs, n, logs = [], [], []
+            for seq, places, cls, c in zip(*(batch.column(x) for x in ("seq", "places", "cls", "c")), strict=True):
+                s = np.frombuffer(seq.as_py(), np.uint8)
+                if cls.is_valid:
+                    at, c = places.values.to_numpy(), c.values.to_numpy()
+                    s = s.copy()
+                    s[s == LATER] = cls.values.to_numpy()[at]
+                    n.append(int((c[at] > 0).sum()))
+                    logs.append(float(np.log10(c[at] + 1.0).sum()))
+                else:
+                    n.append(0)
+                    logs.append(0.0)
+                seqs.append(s.tobytes())
+            n_known = batch.column("head_known").to_numpy() + np.array(n, np.int64)
+            total = batch.column("head_log").to_numpy() + np.array(logs)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "train", "n_tokens")), pa.array(n_known), pa.array(total), pa.array(seqs, pa.binary())], names=["doc_id", "train", "n_tokens", "n_known", "logs", "seq"])
+
+    return joined.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, logs double, seq binary")
+
+
+def chained(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class before each token, its own class, and where each sequence starts; every sequence has its end token."""
+    seqs = batch.column("seq").to_pylist()
+    c = np.frombuffer(b"".join(seqs), np.uint8).astype(np.int64)
+    starts = np.cumsum([0, *map(len, seqs[:-1])])
+    before = np.concatenate([[end], c[:-1]])
+    before[starts] = end
+    return before, c, starts
+
+
+def count_transitions(seqs: DataFrame, classes: int, end: int) -> np.ndarray:
+    """Counts of adjacent classes over all sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                before, c, _ = chained(batch, end)
+                total += np.bincount(before * classes + c, minlength=classes * classes)
+        keep = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(total[keep])], names=["pair", "n"])
+
+    grams = seqs.select("seq").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most classes ** 2 rows
+    table = np.zeros(classes * classes)
+    table[grams.column("pair").to_numpy()] = grams.column("n").to_numpy()
+    return table.reshape(classes, classes)
+
+
+def class_tables(part: DataFrame, units: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The class of each unit, the gains of one neighbour (slots by classes), the prior of each shape, and the number of classes."""
+    size = len(units) + SHAPES
+    grams = count_bigrams(part, units).toArrow()  # at most (UNITS + SHAPES) ** 2 rows
+    bigrams = np.zeros((size, size))
+    bigrams[grams.column("a").to_numpy(), grams.column("b").to_numpy()] = grams.column("n").to_numpy()
+    cls = exchange(bigrams, classes)
+    k = int(cls.max()) + 1
+    one = np.zeros((size, k))
+    one[np.arange(size), cls] = 1
+    table = one.T @ bigrams @ one + 1
+    # mutual information that a word adds to a class: log P(class, neighbour) / P(class) for one side, over P(class) once more for the emission
+    forward = np.log(table / table.sum(1, keepdims=True)) - np.log(table.sum(0) / table.sum())
+    backward = np.log(table / table.sum(1, keepdims=True))
+    gain = np.concatenate([forward, backward.T])
+    shapes = slice(len(units), size)
+    near = np.concatenate([one.T @ bigrams[:, shapes], (bigrams[shapes] @ one).T]).T  # shapes by slots
+    often = np.maximum(near[:, :k].sum(1, keepdims=True), 1)
+    return cls, gain, PRIOR * (near / often) @ gain, k
+
+
+def score(docs: DataFrame, training: Column | None = None, classes: int = CLASSES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity for each row of docs.
+
+    training: which rows the model learns from; by default those whose crc32(doc_id as text) mod 7 is not 2.
+    """
+    docs = id_text(docs)
+    docs = docs.withColumn("train", F.coalesce(training if training is not None else crc_remainder(F.col("doc_id"), 7) != 2, F.lit(False)))
+    part = docs.where("train")
+    most = lambda df, n: df.orderBy(F.desc("c"), "word").limit(n).toArrow()  # noqa: E731  (a fixed number of rows)
+    counts = materialize(count_words(part), "lm-counts")
+    n_types, n_all = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    top = counts.orderBy(F.col("word") != END, F.desc("c"), "word").limit(UNITS).toArrow()  # the end token is a unit in any case
+    order = np.argsort(top.column("word").to_numpy())
+    units, unit_times = top.column("word").to_numpy()[order], top.column("c").to_numpy()[order]
+    cls, gain, prior, k = class_tables(part, units, classes)
+    end = int(cls[int(unit_of(units)(np.array([END], np.int64))[0][0])])
+
+    parts = -(-n_types // TASK_WORDS)
+    parts = parts if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+    words = materialize(assign_classes(count_neighbours(part, units, cls, k), gain, prior, parts), "lm-classes")
+    held = docs.sparkSession.createDataFrame(most(count_words(docs.where("not train")), HELD_HEAD).to_pandas()[["word"]], "word long")
+    unseen = held.join(words, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"), "cls").toArrow()  # HELD_HEAD rows
+    first = most(words, HEAD)
+    of_shape = cls[len(units) :]
+    ids = np.concatenate([units, *(x.column("word").to_numpy() for x in (first, unseen))])
+    times = np.concatenate([unit_times, *(x.column("c").to_numpy() for x in (first, unseen))])
+    shape_cls = of_shape[unseen.column("word").to_numpy() & (SHAPES - 1)]
+    late = np.where(unseen.column("c").to_numpy() > 0, unseen.column("cls").fill_null(0).to_numpy(), shape_cls)
+    head_cls = np.concatenate([cls[: len(units)], first.column("cls").to_numpy(), late])
+    head, at = np.unique(ids, return_index=True)  # of equal words the first, so units keep their classes
+    rows = materialize(encode(docs, head, times[at], head_cls[at]).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    seqs = materialize(sequences(rows, words, [int(x) for x in of_shape]), "lm-sequences")
+
+    table = count_transitions(seqs.where("train"), k, end)
+    transition = np.log10((table + 1) / (table.sum(1, keepdims=True) + k))
+    types = np.bincount(cls[: len(units)], minlength=k).astype(float)
+    for r in words.groupBy("cls").count().collect():  # a row for each class
+        types[r["cls"]] += r["count"]
+    emission = np.log10(table.sum(0) + types + 1)  # the part of P(word | class) below the line
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            before, c, starts = chained(batch, end)
+            model = np.add.reduceat(transition[before, c] - emission[c], starts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "train", "n_tokens", "n_known", "logs")), pa.array(model)], names=["doc_id", "train", "n_tokens", "n_known", "logs", "model"])
+
+    out = seqs.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, logs double, model double")
     return out.select(
-        "doc_id", (~train).alias("held_out"), "n_tokens", (F.col("head_known") + zero("tail_known")).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(n_all + n_types + 1)))).alias("base_score"), (F.col("logs") + F.col("model")).alias("score"),
     ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

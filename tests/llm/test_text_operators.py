@@ -247,12 +247,89 @@ def test_lm_scores(docs, empty):
     assert all(r.score < 0 and r.perplexity > 1 for r in rows) and lm_scoring.score(empty).count() == 0
 
 
-def test_lm_joins_rare_words(spark, docs, monkeypatch):
-    whole = sorted((repr(r.doc_id), r.n_known, round(r.score, 6)) for r in lm_scoring.score(docs, classes=4).collect())
-    monkeypatch.setattr(lm_scoring, "HEAD", 5)
+def test_lm_joins_rare_words(docs, monkeypatch):
+    """Which words travel with the tasks and where a task starts afresh changes nothing."""
+    result = lambda: sorted((repr(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm_scoring.score(docs, classes=4).collect())
     monkeypatch.setattr(lm_scoring, "UNITS", 5)
-    few = sorted((repr(r.doc_id), r.n_known) for r in lm_scoring.score(docs, classes=4).collect())
-    assert few == [(a, b) for a, b, _ in whole]
+    whole = result()
+    for name, value in (("HEAD", 3), ("HELD_HEAD", 1), ("NEIGHBOUR_WORDS", 4), ("TASK_WORDS", 3)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    assert result() == whole
+
+
+def brute_lm_scores(texts, n_units, k):
+    """(doc_id, score): the class model word by word over lists; texts: (doc_id, in training, words with the end)."""
+    import numpy as np
+
+    number = {w: lm_scoring.word_id(w.encode() if w else b"") for _, _, ws in texts for w in ws}
+    shape = {w: number[w] & 63 for w in number}
+    train = [ws for _, t, ws in texts if t]
+    c = Counter(w for ws in train for w in ws)
+    units = sorted(sorted(c, key=lambda w: (w is not None, -c[w], number[w]))[:n_units], key=number.get)
+    unit = {w: units.index(w) if w in units else n_units + shape[w] for w in number}
+    pairs = [(a, b) for ws in train for a, b in zip([None, *ws], ws, strict=False)]
+    bigrams = np.zeros((n_units + 64, n_units + 64))
+    for a, b in pairs:
+        bigrams[unit[a], unit[b]] += 1
+    cls = [int(x) for x in lm_scoring.exchange(bigrams, k)]
+    seed = {w: cls[unit[w]] for w in number}
+    table = [[1.0 + sum(seed[a] == x and seed[b] == y for a, b in pairs) for y in range(k)] for x in range(k)]
+    total, column = sum(map(sum, table)), [sum(r[y] for r in table) for y in range(k)]
+    before = lambda p, x: math.log(table[p][x] / sum(table[p])) - math.log(column[x] / total)
+    after = lambda x, q: math.log(table[x][q] / sum(table[x]))
+    stream = [w for ws in train for w in ws]  # texts follow one another: after an end comes the next text's first word
+    of, profile = {}, {}
+    for kind in range(64):
+        own = [(a, b) for a, b in pairs if unit[b] == n_units + kind]
+        follow = [b for a, b in pairs if unit[a] == n_units + kind]
+        profile[kind] = [(sum(before(seed[a], x) for a, _ in own) + sum(after(x, seed[b]) for b in follow)) / max(len(own), 1) for x in range(k)]
+    for w in number:
+        if w in units or not c[w]:
+            of[w] = seed[w]
+            continue
+        value = [sum(before(seed[a], x) for a, b in pairs if b == w) + sum(after(x, seed[b]) for a, b in pairs if a == w) + lm_scoring.PRIOR * profile[shape[w]][x] for x in range(k)]
+        of[w] = max(range(k), key=lambda x: round(value[x], 9))
+    moves = Counter((of[a], of[b]) for a, b in pairs)
+    types, mass = Counter(of[w] for w in c), Counter(of[w] for w in stream)
+    out = []
+    for i, _, ws in texts:
+        logs = 0.0
+        for a, b in zip([None, *ws], ws, strict=False):
+            x, y = of[a], of[b]
+            logs += math.log10((moves[x, y] + 1) / (sum(moves[x, z] for z in range(k)) + k)) + math.log10((c[b] + 1) / (mass[y] + types[y] + 1))
+        out.append((repr(i), round(logs, 4)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n_units, k", [(5, 3), (12, 4)])
+def test_lm_scores_equal_brute_force(spark, monkeypatch, n_units, k):
+    monkeypatch.setattr(lm_scoring, "UNITS", n_units)
+    monkeypatch.setattr(lm_scoring, "HEAD", 6)
+    words = "a river ran by the old hill, while some cats sat on a mat. then dogs ate fish; grün war das tal".split()
+    texts = [(i, " ".join(words[(i * 7 + j * j + i * j) % len(words)] + ("x" * (j % 3) if i % 4 == 1 else "") for j in range(3 + i % 9))) for i in range(40)] + [(40, None), (41, " "), (41, " ")]
+    rows = lm_scoring.score(spark.createDataFrame(texts, "doc_id long, text string"), classes=k).collect()
+    want = brute_lm_scores([(i, zlib.crc32(str(i).encode()) % 7 != 2, [*words_of(t), None]) for i, t in texts], n_units, k)
+    assert sorted((repr(r.doc_id), round(r.score, 4)) for r in rows) == want
+
+
+def test_exchange_stops_where_no_move_helps():
+    import numpy as np
+
+    def information(bigrams, cls, k):
+        one = np.eye(k)[cls]
+        t = one.T @ bigrams @ one
+        t = t / t.sum()
+        free = t.sum(1, keepdims=True) * t.sum(0, keepdims=True)
+        return float((t[t > 0] * np.log(t[t > 0] / free[t > 0])).sum())
+
+    bigrams = np.random.default_rng(5).poisson(2, (14, 14)).astype(float)
+    cls = lm_scoring.exchange(bigrams, 4, sweeps=50)
+    best = information(bigrams, cls, 4)
+    for u in range(14):
+        for x in range(4):
+            other = cls.copy()
+            other[u] = x
+            assert information(bigrams, other, 4) <= best + 1e-9
 
 
 def test_exchange_finds_alternating_classes():
