@@ -206,7 +206,8 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
 
 
 def count_neighbours(docs: DataFrame, units: np.ndarray, cls: np.ndarray, classes: int) -> DataFrame:
-    """(word, slot, n) for all words but units: how often a class stands before (slot < classes) or after the word.
+    """(word, near) for all words but units. near: pairs of 32-bit numbers, a slot and how often it was met, where slots below
+    classes are the classes before the word and the others those after it.
 
     Counts are summed inside a task; a word comes from a task once each time the task starts afresh.
     """
@@ -218,10 +219,14 @@ def count_neighbours(docs: DataFrame, units: np.ndarray, cls: np.ndarray, classe
         tokens, total = Tokens(known), np.zeros(1 << 20, np.int32)
 
         def out():
-            keep = np.flatnonzero(total)
-            for a in range(0, len(keep), 1 << 19):
-                part = keep[a : a + (1 << 19)]
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.columns[0][part // width]), pa.array((part % width).astype(np.int32)), pa.array(total[part])], names=["word", "slot", "n"])
+            for a in range(0, len(tokens.index), 1 << 16):
+                part = total[a * width : (a + (1 << 16)) * width]
+                keep = np.flatnonzero(part)
+                word, starts = np.unique(keep // width, return_index=True)
+                pairs = np.stack([(keep % width).astype(np.int32), part[keep]], 1)
+                cuts = (np.append(starts, len(keep)) * pairs.itemsize * 2).astype(np.int32)
+                near = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(cuts), pa.py_buffer(pairs)])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.columns[0][a + word]), near], names=["word", "near"])
 
         for _, texts in chunks(batches):
             if len(tokens.index) > NEIGHBOUR_WORDS:
@@ -238,7 +243,7 @@ def count_neighbours(docs: DataFrame, units: np.ndarray, cls: np.ndarray, classe
             np.add.at(total, index[at] * np.int64(width) + classes + after[at], 1)
         yield from out()
 
-    return docs.select("text").mapInArrow(run, "word long, slot int, n int")
+    return docs.select("text").mapInArrow(run, "word long, near binary")
 
 
 def assign_classes(neighbours: DataFrame, gain: np.ndarray, prior: np.ndarray, parts: int) -> DataFrame:
@@ -254,11 +259,13 @@ def assign_classes(neighbours: DataFrame, gain: np.ndarray, prior: np.ndarray, p
         for batch in batches:
             if not batch.num_rows:
                 continue
-            word, slot, n = (batch.column(x).to_numpy() for x in ("word", "slot", "n"))
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+            word, near = batch.column("word").to_numpy(), batch.column("near").to_pylist()
+            slot, n = np.frombuffer(b"".join(near), np.int32).reshape(-1, 2).T
+            rows = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+            starts = np.cumsum([0, *map(len, near[:-1])])[rows] // 8
             value = np.add.reduceat(n[:, None] * gain[slot], starts)
             c = np.add.reduceat(np.where(slot < classes, n, 0).astype(np.int64), starts)
-            word = word[starts]
+            word = word[rows]
             if last is not None:
                 if last[0][0] == word[0]:
                     c[0] += last[1][0]
