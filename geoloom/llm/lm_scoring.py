@@ -67,33 +67,40 @@ def word_id(word: bytes) -> int:
 END = word_id(b"")
 
 
+class Index(dict):
+    """word -> its place, in order of arrival; fresh: the words that arrived since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Tokens:
     """Indexes of words, with columns of what is known of each indexed word."""
 
     def __init__(self, known):
-        self.known, self.index, self.fresh = known, {}, []
+        self.known, self.index = known, Index()
         self.columns: list[np.ndarray] = []
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Word indexes of all texts, each followed by the end token, and the place after each text's end."""
         if len(self.index) > MEMO_WORDS:
-            self.index, self.columns = {}, []
-        index, fresh, parts, sizes = self.index, [], [], []
+            self.index, self.columns = Index(), []
+        place, parts, sizes = self.index.__getitem__, [], []
         for text in texts:
-            words = [*text.lower().split(), b""]  # bytes.lower() changes A-Z only
-            try:
-                got = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
-            except KeyError:
-                for w in words:
-                    if w not in index:
-                        index[w] = len(index)
-                        fresh.append(w)
-                got = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
-            parts.append(got)
+            words = text.lower().split()  # bytes.lower() changes A-Z only
+            words.append(b"")
+            parts.append(np.fromiter(map(place, words), np.int32, len(words)))
             sizes.append(len(words))
-        if fresh:
-            more = self.known(np.array([word_id(w) for w in fresh], np.int64))
+        if self.index.fresh:
+            more = self.known(np.array([word_id(w) for w in self.index.fresh], np.int64))
             self.columns = [np.concatenate([a, b]) for a, b in zip(self.columns, more, strict=True)] if self.columns else list(more)
+            self.index.fresh = []
         return np.concatenate(parts), np.cumsum(sizes)
 
 
