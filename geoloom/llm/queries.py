@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontamination, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, sharding, warc_revisits
+from geoloom.llm import decontamination, lm_scoring, near_dedup, nearest, packing, pii, quality_classifier, quality_rules, resampling, secrets, sharding, warc_revisits, whitening
 from geoloom.llm.common import crc_remainder, read
 from geoloom.session import shared_dir
 
@@ -56,5 +56,17 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.resharded(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/reshard-{uuid.uuid4().hex}")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_lm_scoring, op5_warc_revisits, op6_quality_classifier, op7_near_dedup, op8_packing, op9_pii, op10_resharding)}
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL, "op5_warc_revisits": warc_revisits.SQL, "op7_near_dedup": near_dedup.SQL}
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_quality_rules, op4_lm_scoring, op5_warc_revisits, op6_quality_classifier, op7_near_dedup, op8_packing, op9_pii, op10_resharding, op11_nearest, op12_importance_resampling, op13_whitening)}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontamination.SQL, "op5_warc_revisits": warc_revisits.SQL, "op7_near_dedup": near_dedup.SQL, "op12_importance_resampling": resampling.SQL}
