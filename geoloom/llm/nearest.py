@@ -2,7 +2,7 @@
 
 TABLES hash tables each cut Gaussian projections of a vector (2-stable, so that a neighbour at distance r is moved by r times a
 normal number) into cells of equal width; a bucket is a combination of cells. A query visits, over all tables, the buckets in
-which a neighbour may lie in order of their estimated success, down to a cutoff; the candidates of all tables are merged and
+which a neighbour may lie, its own first and the others in order of their estimated success, down to a cutoff; the candidates of all tables are merged and
 ranked by exact distance.
 
 What is fitted: centre and spread of the projections on SAMPLE_ROWS vectors, and, on SAMPLE_QUERIES queries whose true neighbours
@@ -37,13 +37,15 @@ from geoloom.session import discard
 
 TABLES, CELL, SEED = 4, 2.5, 20240229
 #: Vectors in a bucket that the number of projections aims at, and those that a block holds at most.
-OCCUPANCY, BLOCK = 32, 4096
+OCCUPANCY, BLOCK = 128, 4096
 #: Bounds of what is fitted on: rows for centre and spread, queries for the success model and the cutoff.
 SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 128
 #: Share of the sample's true neighbours that the cutoff has to reach.
 REACH = 0.96
 #: Queries whose distances to a block are worked out together.
 TOGETHER = 512
+#: Rows that a task holds before it drops those that can't be among the nearest.
+MOST_HELD = 100_000
 EMPTY = "query_id long, rank int, vec_id long, score double"
 
 
@@ -100,8 +102,9 @@ class Cells:
         return first, np.log(np.maximum(np.diff(below, axis=1), 1e-12))
 
     def visits(self, places: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query (row), bucket and log success of every bucket of a table at or above the cutoff.
+        """Query (row), bucket and log success of every bucket of a table at or above the cutoff, and of the query's own bucket.
 
+        The own bucket comes first (log success 0), as near copies lie there, whatever the success model says.
         Projections are added one by one; what can't reach the cutoff even with the best cells of the rest goes at once.
         """
         columns = [table * self.k + i for i in range(self.k)]
@@ -114,7 +117,9 @@ class Cells:
             total = so_far[:, None] + p[query]
             at, cell = np.nonzero(total >= (self.cutoff - after)[:, None] if isinstance(after, np.ndarray) else total >= self.cutoff)
             so_far, code, query = total[at, cell], np.column_stack([code[at], first + cell]), query[at]
-        return query, self.bucket(code, table), so_far
+        bucket, own = self.bucket(code, table), self.bucket(self.cells(places)[:, columns], table)
+        others = bucket != own[query]
+        return np.concatenate([np.arange(len(places)), query[others]]), np.concatenate([own, bucket[others]]), np.concatenate([np.zeros(len(places)), so_far[others]])
 
     def success_of(self, places: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Log success of the bucket of `cells` for each query, in the table where it is largest."""
@@ -155,6 +160,45 @@ def nearest_of(queries: np.ndarray, block: np.ndarray, k: int) -> tuple[np.ndarr
     return at, of, np.sqrt(((q[at] - v[of]) ** 2).sum(1))
 
 
+class Best:
+    """The k nearest classes that a task has seen so far for each query, of MOST_HELD rows at most before they are passed on."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.bound: list[float] = []
+        self.held: list[tuple] = []
+
+    def add(self, query: bytes, score: float, found: bytes, ids: list[int]) -> None:
+        n = self.number.setdefault(query, len(self.bound))
+        if n == len(self.bound):
+            self.bound.append(float("inf"))
+        if score <= self.bound[n]:
+            self.held.append((n, score, ids[0], found, ids, query))
+
+    def trim(self) -> None:
+        """Keeps k classes for each query; one that several tables or blocks found counts once."""
+        out, before, seen = [], (None,) * 4, 0
+        for row in sorted(self.held):
+            if row[:4] == before[:4]:
+                continue
+            seen = seen + 1 if row[0] == before[0] else 1
+            before = row
+            if seen <= self.k:
+                out.append(row)
+                if seen == self.k:
+                    self.bound[row[0]] = row[1]
+        self.held = out
+
+    def batch(self) -> pa.RecordBatch:
+        _, score, _, found, ids, query = zip(*self.held, strict=True) if self.held else ([],) * 6
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.binary()), pa.array(found, pa.binary()), pa.array(ids, pa.list_(pa.int64())), pa.array(score, pa.float64())], names=["key", "found", "ids", "score"])
+
+
 def true_neighbours(classes: DataFrame, sample: list, dtype: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a sampled query's vector and one of its k nearest, by brute force over all classes; equal vectors don't count."""
     keys, asked = [r["key"] for r in sample], np.array([np.frombuffer(r["vec"], dtype) for r in sample])
@@ -237,7 +281,7 @@ def nearest(table: DataFrame, asks: Column, k: int = 10, id_col: str = "vec_id",
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's vectors come before its queries; BLOCK vectors (and a few more) are held at a time."""
-        now, keys, ids, vecs = None, [], [], []
+        now, keys, ids, vecs, best = None, [], [], [], Best(k + 1)
         for batch in batches:
             where = list(zip(*(batch.column(c).to_pylist() for c in ("t", "bucket", "block", "asks")), strict=True))
             cuts = [0, *(i for i in range(1, len(where)) if where[i] != where[i - 1]), len(where)]
@@ -254,10 +298,16 @@ def nearest(table: DataFrame, asks: Column, k: int = 10, id_col: str = "vec_id",
                     vecs.append(matrix)
                 elif vecs:
                     vecs = [np.concatenate(vecs)]
-                    asked = piece.column("key")
+                    asked = piece.column("key").to_pylist()
                     for at in range(0, len(matrix), TOGETHER):
-                        q, v, far = nearest_of(matrix[at : at + TOGETHER], vecs[0], k + 1)
-                        yield pa.RecordBatch.from_arrays([asked.take(pa.array(q + at)), pa.array([keys[i] for i in v], pa.binary()), pa.array([ids[i] for i in v], pa.list_(pa.int64())), pa.array(far)], names=["key", "found", "ids", "score"])
+                        for q, v, far in zip(*(x.tolist() for x in nearest_of(matrix[at : at + TOGETHER], vecs[0], k + 1)), strict=True):
+                            best.add(asked[at + q], far, keys[v], ids[v])
+                    if len(best.held) > MOST_HELD:
+                        best.trim()
+                        if len(best.held) > MOST_HELD // 2:
+                            yield best.batch()
+        best.trim()
+        yield best.batch()
 
     met = both.mapInArrow(meet, "key binary, found binary, ids array<long>, score double")
     merged = met.groupBy("key", "found").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
