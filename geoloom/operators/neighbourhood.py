@@ -1,21 +1,23 @@
-"""Operators over neighbouring pixels, as Spark joins: each pixel offers its value to the pixels around it, and a grouped
-aggregate with map-side combination takes what arrives. Rows are keys (patch_id, ts if temporal, y, x, b if banded) and v.
+"""Operators over neighbouring pixels. Rows are keys (patch_id, ts if temporal, y, x, b if banded) and v.
+
+Morphology, means over an element, erosion of labels and resizing work on tiles that exchange their borders (operators.tiles).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geoloom.operators import tiles
 from geoloom.operators.projection import cast_within, number
+from geoloom.operators.tiles import Offsets
 from geoloom.types import INTEGER_RANGES
 
-Offsets = list[tuple[int, int]]
-
 
 def ellipse(rows: int, cols: int) -> Offsets:
     """Offsets (dy, dx) of an elliptic element with its anchor in the middle."""
@@ -42,38 +44,43 @@ def square(size: int) -> Offsets:
     return rectangle(size, size)
 
 
-def focal(df: DataFrame, offsets: Offsets, how: str | Callable[[str], Column]) -> DataFrame:
-    """Each pixel's aggregate over the pixels at the offsets around it; what lies outside the image doesn't count."""
-    keys = [c for c in df.columns if c not in ("y", "x", "v")]
-    own = df.select(*keys, "y", "x", F.lit(True).alias("_own"), F.lit(None).cast(df.schema["v"].dataType).alias("v"))
-    steps = F.array(*(F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx")) for dy, dx in offsets))
-    sent = df.select(*keys, "y", "x", "v", F.explode(steps).alias("s"))
-    sent = sent.select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.lit(False).alias("_own"), "v")
-    take = getattr(F, how) if isinstance(how, str) else how
-    merged = own.unionByName(sent).groupBy(*keys, "y", "x").agg(F.bool_or("_own").alias("_own"), take("v").alias("v"))
-    return merged.where("_own").drop("_own")
+def focal(df: DataFrame, offsets: Offsets, how: str) -> DataFrame:
+    """Each pixel's max, min or avg over the pixels at the offsets around it; what lies outside the image doesn't count."""
+    if how not in ("max", "min", "avg"):
+        raise ValueError(f"unknown aggregate: {how}")
+    if how == "avg":
+        return tiles.tile_map(df.withColumn("v", F.col("v").cast("double")), tiles.reach_of(offsets), lambda v, there, known: tiles.mean(v, known, offsets))
+    return tiles.tile_map(df, tiles.reach_of(offsets), lambda v, there, known: tiles.extreme(v, known, offsets, how == "max"))
 
 
 def morphology(df: DataFrame, offsets: Offsets | None = None, how: str = "dilation") -> DataFrame:
-    """Grey-scale dilation, erosion, opening or closing; 3 by 3 without an element."""
+    """Grey-scale dilation, erosion, opening or closing; 3 by 3 without an element. Opening and closing exchange borders once."""
     offsets = square(3) if offsets is None else offsets
-    steps = {"dilation": ["max"], "erosion": ["min"], "opening": ["min", "max"], "closing": ["max", "min"]}
+    steps = {"dilation": [True], "erosion": [False], "opening": [False, True], "closing": [True, False]}
     if how not in steps:
         raise ValueError(f"unknown operation: {how}")
-    for f in steps[how]:
-        df = focal(df, offsets, f)
-    return df
+
+    def kernel(v, there, known):
+        for largest in steps[how]:
+            v, known = tiles.extreme(v, known, offsets, largest)
+            known = known & there
+        return v, known
+
+    return tiles.tile_map(df, len(steps[how]) * tiles.reach_of(offsets), kernel)
 
 
 def erode_labels(df: DataFrame, disk_size: int = 1, labels: Sequence[int] | None = None, no_data: int = 0) -> DataFrame:
     """Pixels of the labels (all but no_data without a list) become no_data unless the whole disk around has their label."""
     if not isinstance(disk_size, int) or disk_size < 1:
         raise ValueError("the disk's size is a whole number from 1")
-    keys = [c for c in df.columns if c != "v"]
-    both = focal(df, disk(disk_size), lambda c: F.struct(F.min(c).alias("low"), F.max(c).alias("high")))
-    edge = F.col("around.low") != F.col("around.high")
-    chosen = F.col("v") != no_data if labels is None else F.col("v").isin(*labels)
-    return df.join(both.withColumnRenamed("v", "around"), keys).withColumn("v", F.when(chosen & edge, F.lit(no_data)).otherwise(F.col("v"))).drop("around")
+    offsets = disk(disk_size)
+
+    def kernel(v, there, known):
+        low, high = (tiles.extreme(v, known, offsets, largest)[0] for largest in (False, True))
+        chosen = v != no_data if labels is None else np.isin(v, list(labels))
+        return np.where(chosen & (low != high), v.dtype.type(no_data), v), known
+
+    return tiles.tile_map(df, tiles.reach_of(offsets), kernel)
 
 
 def gradient(df: DataFrame) -> DataFrame:
@@ -110,41 +117,14 @@ def pad(df: DataFrame, multiple_of: tuple[int, int], up_down: str = "even", left
 
 
 def resize(df: DataFrame, height: int | Column, width: int | Column, method: str = "linear") -> DataFrame:
-    """Images of the new size. nearest: the pixel under the new pixel's corner; linear: four neighbours of its centre.
+    """Images of the new size. nearest: the pixel under the new pixel's corner; linear: four neighbours of its centre; cubic: sixteen.
 
-    New pixels ask for old ones, so the join is on pixel keys and no image is gathered in one place.
+    height and width may be Columns over the keys, h and w (the old size). Old tiles send new ones what they need.
     """
-    keys = [c for c in df.columns if c not in ("y", "x", "v")]
-    height, width = (F.lit(v) if isinstance(v, int) else v for v in (height, width))
-    sizes = df.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")).withColumns({"new_h": height, "new_w": width})
-    grid = sizes.select("*", F.explode(F.sequence(F.lit(0), (F.col("new_h") * F.col("new_w") - 1).cast("int"))).alias("i"))
-    grid = grid.withColumns({"ny": F.expr("i div new_w").cast("int"), "nx": (F.col("i") % F.col("new_w")).cast("int")})
-    new = [*keys, "ny", "nx"]
-    if method == "nearest":
-        old = lambda n, size, total: F.least(F.floor(F.col(n) * F.col(size) / F.col(total)), F.col(size) - 1).cast("int")
-        asked = grid.select(*new, old("ny", "h", "new_h").alias("y"), old("nx", "w", "new_w").alias("x"))
-        return asked.join(df, [*keys, "y", "x"]).select(*keys, F.col("ny").alias("y"), F.col("nx").alias("x"), "v")
-    if method not in ("linear", "cubic"):
+    if method not in ("nearest", "linear", "cubic"):
         raise ValueError(f"unknown method: {method}")
-    centre = lambda n, size, total: F.least(F.greatest((F.col(n) + 0.5) * F.col(size) / F.col(total) - 0.5, F.lit(0.0)), (F.col(size) - 1).cast("double"))
-    at = grid.withColumns({"cy": centre("ny", "h", "new_h"), "cx": centre("nx", "w", "new_w")}).withColumns({"y0": F.floor("cy").cast("int"), "x0": F.floor("cx").cast("int")})
-    fy, fx = F.col("cy") - F.col("y0"), F.col("cx") - F.col("x0")
-    if method == "cubic":
-        inside = lambda c, size: F.least(F.greatest(c, F.lit(0)), F.col(size) - 1).cast("int")
-        tap = lambda dy, dx: F.struct(inside(F.col("y0") + dy, "h").alias("y"), inside(F.col("x0") + dx, "w").alias("x"), (cubic_weight(fy - dy) * cubic_weight(fx - dx)).alias("weight"))
-        asked = at.select(*new, F.explode(F.array(*(tap(dy, dx) for dy in range(-1, 3) for dx in range(-1, 3)))).alias("c")).select(*new, "c.*").where("weight <> 0")
-        return asked.join(df, [*keys, "y", "x"]).groupBy(*new).agg(F.sum(F.col("v") * F.col("weight")).alias("v")).select(*keys, F.col("ny").alias("y"), F.col("nx").alias("x"), "v")
-    corner = lambda dy, dx: F.struct((F.col("y0") + dy).alias("y"), (F.col("x0") + dx).alias("x"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("weight"))
-    asked = at.select(*new, F.explode(F.array(*(corner(dy, dx) for dy in (0, 1) for dx in (0, 1)))).alias("c")).select(*new, "c.*").where("weight > 0")
-    return asked.join(df, [*keys, "y", "x"]).groupBy(*new).agg(F.sum(F.col("v") * F.col("weight")).alias("v")).select(*keys, F.col("ny").alias("y"), F.col("nx").alias("x"), "v")
-
-
-def cubic_weight(t: Column) -> Column:
-    """Keys' kernel with a = -0.5 at distance t."""
-    t = F.abs(t)
-    near = 1.5 * t * t * t - 2.5 * t * t + 1
-    far = -0.5 * t * t * t + 2.5 * t * t - 4 * t + 2
-    return F.when(t <= 1, near).when(t < 2, far).otherwise(0.0)
+    height, width = (F.lit(v) if isinstance(v, int) else v for v in (height, width))
+    return tiles.resized(df, lambda sizes: sizes.withColumns({"new_h": height, "new_w": width}), method)
 
 
 def resize_to(df: DataFrame, *, size: tuple[int, int] | None = None, scale: tuple[float, float] | float | None = None, resolution: float | str | None = None, boxes: DataFrame | None = None, method: str = "linear", dtype: str | None = None) -> DataFrame:
