@@ -45,10 +45,11 @@ def ndi(spark: SparkSession, d: str) -> DataFrame:
     return projection.ndi(lines(spark, d), (2, 3)).select(*KEY, rounded(F.element_at("bands", 1), 6).alias("ndi"))
 
 
-@query(f"SELECT {KEYS}, round(CASE WHEN bands[3] + bands[4] - 0.05 <> 0 THEN (bands[3] - bands[4] - 0.05) / (bands[3] + bands[4] - 0.05) ELSE -9 END, 4) + 0.0 AS ndi FROM {LINES} WHERE abs(bands[3] + bands[4] - 0.05) > 0.001")
+@query(f"SELECT {KEYS}, round(CASE WHEN p + q - 5 <> 0 THEN (p - q - 5) / (p + q - 5) ELSE -9 END, 4) + 0.0 AS ndi FROM (SELECT *, round(bands[3] * 100) AS p, round(bands[4] * 100) AS q FROM {LINES})")
 def ndi_constant(spark: SparkSession, d: str) -> DataFrame:
-    px = lines(spark, d).where(F.abs(F.element_at("bands", 3) + F.element_at("bands", 4) - 0.05) > 0.001)
-    return projection.ndi(px, (2, 3), constant=-0.05, undefined=-9).select(*KEY, rounded(F.element_at("bands", 1), 4).alias("ndi"))
+    """Of whole per cents, so that a sum of zero is exactly zero and takes the undefined value."""
+    px = lines(spark, d).withColumn("bands", F.transform("bands", lambda v: F.round(v * 100)))
+    return projection.ndi(px, (2, 3), constant=-5, undefined=-9).select(*KEY, rounded(F.element_at("bands", 1), 4).alias("ndi"))
 
 
 @query(f"SELECT {KEYS}, bands[4] AS b0, bands[1] AS b1 FROM {LINES}")
@@ -322,10 +323,10 @@ def merge_vectors(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_vectors([px.where(F.col("event_id") % 3 == k).select("patch_id", "ts", "event_type") for k in range(3)])
 
 
-@query(f"SELECT patch_id, 'k' AS name, arg_min(props, part) AS value, count(DISTINCT props) > 1 AS conflict FROM (SELECT patch_id, event_id % 1000 AS part, arg_min(props, event_id) AS props FROM {EVENTS} WHERE event_id % 1000 < 3 GROUP BY ALL) GROUP BY patch_id")
+@query(f"SELECT patch_id, 'k' AS name, arg_min(props, part) AS value, count(DISTINCT props) > 1 AS conflict FROM (SELECT patch_id, event_id % 3 AS part, arg_min(props, event_id) AS props FROM {EVENTS} GROUP BY ALL) GROUP BY patch_id")
 def merge_meta(spark: SparkSession, d: str) -> DataFrame:
     px = events(spark, d)
-    parts = [px.where(F.col("event_id") % 1000 == k).groupBy("patch_id").agg(F.min_by("props", "event_id").alias("value")).withColumn("name", F.lit("k")) for k in range(3)]
+    parts = [px.where(F.col("event_id") % 3 == k).groupBy("patch_id").agg(F.min_by("props", "event_id").alias("value")).withColumn("name", F.lit("k")) for k in range(3)]
     return merge.merge_meta(parts)
 
 

@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import os
 import sqlite3
 import struct
 import zlib
@@ -210,4 +211,8 @@ def test_scene_source(spark):
 
 
 def test_shared_folder(spark):
-    assert shared_dir(spark) == shared_dir(spark) and ROOT in spark.sparkContext.environment["PYTHONPATH"]
+    assert shared_dir(spark) == shared_dir(spark)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    assert ROOT in paths.split(os.pathsep)
+    here = spark.range(1).mapInPandas(lambda it: (p.assign(id=__import__("geoloom").__file__.startswith(ROOT)) for p in it), "id boolean")
+    assert here.first()["id"]
