@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from geoloom.bridge import BOXES, CLASSES, IMAGES, boxes, classes, events, images, map_box, pixels, table
 from geoloom.catalog import query
+from geoloom.layout import SIDE_BITS
+from geoloom.operators import areas as connected
 from geoloom.operators import clustering, filters, geometry, masking, registration, sampling
 from geoloom.operators import neighbourhood as near
 
@@ -197,18 +199,35 @@ s AS (SELECT px.patch_id, px.v AS value, root, count(*) AS pixels FROM px JOIN r
 SELECT patch_id, value, pixels, count(*) AS areas FROM s GROUP BY ALL""")
 def areas(spark: SparkSession, d: str) -> DataFrame:
     """Connected areas of equal value: how many of each size."""
-    found = geometry.labelled(labels(spark, d), ["patch_id"])
+    found = connected.labelled(labels(spark, d), ["patch_id"])
     sizes = found.groupBy("patch_id", F.col("v").alias("value"), "component").agg(F.count("*").alias("pixels"))
     return sizes.groupBy("patch_id", "value", "pixels").agg(F.count("*").alias("areas"))
 
 
-@query(f"SELECT patch_id, v AS value, CAST(count(*) AS BIGINT) AS pixels, CAST(count(*) AS DOUBLE) AS area FROM {CLASSES} GROUP BY ALL")
+@query(f"""
+WITH RECURSIVE px AS (SELECT patch_id, y, x, v, y * 8 + x AS i FROM {CLASSES}), link AS (
+  SELECT a.patch_id, a.i AS a, b.i AS b FROM px a JOIN px b ON a.patch_id = b.patch_id AND a.v = b.v AND abs(a.y - b.y) + abs(a.x - b.x) = 1
+), reach AS (SELECT patch_id, i AS a, i AS b FROM px UNION SELECT reach.patch_id, reach.a, link.b FROM reach JOIN link ON link.patch_id = reach.patch_id AND link.a = reach.b
+), area AS (SELECT px.*, root FROM px JOIN (SELECT patch_id, a AS i, min(b) AS root FROM reach GROUP BY ALL) USING (patch_id, i)
+), four AS (  -- the pixels of an area around each corner: 1 upper left, 2 upper right, 4 lower left, 8 lower right
+  SELECT patch_id, root, y + dy AS cy, x + dx AS cx, sum(CASE WHEN dy = 0 THEN CASE WHEN dx = 0 THEN 8 ELSE 4 END ELSE CASE WHEN dx = 0 THEN 2 ELSE 1 END END) AS k
+  FROM area, (SELECT unnest([0, 0, 1, 1]) AS dy, unnest([0, 1, 0, 1]) AS dx) GROUP BY ALL
+), turn AS (SELECT patch_id, root, sum(CASE WHEN k IN (1, 2, 4, 8) THEN 1 WHEN k IN (6, 9) THEN 2 ELSE 0 END) AS convex, sum(CASE WHEN k IN (7, 11, 13, 14) THEN 1 ELSE 0 END) AS concave,
+  min(cy * 100 + cx) FILTER (WHERE k NOT IN (3, 5, 10, 12, 15)) AS corner FROM four GROUP BY ALL
+) SELECT patch_id, root, any_value(v) AS value, count(*) AS pixels, CAST(count(*) AS DOUBLE) AS area, CAST(any_value(convex + concave) AS BIGINT) AS corners, CAST(any_value(2 - (convex - concave) // 4) AS BIGINT) AS rings, CAST(any_value(corner) AS BIGINT) AS corner
+FROM area JOIN turn USING (patch_id, root) GROUP BY ALL""")
 def vectorize(spark: SparkSession, d: str) -> DataFrame:
-    """Polygons of areas; their areas, holes taken away, are the pixel counts of each value."""
-    shapes = geometry.vectorize(labels(spark, d), ["patch_id"])
-    size = lambda ring: F.abs(F.aggregate(F.transform(ring, lambda p, i: p["x"] * F.get(ring, F.pmod(i + 1, F.size(ring)))["y"] - F.get(ring, F.pmod(i + 1, F.size(ring)))["x"] * p["y"]), F.lit(0.0), lambda a, v: a + v)) / 2
-    holes = F.aggregate(F.transform("holes", size), F.lit(0.0), lambda a, v: a + v)
-    return shapes.groupBy("patch_id", "value").agg(F.sum("pixels").alias("pixels"), F.sum(size(F.col("ring")) - holes).alias("area"))
+    """Polygons of areas: signed area of all rings, number of corners and rings, smallest corner (by row), and the first pixel."""
+    shapes = connected.vectorize(labels(spark, d), ["patch_id"])
+    following = lambda ring, i: F.get(ring, F.pmod(i + 1, F.size(ring)))
+    size = lambda ring: F.aggregate(F.transform(ring, lambda p, i: p["x"] * following(ring, i)["y"] - following(ring, i)["x"] * p["y"]), F.lit(0.0), lambda a, v: a + v) / 2
+    rings = F.concat(F.array("ring"), F.col("holes"))
+    total = F.aggregate(F.transform(rings, size), F.lit(0.0), lambda a, v: a + v)
+    corners = F.aggregate(F.transform(rings, F.size), F.lit(0), lambda a, v: a + v).cast("long")
+    corner = F.array_min(F.transform("ring", lambda p: p["y"] * 100 + p["x"])).cast("long")
+    bits = (1 << SIDE_BITS) - 1
+    root = (F.shiftright("component", SIDE_BITS).bitwiseAND(bits) * 8 + F.col("component").bitwiseAND(bits)).cast("int")
+    return shapes.select("patch_id", root.alias("root"), "value", "pixels", total.alias("area"), corners.alias("corners"), F.size(rings).cast("long").alias("rings"), corner.alias("corner"))
 
 
 @query(f"SELECT a.row AS a, b.row AS b FROM {BOXES} a JOIN {BOXES} b ON a.row < b.row AND a.min_x <= b.max_x AND b.min_x <= a.max_x AND a.min_y <= b.max_y AND b.min_y <= a.max_y")

@@ -30,19 +30,21 @@ def pixels_to_frames(pixels: DataFrame) -> DataFrame:
 SIDE_BITS, BUCKETS = 14, 4096
 
 
-def with_pixel_numbers(pixels: DataFrame, keys: Sequence[str], name: str = "node") -> DataFrame:
-    """pixels with a number for each pixel of each image, in row order within an image; different pixels never share one.
-
-    Images are numbered inside buckets of a hash, so no task sees all of them.
-    """
-    images = pixels.select(*keys).distinct().withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+def with_image_numbers(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with _image, a number for each image (values of keys, nulls too). Images are numbered inside buckets of a hash, so no task sees all of them."""
+    images = rows.select(*keys).distinct().withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)).cast("long") - 1
     images = images.withColumn("_image", place * BUCKETS + F.col("_bucket")).drop("_bucket")
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
-    both = pixels.join(images.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_image"), same)
+    return rows.join(images.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_image"), same).drop(*(f"_of_{k}" for k in keys))
+
+
+def with_pixel_numbers(pixels: DataFrame, keys: Sequence[str], name: str = "node") -> DataFrame:
+    """pixels with a number for each pixel of each image, in row order within an image; different pixels never share one."""
+    both = with_image_numbers(pixels, keys)
     fits = F.col("y").between(0, (1 << SIDE_BITS) - 1) & F.col("x").between(0, (1 << SIDE_BITS) - 1)
     number = (F.col("_image") * (1 << SIDE_BITS) + F.col("y")) * (1 << SIDE_BITS) + F.col("x")
-    return both.withColumn(name, F.when(fits, number).otherwise(F.raise_error(F.lit("an image is too large")))).drop("_image", *(f"_of_{k}" for k in keys))
+    return both.withColumn(name, F.when(fits, number).otherwise(F.raise_error(F.lit("an image is too large")))).drop("_image")
 
 
 def bands_to_rows(pixels: DataFrame) -> DataFrame:

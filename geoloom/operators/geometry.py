@@ -7,14 +7,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.layout import with_pixel_numbers
-from geoloom.operators.components import components
-from geoloom.session import materialize
-
 RING = "array<struct<x:double,y:double>>"
 
 
@@ -79,77 +74,6 @@ def rasterize(vectors: DataFrame, boxes: DataFrame, grid: DataFrame, value: str
     return out.select(*keys, "y", "x", F.coalesce(v, F.lit(no_data) if existing is None else F.col("_old")).alias("v"))
 
 
-def labelled(raster: DataFrame, keys: Sequence[str], connectivity: int = 4) -> DataFrame:
-    """raster with `component`, the smallest pixel number of its connected area of equal value."""
-    nodes = materialize(with_pixel_numbers(raster, keys), "raster-nodes")
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-    shift = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps)))
-    sent = nodes.select(*keys, "y", "x", F.col("v").alias("_v"), F.col("node").alias("a"), shift.alias("s")).select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "_v", "a")
-    links = sent.join(nodes, [*keys, "y", "x"]).where(F.col("v").eqNullSafe(F.col("_v"))).select("a", F.col("node").alias("b"))
-    roots = components(links)
-    return nodes.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("node", "root")
-
-
-def vectorize(raster: DataFrame, keys: Sequence[str], connectivity: int = 4) -> DataFrame:
-    """keys, value, component, pixels, ring and holes of every connected area of equal value, in pixel corners (y down).
-
-    Sides between different components are found by a join; a group is the sides of one image, which are then chained.
-    """
-    areas = labelled(raster, keys, connectivity)
-    #: dy, dx of the pixel across, and the side's two corners, so that the area lies to its right
-    sides = [(-1, 0, 0, 0, 0, 1), (0, 1, 0, 1, 1, 1), (1, 0, 1, 1, 1, 0), (0, -1, 1, 0, 0, 0)]
-    each = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("dy", "dx", "ay", "ax", "by", "bx"), s, strict=True))) for s in sides)))
-    own = areas.select(*keys, "y", "x", "v", "component", each.alias("s"))
-    asked = own.select(*keys, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "v", "component", *((F.col(c) + F.col(f"s.{n}")).alias(n) for c, n in (("y", "ay"), ("x", "ax"), ("y", "by"), ("x", "bx"))))
-    edges = asked.join(areas.select(*keys, "y", "x", F.col("component").alias("_other")), [*keys, "y", "x"], "left").where("_other is null or _other <> component")
-    group = [*keys, "component"]
-    names = [f"`{k}` {raster.schema[k].dataType.simpleString()}" for k in keys]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for component, own in pdf.groupby("component"):
-            rings = chained(list(zip(own["ax"].tolist(), own["ay"].tolist(), own["bx"].tolist(), own["by"].tolist(), strict=True)))
-            rings = sorted(([{"x": float(x), "y": float(y)} for x, y in r] for r in rings), key=lambda r: -abs(area(r)))
-            out.append([*key, component, rings[0], rings[1:]])
-        return pd.DataFrame(out, columns=[*group, "ring", "holes"])
-
-    traced = edges.groupBy(*keys).applyInPandas(run, ", ".join([*names, "component long", f"ring {RING}", f"holes array<{RING}>"]))
-    sizes = areas.groupBy(*group).agg(F.first("v").alias("value"), F.count("*").alias("pixels"))
-    return sizes.join(traced, group)
-
-
-def area(ring: list[dict]) -> float:
-    return sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
-
-
-def chained(edges: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
-    """Closed rings from directed sides (ax, ay, bx, by); corners in the middle of a straight run are left out."""
-    after: dict[tuple, list[tuple]] = {}
-    for ax, ay, bx, by in sorted(edges):
-        after.setdefault((ax, ay), []).append((bx, by))
-    rings = []
-    while after:
-        start = at = next(iter(after))
-        ring, heading = [], None
-        while True:
-            options = after[at]
-            # where two areas touch at a corner, turn right so as to stay on this one
-            nxt = options[0] if len(options) == 1 or heading is None else max(options, key=lambda p: heading[0] * (p[1] - at[1]) - heading[1] * (p[0] - at[0]))
-            options.remove(nxt)
-            if not options:
-                del after[at]
-            step = (nxt[0] - at[0], nxt[1] - at[1])
-            if step != heading:
-                ring.append(at)
-            heading, at = step, nxt
-            if at == start:
-                break
-        if len(ring) > 2 and (ring[0][0] - ring[-1][0], ring[0][1] - ring[-1][1]) == (0, 0):
-            ring.pop()
-        rings.append(ring)
-    return rings
-
-
 def clip_ring(ring: Column, min_x: float, min_y: float, max_x: float, max_y: float) -> Column:
     """The part of a convex or simple ring inside the box: it is cut at each side of the box in turn."""
     for axis, bound, sign in (("x", min_x, 1), ("x", max_x, -1), ("y", min_y, 1), ("y", max_y, -1)):
