@@ -29,13 +29,17 @@ def schema_of(df: DataFrame, columns: list[str]) -> str:
 
 
 def gathered(df: DataFrame, reach: int = 0, side: int = SIDE) -> DataFrame:
-    """keys, ty, tx and pixels (i, v): a tile's own pixels and those within reach of it; i is the place in the widened tile."""
+    """keys, ty, tx and pixels (i, v): a tile's own pixels and those within reach of it; i is the place in the widened tile.
+
+    A tile that has no pixels of its own is left out.
+    """
     keys = [c for c in df.columns if c not in ("y", "x", "v")]
-    span = lambda c: F.sequence(F.floor((F.col(c) - reach) / side).cast("int"), F.floor((F.col(c) + reach) / side).cast("int"))
-    whole = lambda c: F.floor(F.col(c) / side).cast("int")
+    whole = lambda c, by=0: F.floor((F.col(c) + by) / side).cast("int")
+    span = lambda c: F.sequence(F.greatest(whole(c, -reach), F.least(whole(c), F.lit(0))), whole(c, reach))
     rows = df.select("*", F.explode(span("y")).alias("ty")).select("*", F.explode(span("x")).alias("tx")) if reach else df.withColumns({"ty": whole("y"), "tx": whole("x")})
     i = (F.col("y") - F.col("ty") * side + reach) * (side + 2 * reach) + F.col("x") - F.col("tx") * side + reach
-    return rows.groupBy(*keys, "ty", "tx").agg(F.collect_list(F.struct(i.cast("int").alias("i"), "v")).alias("pixels"))
+    tiles = rows.groupBy(*keys, "ty", "tx").agg(F.collect_list(F.struct(i.cast("int").alias("i"), "v")).alias("pixels"), F.bool_or((whole("y") == F.col("ty")) & (whole("x") == F.col("tx"))).alias("_own"))
+    return tiles.where("_own").drop("_own")
 
 
 def stacks(batch: pa.RecordBatch, width: int, dtype: type, most: int = STACK) -> Iterator[tuple[int, int, tuple[int, int], np.ndarray, np.ndarray, np.ndarray]]:
