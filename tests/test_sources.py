@@ -73,6 +73,69 @@ def test_partial_loads_and_frames(spark, patches, tmp_path):
         store.load(spark, plain, times=[0])
 
 
+def parts(root, name="DATA/bands"):
+    """Data files of a feature in the folder, whether they belong to its state or not."""
+    from pathlib import Path
+
+    return sorted(p.name for p in Path(root, *name.lower().split("/")).rglob("part-*.parquet"))
+
+
+def test_files_hold_many_frames_and_are_picked_by_range(spark, tmp_path):
+    root, days = str(tmp_path / "store"), [datetime(2024, 1, d) for d in range(1, 31)]
+    rows = spark.range(40 * 30 * 4).select((F.col("id") % 40).alias("patch_id"), F.timestamp_add("DAY", F.expr("id div 40 % 30").cast("int"), F.lit(days[0]).cast("timestamp_ntz")).alias("ts"), F.expr("id div 1200").cast("int").alias("y"), F.lit(0).alias("x"), F.array(F.col("id").cast("double")).alias("bands"))
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.save(PatchSet({(T.DATA, "bands"): rows}, frames=rows.select("patch_id", "ts").distinct()), root)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    at = f"{root}/data/bands"
+    schema, files = store.manifest(spark, at)
+    assert 1 < len(files) <= 8 and sum(f["rows"] for f in files) == 4800 and len(parts(root)) == len(files) and schema == rows.schema
+    assert all(a["patch_to"] <= b["patch_from"] for a, b in zip(files, files[1:]))
+    one = store.load(spark, root, [T.DATA], [3])[T.DATA, "bands"]
+    assert len(one.inputFiles()) < len(files) and one.count() == 120
+    assert store.load(spark, root, [T.DATA], [3], [days[4]])[T.DATA, "bands"].count() == 4
+    assert store.load(spark, root, [T.DATA], [99])[T.DATA, "bands"].count() == 0
+    # one frame of one patch goes: only the files that may hold it are written anew
+    new = rows.where("patch_id = 3 and y < 2").withColumn("bands", F.array(F.lit(-1.0)))
+    store.save(PatchSet({(T.DATA, "bands"): new}), root, times=F.col("ts") == F.lit(days[4]).cast("timestamp_ntz"))
+    after = store.manifest(spark, at)[1]
+    assert len({f["path"] for f in files} & {f["path"] for f in after}) >= len(files) - 2 and sum(f["rows"] for f in after) == 4798
+    back = store.load(spark, root)[T.DATA, "bands"]
+    assert back.where("patch_id = 3 and bands[0] = -1").count() == 2 and back.where("bands[0] >= 0").count() == 4796
+
+
+def test_a_failed_write_leaves_the_old_state(spark, patches, tmp_path):
+    root = str(tmp_path / "store")
+    store.save(patches, root)
+    bad = cube(spark).withColumn("bands", F.when(F.col("patch_id") == 2, F.raise_error(F.lit("broken"))).otherwise(F.col("bands")))
+    fine = PatchSet({(T.DATA, "bands"): cube(spark, value=9.0), (T.DATA, "broken"): bad})
+    with pytest.raises(Exception, match="broken"):
+        store.save(fine, root, permission="OVERWRITE_PATCH")
+    assert store.stored(spark, root) == [(T.DATA, "bands"), (T.META_INFO, "info")] and store.load(spark, root).equals(patches)
+    store.save(PatchSet({(T.DATA, "broken"): cube(spark)}), root)
+    assert (T.DATA, "broken") in store.stored(spark, root)
+
+
+def test_readers_keep_their_state_and_old_files_go(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.save(PatchSet({(T.DATA, "bands"): cube(spark)}), root)
+    first = store.load(spark, root)
+    assert first[T.DATA, "bands"].count() == 36
+    grown = PatchSet({(T.DATA, "bands"): first[T.DATA, "bands"].withColumn("bands", F.transform("bands", lambda v: v + 100))})
+    store.save(grown, root, permission="overwrite_features")  # reads what it replaces
+    assert first[T.DATA, "bands"].agg(F.max(F.col("bands")[0])).first()[0] == 22.0
+    assert store.load(spark, root)[T.DATA, "bands"].agg(F.min(F.col("bands")[0])).first()[0] == 100.0
+    two = len(parts(root))
+    for k in range(3):
+        store.save(PatchSet({(T.DATA, "bands"): cube(spark, value=float(k))}), root, permission="overwrite_features")
+    assert len(parts(root)) <= two and len(store.versions(spark, f"{root}/data/bands")) == 2
+    schema, files = store.manifest(spark, f"{root}/data/bands")
+    with pytest.raises(OSError, match="another job"):
+        store.publish(spark, f"{root}/data/bands", schema, files, store.versions(spark, f"{root}/data/bands")[-1] - 1)
+
+
 def test_arrays_round_trip(spark, tmp_path):
     a, b = np.arange(24.0).reshape(2, 3, 2, 2), np.arange(6.0).reshape(2, 3)
     np.save(tmp_path / "a.npy", a)
