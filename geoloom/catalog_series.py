@@ -110,9 +110,25 @@ def _curve(spark: SparkSession, d: str, kind: str, **options) -> DataFrame:
     return timeseries.fill_with(px, kind, _targets(px), **options)
 
 
-@query()
+KNOTS = f"""p AS (SELECT {PIX}, ts, epoch_us(ts) / 86400e6 AS t, v, lead(epoch_us(ts) / 86400e6) OVER s AS t1, lead(v) OVER s AS v1, lag(epoch_us(ts) / 86400e6) OVER s AS t0, lag(v) OVER s AS v0,
+  row_number() OVER s AS i, count(*) OVER (PARTITION BY {PIX}) AS n FROM {SERIES} WHERE v IS NOT NULL WINDOW s AS (PARTITION BY {PIX} ORDER BY ts))"""
+AT_KNOT = "ASOF LEFT JOIN c ON k.patch_id = c.patch_id AND k.y = c.y AND k.x = c.x AND k.ts >= c.ts"
+
+
+@query(f"""
+WITH RECURSIVE {KNOTS}, down AS (  -- elimination in the tridiagonal system of second derivatives, all series at once
+  SELECT {PIX}, i, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM p WHERE i = 1
+  UNION ALL SELECT p.patch_id, p.y, p.x, p.i, (p.t1 - p.t) / (2 * (p.t1 - p.t0) - (p.t - p.t0) * d.a), (6 * ((p.v1 - p.v) / (p.t1 - p.t) - (p.v - p.v0) / (p.t - p.t0)) - (p.t - p.t0) * d.b) / (2 * (p.t1 - p.t0) - (p.t - p.t0) * d.a)
+  FROM down d JOIN p ON p.patch_id = d.patch_id AND p.y = d.y AND p.x = d.x AND p.i = d.i + 1 WHERE p.i < p.n
+), up AS (
+  SELECT {PIX}, i, CAST(0 AS DOUBLE) AS m FROM p WHERE i = n
+  UNION ALL SELECT d.patch_id, d.y, d.x, d.i, d.b - d.a * u.m FROM up u JOIN down d ON d.patch_id = u.patch_id AND d.y = u.y AND d.x = u.x AND d.i = u.i - 1
+), c AS (SELECT p.*, u.m, lead(u.m) OVER (PARTITION BY p.patch_id, p.y, p.x ORDER BY p.i) AS m1 FROM p JOIN up u USING (patch_id, y, x, i)
+), k AS (SELECT *, epoch_us(ts) / 86400e6 AS g FROM {TARGETS})
+SELECT k.patch_id, k.y, k.x, k.ts, round(CASE WHEN n < 2 THEN NULL WHEN g = t THEN v ELSE
+  (m * (t1 - g) ^ 3 + m1 * (g - t) ^ 3) / (6 * (t1 - t)) + (v / (t1 - t) - m * (t1 - t) / 6) * (t1 - g) + (v1 / (t1 - t) - m1 * (t1 - t) / 6) * (g - t) END, 4) + 0.0 AS v FROM k {AT_KNOT}""")
 def interp_cubic(spark: SparkSession, d: str) -> DataFrame:
-    return _curve(spark, d, "cubic")
+    return _curve(spark, d, "cubic").withColumn("v", F.round("v", 4) + 0.0)
 
 
 @query()
@@ -120,9 +136,18 @@ def interp_spline(spark: SparkSession, d: str) -> DataFrame:
     return _curve(spark, d, "spline", degree=3)
 
 
-@query()
+@query(f"""
+WITH {KNOTS}, s AS (SELECT *, (v1 - v) / (t1 - t) AS m FROM p), e AS (  -- two slopes before and after each point, extrapolated at the ends
+  SELECT *, lag(m) OVER w AS b, lag(m, 2) OVER w AS bb, lead(m) OVER w AS f FROM s WINDOW w AS (PARTITION BY {PIX} ORDER BY i)
+), g AS (SELECT *, CASE WHEN i = 1 THEN 3 * m - 2 * f WHEN i = 2 THEN 2 * b - CASE WHEN n = 2 THEN b ELSE m END ELSE bb END AS m0, CASE WHEN i = 1 THEN 2 * m - f ELSE b END AS m1,
+  CASE WHEN i = n THEN 2 * b - bb ELSE m END AS m2, CASE WHEN i = n THEN 3 * b - 2 * bb WHEN i = n - 1 THEN 2 * m - b ELSE f END AS m3 FROM e
+), o AS (SELECT *, CASE WHEN n = 2 THEN coalesce(m, b) WHEN abs(m3 - m2) + abs(m1 - m0) < 1e-12 THEN (m1 + m2) / 2 ELSE (abs(m3 - m2) * m1 + abs(m1 - m0) * m2) / (abs(m3 - m2) + abs(m1 - m0)) END AS d FROM g
+), c AS (SELECT *, lead(d) OVER (PARTITION BY {PIX} ORDER BY i) AS d1 FROM o), k AS (SELECT *, epoch_us(ts) / 86400e6 AS q FROM {TARGETS})
+SELECT k.patch_id, k.y, k.x, k.ts, round(CASE WHEN n < 2 THEN NULL WHEN q = t THEN v ELSE
+  v + (q - t) * (d + (q - t) * ((3 * m - 2 * d - d1) / (t1 - t) + (q - t) * (d + d1 - 2 * m) / (t1 - t) ^ 2)) END, 4) + 0.0 AS v FROM k {AT_KNOT}""")
 def interp_akima(spark: SparkSession, d: str) -> DataFrame:
-    return _curve(spark, d, "akima")
+    """Windows only: neither a UDF nor a group for each series."""
+    return _curve(spark, d, "akima").withColumn("v", F.round("v", 4) + 0.0)
 
 
 @query()

@@ -18,37 +18,122 @@ def tridiagonal(middle: np.ndarray, side: np.ndarray, right: np.ndarray) -> np.n
     return np.array(r)
 
 
+def banded(bands: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of a banded system by elimination without exchanges; time and memory grow with its length alone.
+
+    bands: row i holds the entries of columns i - w to i + w, w = bands.shape[1] // 2; right: one or more right sides (columns).
+    The systems of cubic and B-splines need no exchanges.
+    """
+    w, n = bands.shape[1] // 2, len(bands)
+    a, r = bands.astype(float), right.astype(float).reshape(n, -1)
+    for k in range(n):
+        for i in range(k + 1, min(k + w + 1, n)):
+            f = a[i, k - i + w] / a[k, w]
+            if f:
+                a[i, k - i + w : k - i + 2 * w + 1] -= f * a[k, w:]
+                r[i] -= f * r[k]
+    for k in range(n - 1, -1, -1):
+        last = min(k + w, n - 1)
+        r[k] = (r[k] - a[k, w + 1 : w + 1 + last - k] @ r[k + 1 : last + 1]) / a[k, w]
+    return r.reshape(right.shape)
+
+
+class Cubic:
+    """The natural cubic spline as a banded system for second derivatives; a part of a series is worked on alone."""
+
+    width = 1
+    #: Points beyond a part that its rows and values need.
+    halo = 2
+
+    def __init__(self, degree: int = 3):
+        pass
+
+    def rows(self, x: np.ndarray, y: np.ndarray, at: int, n: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bands and right side of the points `first` to `last` (counted in the series of n); x and y begin with point `at`."""
+        g = np.arange(first, last + 1)
+        inner = (g > 0) & (g < n - 1)
+        k = np.clip(g - at, 1, max(len(x) - 2, 1))
+        if len(x) < 3:
+            return np.tile([0.0, 1.0, 0.0], (len(g), 1)), np.zeros(len(g))
+        before, after = x[k] - x[k - 1], x[k + 1] - x[k]
+        bands = np.stack([before, 2 * (before + after), after], 1)
+        right = 6 * ((y[k + 1] - y[k]) / after - (y[k] - y[k - 1]) / before)
+        return np.where(inner[:, None], bands, [0.0, 1.0, 0.0]), np.where(inner, right, 0.0)
+
+    def values(self, x: np.ndarray, y: np.ndarray, at: int, n: int, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Values at t of the curve with coefficients c, which belong to the points x (NaN where they aren't known)."""
+        if len(x) < 2:
+            return np.full(len(t), y[0])
+        k = np.clip(np.searchsorted(x, t, "right") - 1, 0, len(x) - 2)
+        h, u, w = x[k + 1] - x[k], t - x[k], x[k + 1] - t
+        curve = (c[k] * w**3 + c[k + 1] * u**3) / (6 * h) + (y[k] / h - c[k] * h / 6) * w + (y[k + 1] / h - c[k + 1] * h / 6) * u
+        return np.where(t == x[k], y[k], np.where(t == x[k + 1], y[k + 1], curve))
+
+
+class Spline:
+    """The interpolating B-spline with knots at averages of `degree` neighbouring points, as a banded system for its coefficients."""
+
+    def __init__(self, degree: int = 3):
+        self.degree, self.width, self.halo = degree, degree, 2 * degree + 2
+
+    def knots(self, x: np.ndarray, at: int, n: int, q: np.ndarray, p: int) -> np.ndarray:
+        """Knots with numbers q; those that would need points outside x come from what is there and aren't used."""
+        if not p:
+            return np.where(q < n, x[np.clip(q - at, 0, len(x) - 1)], x[-1])
+        sums = np.concatenate([[0.0], np.cumsum(x - x[0])])
+        lo = np.clip(q - p - at, 0, max(len(x) - p, 0))
+        mean = x[0] + (sums[np.minimum(lo + p, len(x))] - sums[lo]) / p
+        return np.where(q <= p, x[0], np.where(q >= n, x[-1], mean))
+
+    def basis(self, x: np.ndarray, at: int, n: int, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each t the number of its first basis function that isn't zero, and the values of the degree + 1 from there."""
+        p = min(self.degree, n - 1)
+        q = np.arange(max(at, 0), at + len(x) + p + 1)
+        knot = self.knots(x, at, n, q, p)
+        low, high = max(p - q[0], 0), max(min(n - 1, at + len(x) - 1) - q[0], 0)
+        k = np.clip(np.searchsorted(knot[: high + 1], t, "right") - 1, low, high)
+        b = np.zeros((len(t), p + 1))
+        b[:, 0] = 1
+        knot_at = lambda i: knot[np.clip(i, 0, len(knot) - 1)]
+        for d in range(1, p + 1):  # de Boor's recurrence on the functions that aren't zero
+            saved = np.zeros(len(t))
+            for r in range(d):
+                right, left = knot_at(k + r + 1) - t, t - knot_at(k + 1 - d + r)
+                part = b[:, r] / np.where(right + left == 0, 1, right + left)
+                b[:, r] = saved + right * part
+                saved = left * part
+            b[:, d] = saved
+        return k + q[0] - p, b
+
+    def rows(self, x: np.ndarray, y: np.ndarray, at: int, n: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        g, own = np.arange(first, last + 1), slice(first - at, last + 1 - at)
+        j, b = self.basis(x, at, n, x[own])
+        bands = np.zeros((len(g), 2 * self.width + 1))
+        for k in range(b.shape[1]):
+            place = j + k - g + self.width
+            fits = (place >= 0) & (place <= 2 * self.width)
+            bands[np.flatnonzero(fits), place[fits]] += b[fits, k]
+        return bands, y[own]
+
+    def values(self, x: np.ndarray, y: np.ndarray, at: int, n: int, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        j, b = self.basis(x, at, n, t)
+        return sum(b[:, k] * c[np.clip(j + k - at, 0, len(c) - 1)] for k in range(b.shape[1]))
+
+
 def cubic(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The natural cubic spline; second derivatives from a tridiagonal system."""
-    n = len(x)
-    if n < 3:
-        return np.interp(t, x, y)
-    h, slope = np.diff(x), np.diff(y) / np.diff(x)
-    m = np.zeros(n)
-    m[1:-1] = tridiagonal(2 * (h[:-1] + h[1:]), h[1:-1], 6 * np.diff(slope))
-    k = np.clip(np.searchsorted(x, t, "right") - 1, 0, n - 2)
-    u, w = t - x[k], x[k + 1] - t
-    return (m[k] * w**3 + m[k + 1] * u**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * w + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * u
+    """The natural cubic spline."""
+    return whole(Cubic(), x, y, t)
 
 
 def spline(x: np.ndarray, y: np.ndarray, t: np.ndarray, degree: int = 3) -> np.ndarray:
     """The interpolating B-spline with knots at averages of `degree` neighbouring points."""
-    p = min(degree, len(x) - 1)
-    inner = np.convolve(x, np.ones(p) / p, "valid")[1:-1] if p else x[1:]
-    knots = np.concatenate([[x[0]] * (p + 1), inner[: len(x) - p - 1], [x[-1]] * (p + 1)])
+    return whole(Spline(degree), x, y, np.clip(t, x[0], x[-1]))
 
-    def basis(at: np.ndarray) -> np.ndarray:
-        b = ((knots[:-1] <= at[:, None]) & (at[:, None] < knots[1:])).astype(float)
-        b[at == x[-1], len(x) - 1] = 1
-        for d in range(1, p + 1):
-            left, right = knots[d:-1] - knots[: -d - 1], knots[d + 1 :] - knots[1:-d]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                rise = np.where(left > 0, (at[:, None] - knots[: -d - 1]) / left, 0)
-                fall = np.where(right > 0, (knots[d + 1 :] - at[:, None]) / right, 0)
-            b = rise * b[:, :-1] + fall * b[:, 1:]
-        return b
 
-    return basis(np.clip(t, x[0], x[-1])) @ np.linalg.solve(basis(x), y)
+def whole(curve: Cubic | Spline, x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Values of a curve through one whole series."""
+    n = len(x)
+    return curve.values(x, y, 0, n, banded(*curve.rows(x, y, 0, n, 0, n - 1)), t)
 
 
 def akima(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -78,4 +163,6 @@ def kriging(x: np.ndarray, y: np.ndarray, t: np.ndarray, length: float = 0.1, no
     return middle + kernel(b, a) @ np.linalg.solve(low.T, np.linalg.solve(low, y - middle))
 
 
-KINDS = {"cubic": cubic, "spline": spline, "akima": akima, "kriging": kriging}
+KINDS = {"cubic": cubic, "spline": spline, "kriging": kriging}
+#: Curves that long series are cut into parts for.
+BANDED = {"cubic": Cubic, "spline": Spline}

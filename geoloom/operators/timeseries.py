@@ -13,9 +13,11 @@ from pyspark.sql.window import Window
 
 from geoloom.functions import curves
 from geoloom.layout import bands_to_rows, rows_to_bands
+from geoloom.operators import long_series
 from geoloom.operators.filters import as_ntz
 from geoloom.operators.projection import number
 from geoloom.patchset import PatchSet
+from geoloom.session import materialize
 from geoloom.spec import Spec, one_feature
 
 PIXEL = ["patch_id", "y", "x"]
@@ -143,7 +145,7 @@ def interpolate(patches: PatchSet, feature: object, kind: str = "linear", mask:
         rows = masked(rows.join(flags, mask_kind.keys(), "left"), F.coalesce("_ok", F.lit(False))).drop("_ok")
     if targets is not None:
         targets = rows.select(*series).distinct().join(targets.select("patch_id", "ts").distinct(), "patch_id")
-    if kind in curves.KINDS:
+    if kind in curves.KINDS or kind == "akima":
         out = fill_with(rows, kind, targets, series)
     else:
         out = fill_linear(rows, series) if targets is None else resample(rows, targets, kind, series)
@@ -153,30 +155,45 @@ def interpolate(patches: PatchSet, feature: object, kind: str = "linear", mask:
     return PatchSet({(kind_of, new): rows_to_bands(out), **{(k, n): patches.features[k, o] for k, o, n in copies}}, patches.boxes, frames)
 
 
-def fill_with(df: DataFrame, kind: str, targets: DataFrame | None = None, series: Sequence[str] = PIXEL, **options) -> DataFrame:
+def fill_with(df: DataFrame, kind: str, targets: DataFrame | None = None, series: Sequence[str] = PIXEL, part: int = long_series.PART, **options) -> DataFrame:
     """Values from a fitted curve of each series, at its own rows or at the targets' times; missing outside its valid range.
 
-    kind: cubic, spline, akima or kriging (functions.curves). A group is the series of one pixel.
+    kind: cubic, spline, akima or kriging. Values that share a time are averaged. Akima's curve takes windows only. A series of
+    up to 2 * part points is a group of its own for the others; cubic and spline cut longer ones into parts (operators.long_series).
     """
-    fit, in_place = curves.KINDS[kind], targets is None
-    rows = df.select(*series, "ts", number(F.col("v")).alias("v"), F.lit(in_place).alias("_out"))
-    if targets is not None:
-        rows = rows.unionByName(targets.select(*series, "ts", F.lit(None).cast("double").alias("v"), F.lit(True).alias("_out")))
-    rows = rows.withColumn("_t", micros(F.col("ts")) / 86_400e6)
-    names = [*series, "ts", "v"]
+    keys, in_place = list(series), targets is None
+    t = (micros(F.col("ts")) / 86_400e6).alias("t")
+    points = df.where(number(F.col("v")).isNotNull()).groupBy(*keys, "ts").agg(F.avg(number(F.col("v"))).alias("v")).select(*keys, t, "v")
+    wanted = df.select(*keys, "ts", t, number(F.col("v")).alias("own")) if in_place else targets.select(*keys, "ts", t, F.lit(None).cast("double").alias("own"))
+    if kind == "akima":
+        # a lone point's series has no curve: in place its own value stays
+        out = long_series.akima(points, wanted, keys)
+        return out.select(*keys, "ts", F.coalesce("curve", "own").alias("v"))
+    fit = curves.KINDS[kind]
+    rows = points.select(*keys, "t", "v", F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("double").alias("own"), F.lit(False).alias("asked"))
+    rows = rows.unionByName(wanted.withColumns({"v": F.lit(None).cast("double"), "asked": F.lit(True)}))
+    names = [*keys, "ts", "v"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf["v"].notna()].groupby("_t", as_index=False)["v"].mean()
-        x, y = known["_t"].to_numpy(), known["v"].to_numpy()
-        want = pdf[pdf["_out"]].copy()
-        t = want["_t"].to_numpy()
+        known, want = pdf[~pdf["asked"]].sort_values("t"), pdf[pdf["asked"]].copy()
+        x, y, at = known["t"].to_numpy(), known["v"].to_numpy(), want["t"].to_numpy()
         if len(x) < 2:
-            want["v"] = want["v"].to_numpy() if in_place else np.nan
-        else:
-            new = fit(x, y, t, **options)
-            want["v"] = np.where((t < x[0]) | (t > x[-1]), np.nan, new)
+            want["v"] = want["own"].to_numpy()
+        elif len(at):
+            inside = (at >= x[0]) & (at <= x[-1])
+            new = np.full(len(at), np.nan)
+            new[inside] = fit(x, y, at[inside], **options)
+            want["v"] = new
         want["v"] = want["v"].astype(object).where(want["v"].notna(), None)
         return want[names]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(names).schema)
-    return rows.groupBy(*series).applyInPandas(run, schema)
+    if kind not in curves.BANDED:
+        return rows.groupBy(*keys).applyInPandas(run, schema)
+    far = materialize(long_series.long_keys(points, keys, 2 * part), "long-series")
+    if far.isEmpty():
+        return rows.groupBy(*keys).applyInPandas(run, schema)
+    short = long_series.same_series(rows, far, keys, "left_anti").groupBy(*keys).applyInPandas(run, schema)
+    cut = lambda a: long_series.same_series(a, far, keys, "left_semi")
+    long = long_series.banded_curve(cut(points), cut(wanted), keys, kind, part, **options)
+    return short.unionByName(long.select(*keys, "ts", F.col("curve").alias("v")))
