@@ -125,9 +125,66 @@ def cubic(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
     return whole(Cubic(), x, y, t)
 
 
-def spline(x: np.ndarray, y: np.ndarray, t: np.ndarray, degree: int = 3) -> np.ndarray:
-    """The interpolating B-spline with knots at averages of `degree` neighbouring points."""
-    return whole(Spline(degree), x, y, np.clip(t, x[0], x[-1]))
+def spline(x: np.ndarray, y: np.ndarray, t: np.ndarray, degree: int = 3, smoothing: float = 0.0) -> np.ndarray:
+    """The B-spline with knots at averages of `degree` neighbouring points.
+
+    smoothing: the sum of squared residuals that is allowed. 0 interpolates; where the regression polynomial of this degree has
+    no more residuals than that, it is the curve; in between the jumps of the highest derivative are penalised just as much as
+    the residuals allow.
+    """
+    t = np.clip(t, x[0], x[-1])
+    return smoothed(x, y, t, degree, smoothing) if smoothing > 0 and len(x) > degree + 1 else whole(Spline(degree), x, y, t)
+
+
+def jumps(knot: np.ndarray, n: int, p: int) -> np.ndarray:
+    """Rows of p + 2 weights: the jump of the p-th derivative at each inner knot, of coefficients k to k + p + 1."""
+    rows = np.ones((n, 1))
+    for r in range(1, p + 1):
+        j = np.arange(r, n)
+        step = (p - r + 1) / (knot[j + p - r + 1] - knot[j])
+        rows = (np.pad(rows[1:], ((0, 0), (1, 0))) - np.pad(rows[:-1], ((0, 0), (0, 1)))) * step[:, None]
+    return np.pad(rows[1:], ((0, 0), (1, 0))) - np.pad(rows[:-1], ((0, 0), (0, 1)))
+
+
+def gram(rows: np.ndarray, first: np.ndarray, n: int, w: int) -> np.ndarray:
+    """Bands of A^T A for rows that hold consecutive entries from column `first`."""
+    out = np.zeros((n, 2 * w + 1))
+    for a in range(rows.shape[1]):
+        for b in range(rows.shape[1]):
+            np.add.at(out, (first + a, b - a + w), rows[:, a] * rows[:, b])
+    return out
+
+
+def smoothed(x: np.ndarray, y: np.ndarray, t: np.ndarray, degree: int, smoothing: float) -> np.ndarray:
+    """Penalised least squares with a banded system; memory grows with the number of points alone."""
+    n, p, curve = len(x), degree, Spline(degree)
+    u, v = (x - x[0]) / (x[-1] - x[0]), (t - x[0]) / (x[-1] - x[0])
+    line = np.polynomial.Polynomial.fit(u, y, p)
+    if ((line(u) - y) ** 2).sum() <= smoothing:
+        return line(v)
+    first, rows = curve.basis(u, 0, n, u)
+    knot = curve.knots(u, 0, n, np.arange(n + p + 1), p)
+    penalty, w = jumps(knot, n, p), p + 1
+    penalty = penalty / max(np.abs(penalty).max(), 1e-300)
+    fit, bend = gram(rows, first, n, w), gram(penalty, np.arange(len(penalty)), n, w)
+    right = np.zeros(n)
+    for k in range(rows.shape[1]):
+        np.add.at(right, first + k, rows[:, k] * y)
+    at = lambda c, j, b: sum(b[:, k] * c[j + k] for k in range(b.shape[1]))
+
+    def coefficients(weight: float) -> tuple[np.ndarray, float]:
+        c = banded(fit + weight * bend, right)
+        return c, float(((at(c, first, rows) - y) ** 2).sum())
+
+    low, high = -30.0, 30.0  # powers of ten of the penalty's weight; residuals grow with it
+    c = None
+    for _ in range(80):
+        middle = (low + high) / 2
+        c, left = coefficients(10.0**middle)
+        if abs(left - smoothing) <= 1e-3 * smoothing:
+            break
+        low, high = (middle, high) if left < smoothing else (low, middle)
+    return at(c, *curve.basis(u, 0, n, v))
 
 
 def whole(curve: Cubic | Spline, x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -153,14 +210,63 @@ def akima(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
     return y[k] + u * (d[k] + u * ((3 * s - 2 * d[k] - d[k + 1]) / h + u * (d[k] + d[k + 1] - 2 * s) / h**2))
 
 
-def kriging(x: np.ndarray, y: np.ndarray, t: np.ndarray, length: float = 0.1, noise: float = 1e-6) -> np.ndarray:
-    """The mean of a Gaussian process with a squared-exponential kernel; time is scaled by the series' range."""
-    span = x[-1] - x[0]
+#: Points up to which a Gaussian process takes a series as a whole, and those around a value that it takes of longer ones.
+WHOLE, NEIGHBOURS = 2048, 256
+#: Length scales (shares of the series' range) among which the likelihood chooses; the best is refined by a parabola.
+LENGTHS = np.geomspace(1e-3, 1.0, 25)
+
+
+def kernel(a: np.ndarray, b: np.ndarray, length: float) -> np.ndarray:
+    return np.exp(-0.5 * ((a[:, None] - b) / length) ** 2)
+
+
+def likelihoods(a: np.ndarray, y: np.ndarray, noise: float, neighbours: int = NEIGHBOURS) -> np.ndarray:
+    """Log likelihood of values with mean 0 for each of LENGTHS, in blocks of `neighbours` points, each alone."""
+    out = np.zeros(len(LENGTHS))
+    for k, length in enumerate(LENGTHS):
+        for start in range(0, len(a), neighbours):
+            p, v = a[start : start + neighbours], y[start : start + neighbours]
+            low = np.linalg.cholesky(kernel(p, p, length) + noise * np.eye(len(p)))
+            z = np.linalg.solve(low, v)
+            size = max(float(z @ z) / len(p), 1e-300)  # the best variance for this length
+            out[k] -= len(p) / 2 * np.log(size) + np.log(np.diag(low)).sum()
+    return out
+
+
+def best_length(out: np.ndarray) -> float:
+    k = int(np.argmax(out))
+    if not 0 < k < len(out) - 1:
+        return float(LENGTHS[k])
+    bend = out[k - 1] - 2 * out[k] + out[k + 1]
+    step = 0.5 * (out[k - 1] - out[k + 1]) / bend if bend < 0 else 0.0
+    return float(LENGTHS[k] * (LENGTHS[1] / LENGTHS[0]) ** step)
+
+
+def near_values(a: np.ndarray, y: np.ndarray, b: np.ndarray, length: float, noise: float, neighbours: int) -> np.ndarray:
+    """Means of the process at b, each from the `neighbours` points around it (a rising); memory grows with that number squared."""
+    first = np.clip(np.searchsorted(a, b) - neighbours // 2, 0, max(len(a) - neighbours, 0))
+    first = first // max(neighbours // 4, 1) * max(neighbours // 4, 1)  # values nearby share a window
+    out = np.empty(len(b))
+    for at in np.unique(first):
+        p, v = a[at : at + neighbours + neighbours // 4], y[at : at + neighbours + neighbours // 4]
+        low = np.linalg.cholesky(kernel(p, p, length) + noise * np.eye(len(p)))
+        weight = np.linalg.solve(low.T, np.linalg.solve(low, v))
+        out[first == at] = kernel(b[first == at], p, length) @ weight
+    return out
+
+
+def kriging(x: np.ndarray, y: np.ndarray, t: np.ndarray, length: float | str = 0.1, noise: float = 1e-6, neighbours: int | None = None) -> np.ndarray:
+    """The mean of a Gaussian process with a squared-exponential kernel; time is scaled by the series' range.
+
+    length: a share of the range, or "fit" for the one of largest likelihood. A series of more than WHOLE points, or of more
+    than `neighbours`, is worked on by neighbourhoods.
+    """
+    span, middle = x[-1] - x[0], y.mean()
     a, b = (x - x[0]) / span, (t - x[0]) / span
-    kernel = lambda p, q: np.exp(-0.5 * ((p[:, None] - q) / length) ** 2)
-    middle = y.mean()
-    low = np.linalg.cholesky(kernel(a, a) + noise * np.eye(len(a)))
-    return middle + kernel(b, a) @ np.linalg.solve(low.T, np.linalg.solve(low, y - middle))
+    near = neighbours or (len(a) if len(a) <= WHOLE else NEIGHBOURS)
+    if length == "fit":
+        length = best_length(likelihoods(a, y - middle, noise, min(near, NEIGHBOURS)))
+    return middle + near_values(a, y - middle, b, float(length), noise, near)
 
 
 KINDS = {"cubic": cubic, "spline": spline, "kriging": kriging}

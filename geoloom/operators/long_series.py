@@ -181,6 +181,49 @@ def banded_curve(points: DataFrame, wanted: DataFrame, series: Sequence[str], ki
     return out.withColumn("curve", F.when(~F.isnan("curve"), F.col("curve")))
 
 
+def kriged(points: DataFrame, wanted: DataFrame, series: Sequence[str], part: int = PART, length: float | str = 0.1, noise: float = 1e-6, neighbours: int = curves.NEIGHBOURS) -> DataFrame:
+    """wanted (series, t, ...) with `curve`, the mean of a Gaussian process of which each value sees its neighbourhood.
+
+    Parts share `neighbours` points at their borders; the likelihood of each length is summed over parts.
+    """
+    keys, rest = list(series), [c for c in wanted.columns if c not in (*series, "t")]
+    rows = materialize(parted(points, keys, part), "parts")
+    whole = rows.groupBy(*keys).agg(F.avg("v").alias("middle"), F.min("t").alias("from"), F.max("t").alias("to"))
+    types = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
+    scaled = lambda df: df.join(whole, keys).withColumn("a", (F.col("t") - F.col("from")) / (F.col("to") - F.col("from")))
+    if length == "fit":
+
+        def say(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("a")
+            return pd.DataFrame([(*key[:-1], curves.likelihoods(pdf["a"].to_numpy(), (pdf["v"] - pdf["middle"]).to_numpy(), noise, neighbours))], columns=[*keys, "l"])
+
+        said = scaled(rows).groupBy(*keys, "part").applyInPandas(say, f"{types}, l array<double>")
+        sums = said.groupBy(*keys).agg(F.array(*(F.sum(F.get("l", F.lit(k))) for k in range(len(curves.LENGTHS)))).alias("l"))
+        best = F.pandas_udf(lambda l: l.map(lambda x: curves.best_length(np.asarray(x))), "double")
+        whole = whole.join(materialize(sums.select(*keys, best("l").alias("length")), "lengths"), keys)
+    else:
+        whole = whole.withColumn("length", F.lit(float(length)))
+    last = F.greatest(F.expr(f"n div {part}"), F.lit(1)) - 1
+    near = F.sequence(F.greatest(F.least(F.expr(f"(g - {2 * neighbours}) div {part}"), last), F.lit(0)), F.least(F.expr(f"(g + {2 * neighbours}) div {part}"), last))
+    starts = rows.groupBy(*keys, "part").agg(F.min("t").alias("start")).groupBy(*keys).agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    asked = wanted.join(starts, keys).withColumn("part", F.greatest(F.size(F.filter("starts", lambda s: s <= F.col("t"))) - 1, F.lit(0)).cast("long")).drop("starts")
+    both = scaled(rows.select(*keys, "t", "v", "g", F.explode(near).alias("part")).unionByName(asked, allowMissingColumns=True))
+    names = [*keys, "t", *rest, "curve"]
+
+    def values(pdf: pd.DataFrame) -> pd.DataFrame:
+        known, want = pdf[pdf["g"].notna()].sort_values("g"), pdf[pdf["g"].isna()].copy()
+        at, middle = want["a"].to_numpy(), pdf["middle"].iloc[0]
+        inside, got = (at >= 0) & (at <= 1), np.full(len(at), np.nan)
+        if inside.any():
+            got[inside] = middle + curves.near_values(known["a"].to_numpy(), known["v"].to_numpy() - middle, at[inside], pdf["length"].iloc[0], noise, neighbours)
+        want["curve"] = got
+        return want[names]
+
+    kinds = ", ".join(f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in (*keys, "t", *rest))
+    out = both.groupBy(*keys, "part").applyInPandas(values, f"{kinds}, curve double")
+    return out.withColumn("curve", F.when(~F.isnan("curve"), F.col("curve")))
+
+
 def long_keys(points: DataFrame, series: Sequence[str], most: int = 2 * PART) -> DataFrame:
     """Series of more than so many points: few, as each has many."""
     return points.groupBy(*series).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n")

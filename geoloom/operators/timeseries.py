@@ -159,7 +159,8 @@ def fill_with(df: DataFrame, kind: str, targets: DataFrame | None = None, series
     """Values from a fitted curve of each series, at its own rows or at the targets' times; missing outside its valid range.
 
     kind: cubic, spline, akima or kriging. Values that share a time are averaged. Akima's curve takes windows only. A series of
-    up to 2 * part points is a group of its own for the others; cubic and spline cut longer ones into parts (operators.long_series).
+    up to 2 * part points is a group of its own for the others; longer ones are cut into parts (operators.long_series), but for a
+    spline with smoothing, which takes memory in proportion to the series.
     """
     keys, in_place = list(series), targets is None
     t = (micros(F.col("ts")) / 86_400e6).alias("t")
@@ -188,12 +189,15 @@ def fill_with(df: DataFrame, kind: str, targets: DataFrame | None = None, series
         return want[names]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(names).schema)
-    if kind not in curves.BANDED:
+    if kind == "spline" and options.get("smoothing"):  # its penalty is found over the whole series
         return rows.groupBy(*keys).applyInPandas(run, schema)
     far = materialize(long_series.long_keys(points, keys, 2 * part), "long-series")
     if far.isEmpty():
         return rows.groupBy(*keys).applyInPandas(run, schema)
     short = long_series.same_series(rows, far, keys, "left_anti").groupBy(*keys).applyInPandas(run, schema)
     cut = lambda a: long_series.same_series(a, far, keys, "left_semi")
-    long = long_series.banded_curve(cut(points), cut(wanted), keys, kind, part, **options)
+    if kind == "kriging":
+        long = long_series.kriged(cut(points), cut(wanted), keys, part, **options)
+    else:
+        long = long_series.banded_curve(cut(points), cut(wanted), keys, kind, part, **{k: v for k, v in options.items() if k != "smoothing"})
     return short.unionByName(long.select(*keys, "ts", F.col("curve").alias("v")))

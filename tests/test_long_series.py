@@ -112,3 +112,86 @@ def test_a_series_of_a_million_points(spark, kind):
     for r in out:
         at = (r["ts"] - START).total_seconds() / 60 / 50
         assert abs(r["v"] - np.sin(at)) < 1e-6
+
+
+def noisy(rng, n):
+    x = np.cumsum(rng.uniform(0.2, 1.5, n))
+    return x, np.sin(x / 5) + 0.2 * rng.normal(size=n)
+
+
+@pytest.mark.parametrize("degree", [1, 2, 3, 5])
+def test_smoothing_between_interpolation_and_polynomial(degree):
+    rng = np.random.default_rng(5)
+    x, y = noisy(rng, 60)
+    t = np.linspace(x[0], x[-1], 200)
+    assert np.array_equal(curves.spline(x, y, t, degree, 0), curves.spline(x, y, t, degree))
+    line = np.polynomial.Polynomial.fit(x, y, degree)
+    most = ((line(x) - y) ** 2).sum()
+    assert np.allclose(curves.spline(x, y, t, degree, 10 * most), line(t), atol=1e-8)
+    before = 0.0
+    for share in (0.01, 0.1, 0.5, 0.9):
+        left = ((curves.spline(x, y, x, degree, share * most) - y) ** 2).sum()
+        assert abs(left - share * most) <= 2e-3 * share * most and left > before
+        before = left
+    assert np.allclose(curves.spline(x, y, t, degree, 1e-9 * most), curves.spline(x, y, t, degree), atol=1e-2)
+
+
+def test_penalty_is_the_jump_of_the_highest_derivative():
+    """Against dense algebra: coefficients of a polynomial have no jumps, and those of a kink do at its knot alone."""
+    rng = np.random.default_rng(6)
+    x = np.cumsum(rng.uniform(0.2, 1.5, 30))
+    for p in (1, 2, 3):
+        curve = curves.Spline(p)
+        knot = curve.knots(x, 0, 30, np.arange(30 + p + 1), p)
+        rows = curves.jumps(knot, 30, p)
+        dense = np.array([[rows[k, j - k] if 0 <= j - k <= p + 1 else 0.0 for j in range(30)] for k in range(len(rows))])
+        on = lambda f: curves.banded(*curve.rows(x, f(x), 0, 30, 0, 29))  # noqa: E731, B023
+        assert np.allclose(dense @ on(lambda v: (v - 3) ** p), 0, atol=1e-6)
+        k = 12
+        got = dense @ on(lambda v: np.maximum(v - knot[p + 1 + k], 0) ** p)
+        assert abs(got[k] - float(np.prod(range(1, p + 1)))) < 1e-5 and np.allclose(np.delete(got, k), 0, atol=1e-5)
+
+
+def test_kriging_by_neighbourhoods_is_within_the_quoted_error():
+    """Local and whole processes differ by less than 0.03 % of the values' range."""
+    rng = np.random.default_rng(7)
+    x = np.cumsum(rng.uniform(0.5, 1.5, 900))
+    y = np.sin(x / 40) + 0.3 * np.cos(x / 15)
+    t = np.sort(rng.uniform(x[0], x[-1], 300))
+    for length in (0.005, 0.02):
+        a, b = (curves.kriging(x, y, t, length, 1e-6, k) for k in (900, 128))
+        assert np.abs(a - b).max() <= 3e-4 * np.ptp(y)
+
+
+def test_fitted_length_scale():
+    """The likelihood finds the length of a drawn process, and its maximum agrees with a dense search."""
+    rng = np.random.default_rng(8)
+    a = np.sort(rng.uniform(0, 1, 200))
+    for length in (0.02, 0.1):
+        y = np.linalg.cholesky(curves.kernel(a, a, length) + 1e-6 * np.eye(200)) @ rng.normal(size=200)
+        found = curves.best_length(curves.likelihoods(a, y, 1e-6, 200))
+        assert length / 1.5 < found < length * 1.5
+        blocks = curves.best_length(curves.likelihoods(a, y, 1e-6, 50))
+        assert length / 2 < blocks < length * 2
+
+
+@pytest.mark.parametrize("length", [0.02, "fit"])
+def test_kriging_of_long_series_in_parts(spark, length):
+    rng = np.random.default_rng(9)
+    hours = np.cumsum(rng.integers(1, 4, 700)).tolist()
+    values = [float(np.sin(h / 60) + 0.2 * np.cos(h / 17)) for h in hours]
+    df = spark.createDataFrame(rows_of("long", hours, values) + rows_of("short", hours[:30], values[:30]), SCHEMA)
+    grid = sorted({float(h) for h in rng.uniform(-3, max(hours) + 3, 60)})
+    targets = spark.createDataFrame([(k, START + timedelta(hours=a)) for k in ("long", "short") for a in grid], "name string, ts timestamp_ntz")
+    out = got(timeseries.fill_with(df, "kriging", targets, ["name"], part=150, length=length, neighbours=64))
+    micro = [round(a * 3600e6) / 3600e6 for a in grid]
+    exact = want(lambda x, y, t: np.sin(t * 24 / 60) + 0.2 * np.cos(t * 24 / 17), hours, values, micro)
+    assert close(out["long"], exact, 5e-3) and close(out["short"], want(lambda x, y, t: curves.kriging(x, y, t, length, neighbours=64), hours[:30], values[:30], micro), 1e-6)
+
+
+def test_smoothing_of_series(spark):
+    rng = np.random.default_rng(10)
+    x, y = noisy(rng, 80)
+    df = spark.createDataFrame(rows_of("a", x, y), SCHEMA)
+    out = got(timeseries.fill_with(df, "spline", None, ["name"], part=16, degree=3, smoothing=2.0))["a"]
+    assert abs(((np.array(out) - y) ** 2).sum() - 2.0) < 0.01
