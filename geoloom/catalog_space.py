@@ -10,7 +10,7 @@ from geoloom.bridge import BOXES, CLASSES, IMAGES, boxes, classes, events, image
 from geoloom.catalog import query
 from geoloom.layout import SIDE_BITS
 from geoloom.operators import areas as connected
-from geoloom.operators import clustering, filters, geometry, masking, registration, sampling
+from geoloom.operators import clustering, filters, geometry, masking, registration, sampling, warping
 from geoloom.operators import neighbourhood as near
 
 PIX = "patch_id, y, x"
@@ -302,6 +302,36 @@ def register_move(spark: SparkSession, d: str) -> DataFrame:
     return registration.move(frames, registration.estimate_shifts(frames, reference)).select("patch_id", "ts", "y", "x", F.element_at("bands", 1).alias("v"))
 
 
+#: The warp planted in each image, by its number: a stretch, a shear and a shift.
+PLANT = {"m00": "1 + (vec_id % 5 - 2) * 0.01", "m01": "(vec_id % 3 - 1) * 0.02", "m02": "(vec_id % 7 - 3) * 0.5", "m10": "(vec_id % 4 - 1) * -0.01", "m11": "1 - (vec_id % 3) * 0.01", "m12": "(vec_id % 6 - 2) * 0.4"}
+
+
+def _planted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A smooth image of 28 by 28 pixels for each vector, waves whose strengths are its numbers, and a frame of it through its warp.
+
+    The frame is the same sum of waves at the warp's inverse, brighter and with more contrast, so nothing is interpolated.
+    """
+    m = {k: F.expr(v) for k, v in PLANT.items()}
+    grid = table(spark, d, "embeddings").select(F.col("vec_id").alias("patch_id"), "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(28 * 28 - 1))).alias("i"))
+    grid = grid.withColumns({"y": F.expr("i div 28").cast("int"), "x": (F.col("i") % 28).cast("int"), **m}).drop("i")
+    wave = lambda k, y, x: F.get("embedding", F.lit(k)).cast("double") * F.cos((y * (k % 3 - 1) + x * (1 + k // 3 % 2) + 2 * k) * 0.23)
+    scene = lambda y, x: sum((wave(k, y, x) for k in range(1, 9)), wave(0, y, x))
+    dx, dy, det = F.col("x") - F.col("m02"), F.col("y") - F.col("m12"), F.col("m00") * F.col("m11") - F.col("m01") * F.col("m10")
+    there = scene((F.col("m00") * dy - F.col("m10") * dx) / det, (F.col("m11") * dx - F.col("m01") * dy) / det)
+    fixed = grid.select("patch_id", "y", "x", F.array(scene(F.col("y"), F.col("x"))).alias("bands"))
+    return fixed, grid.select("patch_id", F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), "y", "x", F.array(1.5 * there + 2).alias("bands"))
+
+
+@query(f"SELECT vec_id AS patch_id, TRUE AS found, TRUE AS shape, TRUE AS shift FROM embeddings WHERE abs({PLANT['m00']}) > 0")
+def register_affine(spark: SparkSession, d: str) -> DataFrame:
+    """Planted affine warps are found: their shape to 0.02 and their shift to a quarter of a pixel."""
+    fixed, frames = _planted(spark, d)
+    out = warping.estimate_warps(frames, fixed, "affine", max_translation=8.0).withColumn("vec_id", F.col("patch_id"))
+    gap = lambda k, name: F.abs(F.get("matrix", F.lit(k)) - F.expr(PLANT[name]))
+    shape = F.greatest(gap(0, "m00"), gap(1, "m01"), gap(3, "m10"), gap(4, "m11"))
+    return out.select("patch_id", "found", (shape < 0.02).alias("shape"), (F.greatest(gap(2, "m02"), gap(5, "m12")) < 0.25).alias("shift"))
+
+
 def brightness(bands: pd.Series) -> pd.Series:
     """Stands for a trained model: the brighter, the more likely a cloud."""
     return bands.map(lambda b: min(max(float(b[0]) / 100, 0.0), 1.0))
