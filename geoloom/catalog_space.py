@@ -10,7 +10,7 @@ from geoloom.bridge import BOXES, CLASSES, IMAGES, boxes, classes, events, image
 from geoloom.catalog import query
 from geoloom.layout import SIDE_BITS
 from geoloom.operators import areas as connected
-from geoloom.operators import clustering, filters, geometry, masking, registration, sampling, warping
+from geoloom.operators import clustering, filters, geometry, masking, registration, sampling, spatial, warping
 from geoloom.operators import neighbourhood as near
 
 PIX = "patch_id, y, x"
@@ -230,11 +230,18 @@ def vectorize(spark: SparkSession, d: str) -> DataFrame:
     return shapes.select("patch_id", root.alias("root"), "value", "pixels", total.alias("area"), corners.alias("corners"), F.size(rings).cast("long").alias("rings"), corner.alias("corner"))
 
 
-@query(f"SELECT a.row AS a, b.row AS b FROM {BOXES} a JOIN {BOXES} b ON a.row < b.row AND a.min_x <= b.max_x AND b.min_x <= a.max_x AND a.min_y <= b.max_y AND b.min_y <= a.max_y")
+#: A rectangle for each event: from its time (in days) on and around its user; a few are hundreds of times as large as most.
+SPANS = "(SELECT event_id AS row, epoch_us(ts) / 86400e6 AS min_x, user_id + (event_id % 7) * 0.125 AS min_y, epoch_us(ts) / 86400e6 + CASE WHEN event_id % 1000 = 0 THEN 8 ELSE (1 + event_id % 10) * 0.0078125 END AS max_x, user_id + (event_id % 7) * 0.125 + CASE WHEN event_id % 1000 = 0 THEN 16 ELSE (event_id % 3) * 0.5 END AS max_y FROM events)"
+
+
+@query(f"SELECT a.row AS a, b.row AS b FROM {SPANS} a JOIN {SPANS} b ON a.row < b.row AND a.min_x <= b.max_x AND b.min_x <= a.max_x AND a.min_y <= b.max_y AND b.min_y <= a.max_y")
 def boxes_meet(spark: SparkSession, d: str) -> DataFrame:
-    one = boxes(spark, d)
-    named = lambda p: one.select(F.col("row").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("min_x", "min_y", "max_x", "max_y")))
-    return named("a").join(named("b"), (F.col("a") < F.col("b")) & filters.boxes_meet("a_", "b_")).select("a", "b")
+    """Pairs of rectangles that meet, of a table that grows."""
+    x, y = F.unix_micros(F.col("ts").cast("timestamp")) / 86_400e6, F.col("user_id") + (F.col("event_id") % 7) * F.lit(0.125)
+    large = F.col("event_id") % 1000 == 0
+    w, h = F.when(large, 8.0).otherwise((1 + F.col("event_id") % 10) * F.lit(0.0078125)), F.when(large, 16.0).otherwise((F.col("event_id") % 3) * F.lit(0.5))
+    spans = table(spark, d, "events").select(F.col("event_id").alias("row"), x.alias("min_x"), y.alias("min_y"), (x + w).alias("max_x"), (y + h).alias("max_y"))
+    return spatial.boxes_that_meet(spans)
 
 
 @query(f"SELECT row, round(greatest(min_x, 1.25), 5) AS min_x, round(greatest(min_y, 0.5), 5) AS min_y, round(least(max_x, 4.5), 5) AS max_x, round(least(max_y, 4.75), 5) AS max_y FROM {BOXES} WHERE max_x > 1.25 AND min_x < 4.5 AND max_y > 0.5 AND min_y < 4.75")
