@@ -81,13 +81,23 @@ PLACEHOLDER = re.compile(r"(?i)\A(?:none|null|nil|true|false|undefined|changeme|
 THRESHOLD = 0.5
 
 
-@lru_cache(4096)
+#: Characters of a name up to which its score is kept for the next time; longer ones are scored each time.
+REMEMBERED = 256
+
+
 def name_score(name: str) -> float:
+    return remembered_score(name) if len(name) <= REMEMBERED else score_of(name)
+
+
+def score_of(name: str) -> float:
     parts = [p.lower() for p in PARTS.findall(name)]
     score = sum(SENSITIVE.get(p, 0.0) for p in dict.fromkeys(parts))
     return 0.25 * score if parts and parts[-1] in HARMLESS else min(score, 1.0)
 
 
+remembered_score = lru_cache(4096)(score_of)
+
+
 def literal_score(value: str) -> float:
     """0 to 1: length, entropy a character and mixed kinds of characters."""
     if len(value) < 8 or PLACEHOLDER.match(value):
@@ -192,7 +202,7 @@ class Lexer:
             elif kind in ("triple", "string"):
                 found = self.string(m.start())
                 if found:
-                    last, before, at = text[found[0] : found[1]] if found[1] - found[0] <= 256 else None, last, found[2]
+                    last, before, at = text[found[0] : found[1]], last, found[2]
             elif kind == "inner":
                 yield m["tag"], [m.span("inner")], True, 0
             elif kind == "word":
@@ -215,13 +225,13 @@ class Lexer:
                 if found:
                     pieces, quoted, end = found
                     if quoted and name in NAMING:
-                        naming = text[pieces[0][0] : pieces[-1][1]] if pieces[-1][1] - pieces[0][0] <= 256 else None
+                        naming = text[pieces[0][0] : pieces[-1][1]]
                     elif naming is not None and name in NAMED:
                         name, naming = naming, None
                     if quoted or not text.startswith("(", end):
                         yield name, pieces, quoted, 0
                     if not quoted and end < n and text[end] in "=:":
-                        last = text[pieces[0][0] : pieces[0][1]] if pieces[0][1] - pieces[0][0] <= 256 else None
+                        last = text[pieces[0][0] : pieces[0][1]]
                     at = end
             fresh = False
 

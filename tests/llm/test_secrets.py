@@ -33,6 +33,26 @@ def test_forms_of_assignments(text):
     assert literals(text) == [V]
 
 
+LONG = "y" * 300
+LONG_NAMES = [f'{{"{LONG}_private_key": "{V}"}}', f"{{'name': '{LONG}_DB_PASSWORD', 'value': '{V}'}}", f'<add key="{LONG}dbPwd" value="{V}"/>', f'a={LONG}_password={V}', f'{LONG}_pwd = "{V}"', f'"{LONG * 300}_pwd": "{V}"']
+
+
+@pytest.mark.parametrize("text", LONG_NAMES)
+def test_names_of_any_length(text):
+    assert literals(text) == [V]
+
+
+def test_long_names_take_time_in_proportion():
+    def took(n):
+        text = f'"{"key_" * n}pwd": "{V}", ' + f'"{LONG}_pwd": "{V}", ' * (n // 80)
+        start = time.perf_counter()
+        assert len(literals(text)) == 1 + n // 80
+        return time.perf_counter() - start
+
+    took(8_000)
+    assert took(160_000) < 40 * max(took(8_000), 0.01)
+
+
 @pytest.mark.parametrize("text", NOT_FOUND)
 def test_what_is_no_assignment_of_a_secret(text):
     assert literals(text) == []
