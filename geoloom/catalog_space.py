@@ -284,6 +284,45 @@ def cluster_single_link(spark: SparkSession, d: str) -> DataFrame:
     return clustering.cluster(px, 0.05, "euclidean", remove_small=2)
 
 
+#: Links between pixels beside each other, numbered by row.
+GRID = f"""px AS (SELECT patch_id, y, x, v, y * 8 + x AS i FROM {IMAGES}), link AS (
+  SELECT a.patch_id, a.i AS a, b.i AS b, {{distance}} AS d FROM px a JOIN px b ON a.patch_id = b.patch_id AND (b.i = a.i + 8 OR b.i = a.i + 1 AND b.y = a.y))"""
+
+
+@query(f"""
+WITH RECURSIVE {GRID.format(distance="sqrt((a.v - b.v) * (a.v - b.v))")}, step AS (  -- the two nearest clusters of each patch merge
+  SELECT 0 AS k, patch_id, i, i AS c FROM px
+  UNION ALL
+  SELECT s.k + 1, s.patch_id, s.i, CASE WHEN s.c = m.b THEN m.a ELSE s.c END FROM step s JOIN (
+    SELECT patch_id, a, b FROM (
+      SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY h) AS place FROM (
+        SELECT l.patch_id, least(p.c, q.c) AS a, greatest(p.c, q.c) AS b, max({{'d': l.d, 'a': l.a, 'b': l.b}}) AS h
+        FROM link l JOIN step p ON p.patch_id = l.patch_id AND p.i = l.a JOIN step q ON q.patch_id = l.patch_id AND q.i = l.b WHERE p.c <> q.c GROUP BY ALL
+      ) WHERE h.d <= 0.25) WHERE place = 1) m ON m.patch_id = s.patch_id
+), done AS (SELECT patch_id, i, arg_max(c, k) AS root FROM step GROUP BY ALL), named AS (
+  SELECT patch_id, root, row_number() OVER (PARTITION BY patch_id ORDER BY root) - 1 AS cluster FROM done GROUP BY patch_id, root
+) SELECT patch_id, y, x, CAST(cluster AS INT) AS cluster FROM px JOIN done USING (patch_id, i) JOIN named USING (patch_id, root)""")
+def cluster_complete(spark: SparkSession, d: str) -> DataFrame:
+    px = images(spark, d).select(*KEY, F.array("v").alias("bands"))
+    return clustering.cluster(px, 0.25, "euclidean", linkage="complete")
+
+
+@query(f"""
+WITH RECURSIVE {GRID.format(distance="abs(a.v - b.v)")}, ranked AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY d, a, b) AS k FROM link), walk AS (  -- links by distance
+  SELECT patch_id, CAST(0 AS BIGINT) AS k, list(i ORDER BY i) AS c, count(*) AS n FROM px GROUP BY patch_id
+  UNION ALL
+  SELECT w.patch_id, w.k + 1, CASE WHEN w.n > 6 THEN list_transform(w.c, lambda e: CASE WHEN e = greatest(w.c[r.a + 1], w.c[r.b + 1]) THEN least(w.c[r.a + 1], w.c[r.b + 1]) ELSE e END) ELSE w.c END,
+    CASE WHEN w.n > 6 AND w.c[r.a + 1] <> w.c[r.b + 1] THEN w.n - 1 ELSE w.n END
+  FROM walk w JOIN ranked r ON r.patch_id = w.patch_id AND r.k = w.k + 1
+), done AS (SELECT patch_id, unnest(range(0, 64)) AS i, unnest(c) AS root FROM (SELECT patch_id, arg_max(c, k) AS c FROM walk GROUP BY patch_id)), named AS (
+  SELECT patch_id, root, row_number() OVER (PARTITION BY patch_id ORDER BY root) - 1 AS cluster FROM done GROUP BY patch_id, root
+) SELECT patch_id, y, x, CAST(cluster AS INT) AS cluster FROM px JOIN done USING (patch_id, i) JOIN named USING (patch_id, root)""")
+def cluster_n(spark: SparkSession, d: str) -> DataFrame:
+    """Six clusters of each image by single linkage."""
+    px = images(spark, d).select(*KEY, F.array("v").alias("bands"))
+    return clustering.cluster(px, affinity="manhattan", n_clusters=6)
+
+
 def _movie(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Each image as a reference, and frames of it that are shifted in a circle."""
     px = images(spark, d).select(*KEY, F.array("v").alias("bands"))

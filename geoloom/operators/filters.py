@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 import pandas as pd
@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geoloom.operators.skew import join_by
 from geoloom.patchset import PatchSet
+from geoloom.session import discard, materialize
 
 FRAME = ["patch_id", "ts"]
 
@@ -82,20 +84,78 @@ def coverage(df: DataFrame, valid: Column) -> DataFrame:
     return df.groupBy(*FRAME).agg(F.avg(valid.cast("double")).alias("coverage"))
 
 
-def spaced(frames: DataFrame, seconds: float) -> DataFrame:
-    """Frames of a patch such that each is more than so many seconds after the last one kept: greedy, in time order."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        times = sorted(t for pdf in batches for t in pdf["ts"])
-        kept, last = [], None
-        for t in times:
-            if last is None or (t - last).total_seconds() > seconds:
-                kept.append(t)
-                last = t
-        return pd.DataFrame({"patch_id": key[0], "ts": kept})
-
-    whole = lambda key, pdf: run(key, iter([pdf]))
-    return frames.select(*FRAME).distinct().groupBy("patch_id").applyInPandas(whole, "patch_id long, ts timestamp_ntz")
+#: Frames of a patch that are followed in one row; longer series go by pointer doubling.
+SHORT_SERIES = 2_048
+
+
+#: Microseconds of ts since 1970, whatever the session's time zone.
+MICROS = "date_diff(ts, date'1970-01-01') * 86400000000L + cast((hour(ts) * 3600 + minute(ts) * 60 + extract(SECOND FROM ts)) * 1000000 AS bigint)"
+
+
+def spaced(frames: DataFrame, seconds: float, short: int = SHORT_SERIES) -> DataFrame:
+    """Frames of a patch such that each is more than so many seconds after the last one kept: greedy, in time order.
+
+    Patches of at most `short` frames are folded in one row each. For longer ones every frame finds its successor, the first frame
+    more than so many seconds later, and the chain from the first frame is followed by pointer doubling: no row holds a patch.
+    Frames without a patch or a time are left out; repeated ones count once.
+    """
+    if seconds < 0:
+        raise ValueError("seconds must not be negative")
+    gap = round(seconds * 1_000_000)
+    times = frames.select("patch_id", F.expr(MICROS).alias("t")).where("patch_id IS NOT NULL AND t IS NOT NULL").distinct()
+    times = materialize(times, "spaced-times")
+    long = times.groupBy("patch_id").agg(F.count("*").alias("n")).where(F.col("n") > short).select("patch_id")
+    series = times.join(long, "patch_id", "left_anti").groupBy("patch_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    follow = lambda kept, t: F.when((F.size(kept) == 0) | (t > F.element_at(kept, -1) + gap), F.array_append(kept, t)).otherwise(kept)
+    kept = series.select("patch_id", F.explode(F.aggregate("ts", F.array().cast("array<bigint>"), follow)).alias("t"))
+    if not long.isEmpty():
+        kept = kept.unionByName(chains(successors(times.join(long, "patch_id", "left_semi"), gap)))
+    back = F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(cast(t AS decimal(20, 0)) / 1000000 AS decimal(18, 6)))")
+    return kept.select("patch_id", back.alias("ts"))
+
+
+def successors(times: DataFrame, gap: int) -> DataFrame:
+    """patch_id, t, after: the first t of the patch that lies more than gap later, null where there is none.
+
+    A frame looks into the bucket of time, gap long, that t + gap falls in, else at the first frame of the next bucket that has
+    any: windows hold the frames of a bucket, or one row for each bucket of a patch.
+    """
+    size = max(gap, 1)
+    bucket = lambda c: F.expr(f"floor({c} / {size})").cast("long")
+    probes = times.select("patch_id", (F.col("t") + gap).alias("at"), F.col("t").alias("asks"), F.lit(None).cast("long").alias("t"))
+    rows = times.select("patch_id", F.col("t").alias("at"), F.lit(None).cast("long").alias("asks"), "t").unionByName(probes)
+    rows = rows.withColumn("bucket", bucket("at"))
+    later = Window.partitionBy("patch_id", "bucket").orderBy(F.desc("at"), F.col("asks").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("after", F.last("t", ignorenulls=True).over(later)).where("asks IS NOT NULL")
+    firsts = rows.select("patch_id", "bucket", F.lit(None).cast("long").alias("first")).unionByName(times.select("patch_id", bucket("t").alias("bucket"), F.col("t").alias("first")))
+    firsts = firsts.groupBy("patch_id", "bucket").agg(F.min("first").alias("first"))
+    following = Window.partitionBy("patch_id").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select("patch_id", "bucket", F.last("first", ignorenulls=True).over(following).alias("next"))
+    found = rows.where("after IS NOT NULL").select("patch_id", F.col("asks").alias("t"), "after")
+    rest = join_by(rows.where("after IS NULL").drop("after"), firsts, ["patch_id", "bucket"], how="left")
+    return found.unionByName(rest.select("patch_id", F.col("asks").alias("t"), F.col("next").alias("after")))
+
+
+def chains(after: DataFrame) -> DataFrame:
+    """patch_id, t of the frames that each patch's first frame leads to. Rounds grow with the logarithm of the longest chain.
+
+    After k rounds the frames reached are the first 2^k of the chain, and a jump leads 2^k frames on.
+    """
+    jumps = materialize(after, "spaced-jumps")
+    reached = materialize(jumps.groupBy("patch_id").agg(F.min("t").alias("t")), "spaced-reached")
+    count = reached.count()
+    while True:
+        new = reached.join(jumps, ["patch_id", "t"]).where("after IS NOT NULL").select("patch_id", F.col("after").alias("t"))
+        grown = materialize(reached.unionByName(new).distinct(), "spaced-reached")
+        discard(reached)
+        reached, before, count = grown, count, grown.count()
+        if count == before:
+            discard(jumps)
+            return reached
+        ends = jumps.select("patch_id", F.col("t").alias("after"), F.col("after").alias("then"))
+        longer = materialize(join_by(jumps, ends, ["patch_id", "after"], how="left").select("patch_id", "t", F.col("then").alias("after")), "spaced-jumps")
+        discard(jumps)
+        jumps = longer
 
 
 def with_values(df: DataFrame, column: str, values: Sequence) -> DataFrame:
