@@ -191,6 +191,31 @@ def rasterize_existing(spark: SparkSession, d: str) -> DataFrame:
     return geometry.rasterize(_vectors(spark, d), map_box(spark), _grid(spark), existing=old).withColumn("v", F.col("v").cast("int"))
 
 
+#: A frame for each order on a map of its customer: a rectangle with a hole a quarter from each side.
+PLOTS = "(SELECT o_custkey AS patch_id, o_orderkey AS row, o_orderkey % 9 + 1 AS value, (o_orderkey * 7 % 256) / 32 AS min_x, (o_orderkey * 11 % 256) / 32 AS min_y, (o_orderkey * 7 % 256) / 32 + 1 + o_orderkey % 3 AS max_x, (o_orderkey * 11 % 256) / 32 + 1 + o_orderkey % 2 AS max_y FROM orders)"
+
+
+@query(f"""
+WITH plot AS {PLOTS}, g AS (SELECT patch_id, i // 8 AS y, i % 8 AS x, i % 8 + 0.5 AS px, 7.5 - i // 8 AS py FROM (SELECT DISTINCT patch_id FROM plot), (SELECT unnest(range(0, 64)) AS i)),
+hit AS (SELECT g.patch_id, y, x, arg_max(value, row) AS v FROM g JOIN plot ON g.patch_id = plot.patch_id
+  AND pow(greatest(min_x - px, px - max_x, 0), 2) + pow(greatest(min_y - py, py - max_y, 0), 2) <= 0.0625
+  AND NOT least(px - min_x, max_x - px) - (max_x - min_x) / 4 > 0.25 OR g.patch_id = plot.patch_id
+  AND pow(greatest(min_x - px, px - max_x, 0), 2) + pow(greatest(min_y - py, py - max_y, 0), 2) <= 0.0625
+  AND NOT least(py - min_y, max_y - py) - (max_y - min_y) / 4 > 0.25 GROUP BY ALL)
+SELECT patch_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(coalesce(v, 0) AS INT) AS v FROM g LEFT JOIN hit USING (patch_id, y, x)""")
+def rasterize_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles with holes, grown by 0.25 to both sides of their rings, of a table that grows."""
+    key = F.col("o_orderkey")
+    x, y, w, h = key * 7 % 256 / 32, key * 11 % 256 / 32, 1 + key % 3, 1 + key % 2
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("patch_id"), key.alias("row"), (key % 9 + 1).alias("value"), x.alias("min_x"), y.alias("min_y"), (x + w).alias("max_x"), (y + h).alias("max_y"), w.alias("w"), h.alias("h"))
+    hole = geometry.box_ring(F.col("min_x") + F.col("w") / 4, F.col("min_y") + F.col("h") / 4, F.col("max_x") - F.col("w") / 4, F.col("max_y") - F.col("h") / 4)
+    plots = orders.withColumns({"ring": geometry.box_ring(*map(F.col, ("min_x", "min_y", "max_x", "max_y"))), "holes": F.array(hole)}).drop("w", "h")
+    patches = plots.select("patch_id").distinct()
+    maps = patches.select("patch_id", *(F.lit(v).alias(c) for c, v in (("min_x", 0.0), ("min_y", 0.0), ("max_x", 8.0), ("max_y", 8.0), ("height", 8), ("width", 8))))
+    grid = patches.select("patch_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select("patch_id", F.expr("cast(i div 8 AS int)").alias("y"), F.expr("i % 8").alias("x"))
+    return geometry.rasterize(plots, maps, grid, buffer=0.25).withColumn("v", F.col("v").cast("int"))
+
+
 @query(f"""
 WITH RECURSIVE px AS (SELECT patch_id, y, x, v, patch_id * 64 + y * 8 + x AS id FROM {CLASSES} WHERE patch_id < 1000000), e AS (
   SELECT a.id AS a, b.id AS b FROM px a JOIN px b ON a.patch_id = b.patch_id AND a.v = b.v AND abs(a.y - b.y) + abs(a.x - b.x) = 1

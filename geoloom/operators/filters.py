@@ -85,7 +85,7 @@ def coverage(df: DataFrame, valid: Column) -> DataFrame:
 
 
 #: Frames of a patch that are followed in one row; longer series go by pointer doubling.
-SHORT_SERIES = 2_048
+SHORT_SERIES = 16_384
 
 
 #: Microseconds of ts since 1970, whatever the session's time zone.

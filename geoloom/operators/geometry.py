@@ -1,5 +1,6 @@
 """Vectors: rasterising, vectorising, clipping and reprojecting. A geometry is a row with `ring`, an array of {x, y} points
-(the first isn't repeated), and its box in min_x, min_y, max_x, max_y.
+(the first isn't repeated), and its box in min_x, min_y, max_x, max_y. A column `holes`, an array of rings, and a column `open`,
+true where the ring is a line (or a point, which needs no mark), may follow.
 """
 
 from __future__ import annotations
@@ -28,46 +29,91 @@ def box_ring(min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Colu
     return F.array(p(min_x, min_y), p(max_x, min_y), p(max_x, max_y), p(min_x, max_y))
 
 
-def inside(px: Column, py: Column, ring: Column) -> Column:
-    """Whether the point lies in the ring: an odd number of edges to its right are crossed."""
+SIDES = "array<struct<x:double,y:double,dx:double,dy:double,end_y:double,square:double>>"
+
+
+def sides_of(ring: Column, is_open: Column | None = None) -> Column:
+    """The sides of a ring, with their squared lengths. A line (is_open) has no side from its last point to its first."""
     n = F.size(ring)
 
-    def crossed(a: Column, i: Column) -> Column:
+    def side(a: Column, i: Column) -> Column:
         b = F.get(ring, F.pmod(i + 1, n))
-        return F.when((a["y"] > py) != (b["y"] > py), px < (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"]).otherwise(False)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        return F.struct(a["x"].alias("x"), a["y"].alias("y"), dx.alias("dx"), dy.alias("dy"), b["y"].alias("end_y"), (dx * dx + dy * dy).alias("square"))
+
+    sides = F.transform(ring, side)
+    return sides if is_open is None else F.when(F.coalesce(is_open, F.lit(False)) & (n > 1), F.slice(sides, 1, n - 1)).otherwise(sides)
+
+
+def near_sides(px: Column, py: Column, sides: Column, distance: float) -> Column:
+    """Whether a side lies at most so far from the point."""
+
+    def near(s: Column) -> Column:
+        along = (px - s["x"]) * s["dx"] + (py - s["y"]) * s["dy"]
+        part = F.when(along <= 0, 0.0).when(along >= s["square"], 1.0).otherwise(along / s["square"])  # a side without length is a point
+        gx, gy = px - s["x"] - part * s["dx"], py - s["y"] - part * s["dy"]
+        return gx * gx + gy * gy <= distance * distance
 
-    return F.size(F.filter(F.transform(ring, crossed), lambda x: x)) % 2 == 1
+    return F.exists(sides, near)
+
+
+def within_sides(px: Column, py: Column, sides: Column) -> Column:
+    """Whether the point lies inside: an odd number of sides to its right are crossed."""
+    crossed = lambda s: ((s["y"] > py) != (s["end_y"] > py)) & (px < s["dx"] * (py - s["y"]) / s["dy"] + s["x"])
+    return F.size(F.filter(sides, crossed)) % 2 == 1
+
+
+def covers(px: Column, py: Column, buffer: float = 0.0) -> Column:
+    """Whether the geometry with columns _sides and _holes (sides of its ring and of all its holes) and _line, grown by a buffer
+    (shrunk by a negative one), covers the point.
+
+    Sides that cross count by the even-odd rule, so rings need no repair: a bow tie is its two triangles. A grown geometry
+    is the points inside or at most the buffer away from a side, so its corners are round; a shrunk one the points inside and farther
+    from each side. Lines and points cover what the buffer reaches. Holes don't overlap each other.
+    """
+    sides, holes = F.col("_sides"), F.col("_holes")
+    at = ~F.col("_line") & within_sides(px, py, sides) & ~within_sides(px, py, holes)
+    if not buffer:
+        return at
+    near = near_sides(px, py, sides, abs(buffer)) | near_sides(px, py, holes, abs(buffer))
+    return at | near if buffer > 0 else at & ~near
 
 
-def covered_pixels(vectors: DataFrame, boxes: DataFrame) -> DataFrame:
-    """vectors with y, x: a row for each pixel of its patch whose centre lies in the ring.
+def covered_pixels(vectors: DataFrame, boxes: DataFrame, buffer: float = 0.0) -> DataFrame:
+    """vectors with y, x: a row for each pixel of its patch whose centre the geometry covers, after growing it by the buffer.
 
     boxes: patch_id, min_x ... max_y, height, width. A ring only visits the pixels of its own box, so the work follows the
     area covered; there is no join of rings and pixels.
     """
+    grown = max(buffer, 0.0)
     box = boxes.select("patch_id", F.struct(*(F.col(c) for c in ("min_x", "min_y", "max_x", "max_y", "height", "width"))).alias("_box"))
-    rows = vectors.join(box, "patch_id")
+    is_open = F.coalesce("open", F.lit(False)) if "open" in vectors.columns else F.lit(False)
+    holes = F.flatten(F.transform(F.coalesce("holes", F.array().cast(f"array<{RING}>")), lambda r: sides_of(r))) if "holes" in vectors.columns else F.array().cast(SIDES)
+    rows = vectors.withColumns({"_sides": sides_of(F.col("ring"), is_open), "_holes": holes, "_line": is_open}).join(box, "patch_id")
     dx, dy = (F.col("_box.max_x") - F.col("_box.min_x")) / F.col("_box.width"), (F.col("_box.max_y") - F.col("_box.min_y")) / F.col("_box.height")
     rows = rows.withColumns({"_dx": dx, "_dy": dy})
     clip = lambda v, top: F.least(F.greatest(v, F.lit(0)), F.col(top) - 1).cast("int")
     rows = rows.withColumns(
         {
-            "_x0": clip(F.floor((F.col("min_x") - F.col("_box.min_x")) / F.col("_dx")), "_box.width"), "_x1": clip(F.floor((F.col("max_x") - F.col("_box.min_x")) / F.col("_dx")), "_box.width"),
-            "_y0": clip(F.floor((F.col("_box.max_y") - F.col("max_y")) / F.col("_dy")), "_box.height"), "_y1": clip(F.floor((F.col("_box.max_y") - F.col("min_y")) / F.col("_dy")), "_box.height"),
+            "_x0": clip(F.floor((F.col("min_x") - grown - F.col("_box.min_x")) / F.col("_dx")), "_box.width"), "_x1": clip(F.floor((F.col("max_x") + grown - F.col("_box.min_x")) / F.col("_dx")), "_box.width"),
+            "_y0": clip(F.floor((F.col("_box.max_y") - F.col("max_y") - grown) / F.col("_dy")), "_box.height"), "_y1": clip(F.floor((F.col("_box.max_y") - F.col("min_y") + grown) / F.col("_dy")), "_box.height"),
         }
     )
-    rows = rows.withColumn("y", F.explode(F.sequence("_y0", "_y1"))).withColumn("x", F.explode(F.sequence("_x0", "_x1")))
-    px = F.col("_box.min_x") + (F.col("x") + 0.5) * (F.col("_box.max_x") - F.col("_box.min_x")) / F.col("_box.width")
-    py = F.col("_box.max_y") - (F.col("y") + 0.5) * (F.col("_box.max_y") - F.col("_box.min_y")) / F.col("_box.height")
-    return rows.where(inside(px, py, F.col("ring"))).drop("_box", "_dx", "_dy", "_x0", "_x1", "_y0", "_y1")
+    # the centres come out of the explosion, once for each row and column, rather than out of the test of every side
+    py = lambda y: F.col("_box.max_y") - (y + 0.5) * (F.col("_box.max_y") - F.col("_box.min_y")) / F.col("_box.height")
+    px = lambda x: F.col("_box.min_x") + (x + 0.5) * (F.col("_box.max_x") - F.col("_box.min_x")) / F.col("_box.width")
+    rows = rows.withColumn("_y", F.explode(F.transform(F.sequence("_y0", "_y1"), lambda y: F.struct(y.alias("at"), py(y).alias("p")))))
+    rows = rows.withColumn("_x", F.explode(F.transform(F.sequence("_x0", "_x1"), lambda x: F.struct(x.alias("at"), px(x).alias("p")))))
+    rows = rows.where(covers(F.col("_x.p"), F.col("_y.p"), buffer)).withColumns({"y": F.col("_y.at"), "x": F.col("_x.at")})
+    return rows.drop("_sides", "_holes", "_line", "_box", "_dx", "_dy", "_x0", "_x1", "_y0", "_y1", "_x", "_y")
 
 
-def rasterize(vectors: DataFrame, boxes: DataFrame, grid: DataFrame, value: str = "value", order: str = "row", no_data: float = 0, overlap: float | None = None, existing: DataFrame | None = None, keys: Sequence[str] = ("patch_id",)) -> DataFrame:
+def rasterize(vectors: DataFrame, boxes: DataFrame, grid: DataFrame, value: str = "value", order: str = "row", no_data: float = 0, overlap: float | None = None, existing: DataFrame | None = None, keys: Sequence[str] = ("patch_id",), buffer: float = 0.0) -> DataFrame:
     """keys, y, x, v for each pixel of the grid: the last geometry by `order` that covers it wins.
 
-    overlap: the value of pixels covered by different values; existing: a raster (v) that shows where nothing covers.
+    buffer: the distance by which geometries grow, or shrink if negative. overlap: the value of pixels covered by different values; existing: a raster (v) that shows where nothing covers.
     """
-    hit = covered_pixels(vectors, boxes).groupBy(*keys, "y", "x").agg(F.max_by(value, order).alias("_last"), F.count_distinct(value).alias("_n"))
+    hit = covered_pixels(vectors, boxes, buffer).groupBy(*keys, "y", "x").agg(F.max_by(value, order).alias("_last"), F.count_distinct(value).alias("_n"))
     base = grid if existing is None else existing.withColumnRenamed("v", "_old")
     out = base.join(hit, [*keys, "y", "x"], "left")
     v = F.col("_last") if overlap is None else F.when(F.col("_n") > 1, F.lit(overlap)).otherwise(F.col("_last"))

@@ -108,7 +108,7 @@ def test_parts_masks_and_arguments(spark):
             clustering.cluster(px, **wrong)
 
 
-@pytest.mark.parametrize("short", [0, 2_048])
+@pytest.mark.parametrize("short", [0, filters.SHORT_SERIES])
 def test_spaced_frames_of_long_and_short_patches(spark, short):
     rng, start = random.Random(5), datetime(1969, 12, 31, 22)
     rows = [(p, start + timedelta(seconds=rng.choice([0, 1, 2, 3, 7, 600, 601, 9000]) + 600 * rng.randrange(n))) for p, n in ((1, 400), (2, 3), (-7, 40)) for _ in range(3 * n)]
