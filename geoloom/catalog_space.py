@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.bridge import BOXES, CLASSES, IMAGES, boxes, classes, events, images, map_box, pixels, table
+from geoloom.bridge import BOXES, CLASSES, EVENTS, IMAGES, boxes, classes, events, images, map_box, pixels, table
 from geoloom.catalog import query
 from geoloom.layout import SIDE_BITS
 from geoloom.operators import areas as connected
@@ -405,13 +406,17 @@ def register_affine(spark: SparkSession, d: str) -> DataFrame:
 
 def brightness(bands: pd.Series) -> pd.Series:
     """Stands for a trained model: the brighter, the more likely a cloud."""
-    return bands.map(lambda b: min(max(float(b[0]) / 100, 0.0), 1.0))
+    return pd.Series(np.clip(np.stack(bands.to_list())[:, 0] / 100, 0, 1) if len(bands) else np.empty(0))
 
 
-@query()
+@query(f"""
+WITH px AS (SELECT patch_id, date_trunc('day', ts) AS ts, y, x, least(greatest(avg(v) / 100, 0), 1) AS p FROM {EVENTS} GROUP BY ALL),
+mean AS (SELECT a.patch_id, a.ts, a.y, a.x, avg(b.p) AS q FROM px a JOIN px b ON a.patch_id = b.patch_id AND a.ts = b.ts AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY ALL)
+SELECT a.patch_id, a.ts, a.y, a.x, round(any_value(a.q), 10) AS probability, bool_or(b.q >= 0.5) AS cloud
+FROM mean a JOIN mean b ON a.patch_id = b.patch_id AND a.ts = b.ts AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY a.patch_id, a.ts, a.y, a.x""")
 def cloud_hook(spark: SparkSession, d: str) -> DataFrame:
     px = events(spark, d).withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz")).groupBy("patch_id", "ts", "y", "x").agg(F.array(F.avg("v")).alias("bands"))
-    return masking.cloud_mask(px, brightness, average_over=3, threshold=0.5, dilation=3)
+    return masking.cloud_mask(px, brightness, average_over=3, threshold=0.5, dilation=3).withColumn("probability", F.round("probability", 10))
 
 
 @query("SELECT vec_id AS patch_id, round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 4) AS distance FROM (SELECT vec_id, CAST(embedding[i] AS DOUBLE) AS a, CAST(embedding[i + 32] AS DOUBLE) AS b FROM embeddings, (SELECT unnest(range(1, 33)) AS i)) GROUP BY vec_id")

@@ -50,18 +50,18 @@ def snow_mask(pixels: DataFrame, bands: Sequence[int], dilation: int = 0, **thre
     return morphology(flags, disk(2 * dilation + 1), "dilation") if dilation > 0 else flags
 
 
-def cloud_mask(data: DataFrame, scorer: Callable[[pd.Series], pd.Series], valid: Column | None = None, bands: Sequence[int] | None = None, average_over: int = 4, threshold: float = 0.4, dilation: int = 2) -> DataFrame:
+def cloud_mask(data: DataFrame, scorer: Callable[[pd.Series], pd.Series] | Column, valid: Column | None = None, bands: Sequence[int] | None = None, average_over: int = 4, threshold: float = 0.4, dilation: int = 2) -> DataFrame:
     """keys, probability and cloud of each pixel.
 
-    scorer gives the probability of cloud from a Series of band arrays (any trained model); it is averaged over a disk,
+    scorer gives the probability of cloud from a Series of band arrays (any trained model), or is a column of data that holds it; it is averaged over a disk,
     compared with the threshold, dilated, and false where a pixel isn't valid.
     """
     from geoloom.operators.neighbourhood import disk, focal, morphology
     from geoloom.operators.projection import gathered
 
-    udf = F.pandas_udf(scorer, "double")
     use = F.col("bands") if bands is None else gathered("bands", bands)
-    rows = data.withColumn("v", udf(use)).withColumn("_ok", valid if valid is not None else F.lit(True)).drop("bands")
+    score = scorer.cast("double") if isinstance(scorer, Column) else F.pandas_udf(scorer, "double")(use)
+    rows = data.withColumn("v", score).withColumn("_ok", valid if valid is not None else F.lit(True)).drop("bands")
     keys = ["patch_id", "ts", "y", "x"]
     averaged = focal(rows, disk(average_over), "avg") if average_over > 1 else rows
     flags = averaged.withColumns({"probability": F.col("v"), "v": (F.col("v") >= threshold).cast("int")})

@@ -3,13 +3,14 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from geoloom.functions import curves
-from geoloom.operators import clustering, masking, neighbourhood, timeseries
+from geoloom.operators import clustering, masking, neighbourhood, sampling, timeseries
 from geoloom.patchset import PatchSet
 from geoloom.types import FeatureType
 
@@ -200,3 +201,21 @@ def test_clusters_of_a_masked_image_and_of_a_graph(spark):
     small = {(r.y, r.x): r.cluster for r in clustering.cluster(px, 0.5, "euclidean", remove_small=3, mask=F.col("bands")[0] < 9).collect()}
     assert {k for k, c in small.items() if c >= 0} == {(0, 0), (0, 1), (1, 0)} and small[0, 2] == -1
     assert set(clustering.boundaries(px, clustering.cluster(px, 0.5, "euclidean")).selectExpr("size(bands) AS n").distinct().collect()[0]) == {2}
+
+
+def test_a_column_scores_clouds_as_a_model_does(spark):
+    rows = [(0, datetime(2024, 1, 1), y, x, [float((y * 3 + x * 5) % 11)]) for y in range(6) for x in range(5)]
+    px = spark.createDataFrame(rows, "patch_id long, ts timestamp_ntz, y int, x int, bands array<double>")
+    run = lambda scorer: sorted(map(tuple, masking.cloud_mask(px, scorer, valid=F.col("x") != 2, average_over=3, threshold=0.5, dilation=3).collect()))
+    model = run(lambda bands: pd.Series([b[0] / 10 for b in bands]))
+    assert model == run(F.col("bands")[0] / 10) and {r[-1] for r in model} == {True, False}
+    assert all(r[4] == 0 and not r[5] for r in model if r[3] == 2)
+
+
+def test_draws_with_replacement(spark):
+    px = spark.range(600).selectExpr("id div 300 AS patch_id", "cast(id % 300 div 20 AS int) AS y", "cast(id % 20 AS int) AS x", "cast(id % 300 >= 290 AS int) AS v")
+    draw = lambda seed: sorted(map(tuple, sampling.fraction_sample(px, {0: 0.5, 1: 3.0}, seed=seed, replace=True).select("patch_id", "y", "x", "v").collect()))
+    got = draw(3)
+    assert {(p, v): sum(r[0] == p and r[3] == v for r in got) for p in (0, 1) for v in (0, 1)} == {(0, 0): 145, (0, 1): 30, (1, 0): 145, (1, 1): 30}
+    assert all(v == (y * 20 + x >= 290) for _, y, x, v in got)
+    assert 1 < len(set(r for r in got if r[3] == 1)) <= 20 and got == draw(3) != draw(4)
