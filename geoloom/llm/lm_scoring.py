@@ -9,6 +9,8 @@ training keep their shape's class. Texts become sequences of classes; class tran
 part. A text's probability is the product of class transitions P(class | class before) and emissions P(word | class), both smoothed
 by adding one. The same counts give the base score, an add-one unigram model.
 
+Each text is split into words once; the ids of its words are written, and all later passes count from these.
+
 Classes and counts of the HEAD most frequent words and of the HELD_HEAD most frequent words outside the training part (fixed
 numbers) travel with the tasks; each distinct other word of a document meets its class in a join by word, so nothing that grows
 with the vocabulary is broadcast, and no word of the join is hot.
@@ -29,7 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import chunks, crc_remainder, id_text, materialize
+from geoloom.llm.common import Memo, chunks, crc_remainder, id_text, materialize
+from geoloom.session import discard
 
 #: Frequent words whose counts travel with the tasks: 16 bytes each.
 HEAD = 262_144
@@ -47,8 +50,14 @@ TASK_WORDS = 1_000_000
 LATER = 255
 #: Words that a task remembers before it starts afresh.
 MEMO_WORDS = 400_000
-#: The same where a task counts the neighbours of each word: 256 bytes a word.
-NEIGHBOUR_WORDS = 200_000
+#: Tokens that a task looks at together.
+BLOCK = 1 << 18
+#: The same where a task counts words.
+COUNTED_WORDS = 1 << 21
+#: The same where a task counts the neighbours of each word; slices of at most half of 1 << COUNT_BITS are packed.
+NEIGHBOUR_WORDS = 1 << 20
+#: Bits of a count beside its slot in 32 bits.
+COUNT_BITS = 22
 MARKS = b".,;:!?)]}\"'"
 
 
@@ -67,41 +76,61 @@ def word_id(word: bytes) -> int:
 END = word_id(b"")
 
 
-class Index(dict):
-    """word -> its place, in order of arrival; fresh: the words that arrived since it was last emptied."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(word)
-        return n
-
+def hash_words(docs: DataFrame) -> DataFrame:
+    """doc_id, train, words: the ids of a text's words and of the end token, 8 bytes each."""
 
-class Tokens:
-    """Indexes of words, with columns of what is known of each indexed word."""
-
-    def __init__(self, known):
-        self.known, self.index = known, Index()
-        self.columns: list[np.ndarray] = []
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Word indexes of all texts, each followed by the end token, and the place after each text's end."""
-        if len(self.index) > MEMO_WORDS:
-            self.index, self.columns = Index(), []
-        place, parts, sizes = self.index.__getitem__, [], []
-        for text in texts:
-            words = text.lower().split()  # bytes.lower() changes A-Z only
-            words.append(b"")
-            parts.append(np.fromiter(map(place, words), np.int32, len(words)))
-            sizes.append(len(words))
-        if self.index.fresh:
-            more = self.known(np.array([word_id(w) for w in self.index.fresh], np.int64))
-            self.columns = [np.concatenate([a, b]) for a, b in zip(self.columns, more, strict=True)] if self.columns else list(more)
-            self.index.fresh = []
-        return np.concatenate(parts), np.cumsum(sizes)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Memo(word_id, MEMO_WORDS)
+        for rows, texts in chunks(batches):
+            out = []
+            for text in texts:
+                ids.trim()
+                words = text.lower().split()  # bytes.lower() changes A-Z only
+                words.append(b"")
+                out.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)).tobytes())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("train"), pa.array(out, pa.binary())], names=["doc_id", "train", "words"])
+
+    return docs.mapInArrow(run, "doc_id long, train boolean, words binary")
+
+
+def packed(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that binary values without nulls hold, one after another, and the place after each value's end."""
+    column = column.cast(pa.binary())
+    _, cuts, data = column.buffers()
+    size = np.dtype(kind).itemsize
+    cuts = np.frombuffer(cuts, np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    return np.frombuffer(data, kind, int(cuts[-1] - cuts[0]) // size, int(cuts[0])), (cuts[1:] - cuts[0]) // size
+
+
+def pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the record batches with about `most` word ids each, these ids, and the place after each text's end."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, stops = packed(batch.column("words"), np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff((stops - 1) // most)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            start = stops[a - 1] if a else 0
+            yield batch.slice(a, b - a), ids[start : stops[b - 1]], stops[a:b] - start
+
+
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarray]:
+    """Word ids of whole texts, at most `most` and one text together. Every text ends with the end token, so texts can be chained."""
+    waiting, n = [], 0
+    for _, ids, _ in pieces(batches, most):
+        if n and n + len(ids) > most:
+            yield np.concatenate(waiting)
+            waiting, n = [], 0
+        waiting.append(ids)
+        n += len(ids)
+    if waiting:
+        yield np.concatenate(waiting)
+
+
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and the place of each id among them."""
+    coded = pa.array(ids).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
 def find(sorted_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -112,61 +141,36 @@ def find(sorted_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.where(sorted_ids[at] == ids, at, -1)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all documents, the end token included."""
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word, c) over all texts, the end token included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total = Tokens(lambda ids: [ids]), np.zeros(0, np.int64)
-
-        def out():
-            keep = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(tokens.columns[0][keep]), pa.array(total[keep])], names=["word", "c"])
-
-        for _, texts in chunks(batches):
-            if len(tokens.index) > MEMO_WORDS:
-                yield out()
-                tokens, total = Tokens(lambda ids: [ids]), np.zeros(0, np.int64)
-            index, _ = tokens.of(texts)
-            more = np.bincount(index, minlength=len(tokens.index))
-            more[: len(total)] += total
-            total = more
-        if len(total):
-            yield out()
-
-    return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        for ids in blocks(batches, COUNTED_WORDS):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(ids, return_counts=True)], names=["word", "c"])
 
+    return texts.select("words").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-def unit_of(units: np.ndarray):
-    """ids -> [unit]: the place among the frequent words (sorted), or len(units) + shape."""
 
-    def known(ids: np.ndarray) -> list[np.ndarray]:
-        at = find(units, ids)
-        return [np.where(at >= 0, at, len(units) + (ids & (SHAPES - 1))).astype(np.int64)]
+def unit_of(units: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The place of each id among the frequent words (sorted), or len(units) + shape."""
+    at = find(units, ids)
+    return np.where(at >= 0, at, len(units) + (ids & (SHAPES - 1))).astype(np.int64)
 
-    return known
 
-
-def count_bigrams(docs: DataFrame, units: np.ndarray) -> DataFrame:
-    """(a, b, n): adjacent units over all documents; a text's first word follows the end token."""
+def count_bigrams(texts: DataFrame, units: np.ndarray) -> DataFrame:
+    """(a, b, n): adjacent units over all texts; a text's first word follows the end token."""
     size = len(units) + SHAPES
-    end = int(unit_of(units)(np.array([END], np.int64))[0][0])
+    end = int(unit_of(units, np.array([END], np.int64))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total, waiting, n = Tokens(unit_of(units)), np.zeros(size * size, np.int64), [], 0
-        for _, texts in chunks(batches):
-            index, _ = tokens.of(texts)
-            unit = tokens.columns[0][index]  # every text ends with the end token, so texts can be chained
-            waiting.append(np.concatenate([[end], unit[:-1]]) * size + unit)
-            n += len(unit)
-            if n > 2_000_000:
-                total += np.bincount(np.concatenate(waiting), minlength=size * size)
-                waiting, n = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=size * size)
+        total = np.zeros(size * size, np.int64)
+        for ids in blocks(batches, BLOCK):
+            unit = unit_of(units, ids)
+            total += np.bincount(np.concatenate([[end], unit[:-1]]) * size + unit, minlength=size * size)
         keep = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array((keep // size).astype(np.int32)), pa.array((keep % size).astype(np.int32)), pa.array(total[keep])], names=["a", "b", "n"])
 
-    return docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return texts.select("words").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
@@ -212,76 +216,68 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return cls
 
 
-def count_neighbours(docs: DataFrame, units: np.ndarray, cls: np.ndarray, classes: int) -> DataFrame:
-    """(word, near) for all words but units. near: pairs of 32-bit numbers, a slot and how often it was met, where slots below
-    classes are the classes before the word and the others those after it.
+def count_neighbours(texts: DataFrame, units: np.ndarray, cls: np.ndarray, classes: int) -> DataFrame:
+    """(word, near) for all words but units. near: 32-bit numbers, each a slot and, in its lower COUNT_BITS bits, how often it was
+    met, where slots below classes are the classes before the word and the others those after it.
 
-    Counts are summed inside a task; a word comes from a task once each time the task starts afresh.
+    Counts are summed inside a block of texts; a word comes from each block once.
     """
-    unit, end = unit_of(units), int(cls[unit_of(units)(np.array([END], np.int64))[0][0]])
+    end = int(cls[unit_of(units, np.array([END], np.int64))[0]])
     width = 2 * classes
+    new = lambda x: np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))  # noqa: E731  (where a sorted row of numbers changes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lambda ids: [ids, cls[unit(ids)[0]], find(units, ids) < 0]
-        tokens, total = Tokens(known), np.zeros(1 << 20, np.int32)
-
-        def out():
-            for a in range(0, len(tokens.index), 1 << 16):
-                part = total[a * width : (a + (1 << 16)) * width]
-                keep = np.flatnonzero(part)
-                word, starts = np.unique(keep // width, return_index=True)
-                pairs = np.stack([(keep % width).astype(np.int32), part[keep]], 1)
-                cuts = (np.append(starts, len(keep)) * pairs.itemsize * 2).astype(np.int32)
-                near = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(cuts), pa.py_buffer(pairs)])
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.columns[0][a + word]), near], names=["word", "near"])
-
-        for _, texts in chunks(batches):
-            if len(tokens.index) > NEIGHBOUR_WORDS:
-                yield from out()
-                tokens, total = Tokens(known), np.zeros(1 << 20, np.int32)
-            index, _ = tokens.of(texts)  # every text ends with the end token, so texts can be chained
-            c, mine = tokens.columns[1][index], tokens.columns[2][index]
-            at = np.flatnonzero(mine)  # the end token is a unit, so a word's neighbours are of its own text
-            if len(tokens.index) * width > len(total):
-                total = np.concatenate([total, np.zeros(2 * len(tokens.index) * width - len(total), np.int32)])
-            before = np.concatenate([[end], c[:-1]])
-            after = np.concatenate([c[1:], [end]])
-            np.add.at(total, index[at] * np.int64(width) + before[at], 1)
-            np.add.at(total, index[at] * np.int64(width) + classes + after[at], 1)
-        yield from out()
-
-    return docs.select("text").mapInArrow(run, "word long, near binary")
+        for ids in blocks(batches, NEIGHBOUR_WORDS):
+            word, index = distinct(ids)
+            c, mine = cls[unit_of(units, word)].astype(np.int32)[index], (find(units, word) < 0)[index]
+            before, after = np.roll(c, 1), np.roll(c, -1)
+            before[0] = after[-1] = end
+            every = np.flatnonzero(mine)  # the end token is a unit, so a word's neighbours are of its own text
+            for a in range(0, len(every), 1 << (COUNT_BITS - 1)):
+                at = every[a : a + (1 << (COUNT_BITS - 1))]
+                base = index[at] * np.int64(width)
+                keys = np.concatenate([base + before[at], base + (classes + after[at])])
+                keys.sort()
+                first = new(keys)
+                row, slot = np.divmod(keys[first], width)
+                pairs = (slot << COUNT_BITS | np.diff(first, append=len(keys))).astype(np.uint32)
+                starts = new(row)
+                cuts = (np.append(starts, len(row)) * pairs.itemsize).astype(np.int32)
+                near = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(pairs)])
+                yield pa.RecordBatch.from_arrays([pa.array(word[row[starts]]), near], names=["word", "near"])
+
+    return texts.select("words").mapInArrow(run, "word long, near binary")
 
 
 def assign_classes(neighbours: DataFrame, gain: np.ndarray, prior: np.ndarray, parts: int) -> DataFrame:
     """(word, c, cls): the class with the largest gain for each word. gain: of one neighbour, slots by classes; prior: shapes by classes."""
-    classes = gain.shape[1]
+    width, classes = gain.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(word, c, value):
-            best = np.argmax(value + prior[word & (SHAPES - 1)], 1)
-            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(c), pa.array(best.astype(np.int32))], names=["word", "c", "cls"])
+        def out(word, met):
+            value = np.round(met @ gain + prior[word & (SHAPES - 1)], 9)  # so that equal sums are equal
+            c = met[:, :classes].sum(1).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(c), pa.array(np.argmax(value, 1).astype(np.int32))], names=["word", "c", "cls"])
 
         last = None  # the word at the end of a batch, which may go on in the next
         for batch in batches:
             if not batch.num_rows:
                 continue
-            word, near = batch.column("word").to_numpy(), batch.column("near").to_pylist()
-            slot, n = np.frombuffer(b"".join(near), np.int32).reshape(-1, 2).T
-            rows = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
-            starts = np.cumsum([0, *map(len, near[:-1])])[rows] // 8
-            value = np.add.reduceat(n[:, None] * gain[slot], starts)
-            c = np.add.reduceat(np.where(slot < classes, n, 0).astype(np.int64), starts)
-            word = word[rows]
+            word = batch.column("word").to_numpy()
+            pairs, stops = packed(batch.column("near"), np.uint32)
+            change = np.concatenate([[False], word[1:] != word[:-1]])
+            row = np.repeat(np.cumsum(change), np.diff(stops, prepend=0))
+            word = np.concatenate([word[:1], word[change]])
+            at = row * width + (pairs >> COUNT_BITS)
+            met = np.bincount(at, pairs & ((1 << COUNT_BITS) - 1), len(word) * width).reshape(-1, width)  # whole numbers
             if last is not None:
                 if last[0][0] == word[0]:
-                    c[0] += last[1][0]
-                    value[0] += last[2][0]
+                    met[0] += last[1][0]
                 else:
                     yield out(*last)
             if len(word) > 1:
-                yield out(word[:-1], c[:-1], value[:-1])
-            last = word[-1:], c[-1:], value[-1:]
+                yield out(word[:-1], met[:-1])
+            last = word[-1:], met[-1:].copy()
         if last is not None:
             yield out(*last)
 
@@ -289,37 +285,32 @@ def assign_classes(neighbours: DataFrame, gain: np.ndarray, prior: np.ndarray, p
     return by_word.sortWithinPartitions("word").mapInArrow(run, "word long, c long, cls int")
 
 
-def encode(docs: DataFrame, head: np.ndarray, times: np.ndarray, head_cls: np.ndarray) -> DataFrame:
+def encode(texts: DataFrame, head: np.ndarray, times: np.ndarray, head_cls: np.ndarray) -> DataFrame:
     """doc_id, train, n_tokens, head_known, head_log, the sequence of classes (LATER for words outside the head), those
     words once each (tail), and which of them stands at each LATER (places).
     """
     logs = np.log10(times + 1.0)
 
-    def known(ids: np.ndarray) -> list[np.ndarray]:
-        at = find(head, ids)
-        inside = at >= 0
-        pick = lambda x, other: np.where(inside, x[at], other) if len(head) else np.full(len(ids), other)
-        return [ids, pick(head_cls, LATER).astype(np.uint8), pick(times, 0) > 0, pick(logs, 0.0)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(known)
-        for rows, texts in chunks(batches):
-            index, stops = tokens.of(texts)
-            ids, c, seen, log = (x[index] for x in tokens.columns)
+        for rows, ids, stops in pieces(batches, BLOCK):
+            word, index = distinct(ids)
+            at = find(head, word)
+            pick = lambda x, other: (np.where(at >= 0, x[at], other) if len(head) else np.full(len(word), other))[index]  # noqa: E731, B023
+            c, seen, log = pick(head_cls, LATER).astype(np.uint8), pick(times, 0) > 0, pick(logs, 0.0)
             starts = np.concatenate([[0], stops[:-1]])
             sums = [np.add.reduceat(x, starts) for x in (seen.astype(np.int64), log)]
             seq, tail, places = [], [], []
             for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-                word, place = np.unique(ids[a:b][c[a:b] == LATER], return_inverse=True)
+                late, place = np.unique(ids[a:b][c[a:b] == LATER], return_inverse=True)
                 seq.append(c[a:b].tobytes())
-                tail.append(word)
+                tail.append(late)
                 places.append(place.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("train"), pa.array(stops - starts), *map(pa.array, sums), pa.array(seq, pa.binary()), pa.array(tail, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
                 names=["doc_id", "train", "n_tokens", "head_known", "head_log", "seq", "tail", "places"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, train boolean, n_tokens long, head_known long, head_log double, seq binary, tail array<long>, places array<int>")
+    return texts.mapInArrow(run, "doc_id long, train boolean, n_tokens long, head_known long, head_log double, seq binary, tail array<long>, places array<int>")
 
 
 def sequences(rows: DataFrame, classes: DataFrame, of_shape: list[int]) -> DataFrame:
@@ -407,7 +398,8 @@ def score(docs: DataFrame, training: Column | None = None, classes: int = CLASSE
     """
     docs = id_text(docs)
     docs = docs.withColumn("train", F.coalesce(training if training is not None else crc_remainder(F.col("doc_id"), 7) != 2, F.lit(False)))
-    part = docs.where("train")
+    texts = materialize(hash_words(docs), "lm-words")
+    part = texts.where("train")
     most = lambda df, n: df.orderBy(F.desc("c"), "word").limit(n).toArrow()  # noqa: E731  (a fixed number of rows)
     counts = materialize(count_words(part), "lm-counts")
     n_types, n_all = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
@@ -415,12 +407,12 @@ def score(docs: DataFrame, training: Column | None = None, classes: int = CLASSE
     order = np.argsort(top.column("word").to_numpy())
     units, unit_times = top.column("word").to_numpy()[order], top.column("c").to_numpy()[order]
     cls, gain, prior, k = class_tables(part, units, classes)
-    end = int(cls[int(unit_of(units)(np.array([END], np.int64))[0][0])])
+    end = int(cls[unit_of(units, np.array([END], np.int64))[0]])
 
     parts = -(-n_types // TASK_WORDS)
     parts = parts if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
     words = materialize(assign_classes(count_neighbours(part, units, cls, k), gain, prior, parts), "lm-classes")
-    held = docs.sparkSession.createDataFrame(most(count_words(docs.where("not train")), HELD_HEAD).to_pandas()[["word"]], "word long")
+    held = docs.sparkSession.createDataFrame(most(count_words(texts.where("not train")), HELD_HEAD).to_pandas()[["word"]], "word long")
     unseen = held.join(words, "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c"), "cls").toArrow()  # HELD_HEAD rows
     first = most(words, HEAD)
     of_shape = cls[len(units) :]
@@ -430,8 +422,10 @@ def score(docs: DataFrame, training: Column | None = None, classes: int = CLASSE
     late = np.where(unseen.column("c").to_numpy() > 0, unseen.column("cls").fill_null(0).to_numpy(), shape_cls)
     head_cls = np.concatenate([cls[: len(units)], first.column("cls").to_numpy(), late])
     head, at = np.unique(ids, return_index=True)  # of equal words the first, so units keep their classes
-    rows = materialize(encode(docs, head, times[at], head_cls[at]).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    rows = materialize(encode(texts, head, times[at], head_cls[at]).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    discard(texts, counts)
     seqs = materialize(sequences(rows, words, [int(x) for x in of_shape]), "lm-sequences")
+    discard(rows)
 
     table = count_transitions(seqs.where("train"), k, end)
     transition = np.log10((table + 1) / (table.sum(1, keepdims=True) + k))

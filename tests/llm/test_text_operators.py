@@ -257,6 +257,34 @@ def test_lm_joins_rare_words(docs, monkeypatch):
     assert result() == whole
 
 
+def test_lm_splits_each_text_once(docs):
+    """The passes after the first read ids of words, not texts."""
+    read = docs.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    seen = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    assert lm_scoring.score(seen, classes=4).count() == docs.count() == read.value
+
+
+def test_lm_blocks_of_ids_hold_whole_texts():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [np.arange(n, dtype=np.int64) + 100 * n for n in (1, 5, 2, 2, 9, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], names=["words"])
+    for parts in ([batch], [batch.slice(0, 2), batch.slice(2, 0), batch.slice(2)], [batch.slice(k, 1) for k in range(7)]):
+        for most in (1, 3, 4, 100):
+            got = list(lm_scoring.blocks(iter(parts), most))
+            assert np.concatenate(got).tolist() == np.concatenate(texts).tolist()
+            assert all(len(b) <= most + 9 and b[0] % 100 == 0 for b in got)  # a text's ids start at a hundred
+            rows = [(r.column("words").to_pylist(), ids.tolist(), np.diff(stops, prepend=0).tolist()) for r, ids, stops in lm_scoring.pieces(iter(parts), most)]
+            assert all(b"".join(w) == np.array(i, np.int64).tobytes() and [len(x) // 8 for x in w] == n for w, i, n in rows)
+
+
 def brute_lm_scores(texts, n_units, k):
     """(doc_id, score): the class model word by word over lists; texts: (doc_id, in training, words with the end)."""
     import numpy as np
